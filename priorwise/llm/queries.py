@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, url_filters
+from . import chat, licenses, packing, toxicity, url_filters
 from .common import table
 
 #: The dated list of op6: kind, key, date, action, category. Two entries return after a break, one site is allowed below a blocked domain.
@@ -24,6 +24,22 @@ LISTED = [
 LISTED_SCHEMA = "kind string, key string, effective string, action string, category string"
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; pages have no fetch date, so page_id names a day of 2024."""
     entries = spark.createDataFrame(LISTED, LISTED_SCHEMA).withColumn("effective", F.to_date("effective"))
@@ -91,7 +107,7 @@ select k.conv_id, max(k.pos) as n_turns, max(k.n_snapshots) as n_snapshots, stri
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_url_filters, op8_license_scans, op9_chat_formatting)}
+    return {f.__name__: f for f in (op3_packing, op4_toxicity, op6_url_filters, op8_license_scans, op9_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
