@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, packing, toxicity, url_filters
+from . import chat, licenses, packing, substrings, toxicity, url_filters
 from .common import table
 
 #: The dated list of op6: kind, key, date, action, category. Two entries return after a break, one site is allowed below a blocked domain.
@@ -106,9 +106,24 @@ select k.conv_id, max(k.pos) as n_turns, max(k.n_snapshots) as n_snapshots, stri
 """
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+SQL_OP10 = r"""
+with w as (select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+win as (select doc_id, r, i, array_to_string(words[i : i + 12], ' ') as x from w, unnest(generate_series(1, len(words) - 12)) as g(i)),
+least as (select x, min(doc_id) as first from win group by x),
+gone as (select distinct r, i + j as at from win join least using (x), unnest(generate_series(0, 12)) as h(j) where first < doc_id),
+word as (select doc_id, r, i, words[i] as word from w, unnest(generate_series(1, len(words))) as g(i)),
+kept as (select r, string_agg(word, ' ' order by i) as kept, count(*) as n from word where not exists (select 1 from gone where gone.r = word.r and gone.at = word.i) group by r)
+select w.doc_id, len(words) as n_words, len(words) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.kept, '')) as kept_sha256 from w left join kept on w.r = kept.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_toxicity, op6_url_filters, op8_license_scans, op9_chat_formatting)}
+    return {f.__name__: f for f in (op3_packing, op4_toxicity, op6_url_filters, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": SQL_OP6, "op8_license_scans": SQL_OP8, "op9_chat_formatting": SQL_OP9}
+    return {"op6_url_filters": SQL_OP6, "op8_license_scans": SQL_OP8, "op9_chat_formatting": SQL_OP9, "op10_substring_dedup": SQL_OP10}
