@@ -149,7 +149,9 @@ def _edges(k: int, seed_words: int):
             cut = np.r_[True, (d[1:] != d[:-1]) | (ky[1:] != ky[:-1]) | (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (sp[1:] != sp[:-1] + 1)] if len(d) else np.zeros(0, bool)
             begin = np.flatnonzero(cut)
             runs = np.diff(np.append(begin, len(d)))
-            ones, a, z = np.ones(int(least.sum()), np.int32), least, np.zeros(int(least.sum()), I64)
+            a = np.flatnonzero(least)
+            a = a[np.lexsort((pos[a], ids[a]))]  # rows of one document side by side take less room in a shuffle
+            ones, z = np.ones(len(a), np.int32), np.zeros(len(a), I64)
             cols = [
                 np.concatenate([e1[a], ky[begin] ^ p[begin]]), np.concatenate([e2[a], np.full(len(begin), -1, np.int32)]), np.concatenate([np.zeros(len(ones), bool), np.ones(len(begin), bool)]),
                 np.concatenate([ids[a], d[begin]]), np.concatenate([keys[a], ky[begin]]), np.concatenate([pos[a], p[begin]]), np.concatenate([ones, runs.astype(np.int32)]),
@@ -202,6 +204,7 @@ def _cut(k: int):
         for batch in batches(it):
             out = {"doc_id": [], "digest": [], "n_removed": [], "kept": []}
             for doc, text, keys, starts, ns in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                text = text or ""
                 words = text.encode("utf-8", "surrogatepass").split()
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 s, e, b = word_spans(data, np.array([0, len(data)]))
@@ -228,10 +231,10 @@ def remove_repeats(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS, ke
     the input. Null text: no words. Rows with a null id stay whole. Repeated rows get equal results; of rows with one id and
     several texts each is judged by itself. No rows give no rows."""
     inventory, paths = repeated_spans(docs, k, seed_words)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # as repeated_spans() joins them, so that one shuffle serves both
     spans = paths.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("key", "start", "n_windows")).alias("_s"))
     spans = spans.select("doc_id", *[F.col("_s").getField(f).alias(f) for f in ("key", "start", "n_windows")])
-    cut = texts.where("text is not null").join(spans, "doc_id").select("doc_id", "text", "key", "start", "n_windows").mapInArrow(_cut(k), "doc_id long, digest string, n_removed long, kept string")
+    cut = texts.join(spans, "doc_id").select("doc_id", "text", "key", "start", "n_windows").mapInArrow(_cut(k), "doc_id long, digest string, n_removed long, kept string")
     cut = cut.withColumn("kept_sha256", F.sha2("kept", 256))
     cut = cut.groupBy("doc_id", "digest").agg(*[F.first(c).alias(c) for c in ("n_removed", "kept_sha256", *["kept"] * keep_text)])
     firsts = inventory.dropna(subset=["doc_id"]).groupBy("digest").agg(F.min("doc_id").alias("_first"))
