@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, packing, substrings, toxicity, url_filters
+from . import chat, licenses, near_dedup, packing, substrings, toxicity, url_filters
 from .common import table
 
 #: The dated list of op6: kind, key, date, action, category. Two entries return after a break, one site is allowed below a blocked domain.
@@ -30,6 +30,23 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL_OP1 = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+sh as (select distinct doc_id, array_to_string(words[i : i + 4], ' ') as s from w, unnest(generate_series(1, greatest(len(words) - 4, 1))) as g(i) where len(words) > 0),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, to_id) as (select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join both_ways l on r.to_id = l.a),
+comp as (select doc_id, min(to_id) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, comp.component_id, d.doc_id = comp.component_id as kept from documents d left join n using (doc_id) join comp using (doc_id)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
@@ -122,8 +139,8 @@ select w.doc_id, len(words) as n_words, len(words) - coalesce(kept.n, 0) as n_re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_toxicity, op6_url_filters, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_toxicity, op6_url_filters, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": SQL_OP6, "op8_license_scans": SQL_OP8, "op9_chat_formatting": SQL_OP9, "op10_substring_dedup": SQL_OP10}
+    return {"op1_near_dedup": SQL_OP1, "op6_url_filters": SQL_OP6, "op8_license_scans": SQL_OP8, "op9_chat_formatting": SQL_OP9, "op10_substring_dedup": SQL_OP10}
