@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import batches, packed, ranges, saved, span_hashes, text_chunks, window_hashes, word_hashes, word_spans
 
 K = 13
-SEED_WORDS = 5
+#: Long enough that seeds of frequent words rarely meet by chance, also in large corpora.
+SEED_WORDS = 7
 #: Words that a task gathers before it looks for windows that its own documents share.
 CHUNK_WORDS = 2_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -118,7 +119,12 @@ def _seeds(k: int, seed_words: int):
     return run
 
 
-EDGE = "g long, g2 int, own boolean, doc long, key long, pos int, n int, src long, src_pos int"
+def _short(keys: np.ndarray) -> np.ndarray:
+    """32 bits of a text's key: they only tell the texts of one id apart."""
+    return (keys >> 32).astype(np.int32)
+
+
+EDGE = "g long, g2 int, own boolean, doc long, key int, pos int, n int, src long, src_pos int"
 
 
 def _edges(k: int, seed_words: int):
@@ -134,7 +140,7 @@ def _edges(k: int, seed_words: int):
             if not len(at):
                 continue
             e1, e2 = window_hashes(h, k)[at].view(I64), (window_hashes(other, k, 5)[at] >> np.uint64(33)).astype(np.int32)
-            ids, keys = np.array(chunk.docs, I64)[doc], np.array(chunk.keys, I64)[doc]
+            ids, keys = np.array(chunk.docs, I64)[doc], _short(np.array(chunk.keys, I64))[doc]
             pos = (at - first[doc]).astype(np.int32)
             order = np.lexsort((pos, ids, e2, e1))
             e1, e2, ids, keys, pos = e1[order], e2[order], ids[order], keys[order], pos[order]
@@ -153,7 +159,7 @@ def _edges(k: int, seed_words: int):
             a = a[np.lexsort((pos[a], ids[a]))]  # rows of one document side by side take less room in a shuffle
             ones, z = np.ones(len(a), np.int32), np.zeros(len(a), I64)
             cols = [
-                np.concatenate([e1[a], ky[begin] ^ p[begin]]), np.concatenate([e2[a], np.full(len(begin), -1, np.int32)]), np.concatenate([np.zeros(len(ones), bool), np.ones(len(begin), bool)]),
+                np.concatenate([e1[a], d[begin] ^ (p[begin].astype(I64) << 20)]), np.concatenate([e2[a], np.full(len(begin), -1, np.int32)]), np.concatenate([np.zeros(len(ones), bool), np.ones(len(begin), bool)]),
                 np.concatenate([ids[a], d[begin]]), np.concatenate([keys[a], ky[begin]]), np.concatenate([pos[a], p[begin]]), np.concatenate([ones, runs.astype(np.int32)]),
                 np.concatenate([z, s[begin]]), np.concatenate([ones * 0, sp[begin]]),
             ]
@@ -208,7 +214,7 @@ def _cut(k: int):
                 words = text.encode("utf-8", "surrogatepass").split()
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 s, e, b = word_spans(data, np.array([0, len(data)]))
-                key = int(span_hashes(word_hashes(data, s, e), b).view(I64)[0])
+                key = int(_short(span_hashes(word_hashes(data, s, e), b).view(I64))[0])
                 edge = np.zeros(len(words) + 1, I64)
                 for own, start, n in zip(keys, starts, ns):
                     if own == key:
