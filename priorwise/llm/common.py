@@ -109,12 +109,12 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         lo = hi
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+, and for each row the number of its first word (and the total)."""
+def word_spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+ (or of bytes that space doesn't mark), and for each row the number of its first word (and the total)."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
-    letter = ~SPACE[data]
+    letter = ~space[data]
     first = letter.copy()
     first[1:] &= ~letter[:-1] | edge[1:n]
     last = letter.copy()
