@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, near_dedup, packing, substrings, toxicity, url_filters
+from . import chat, decontamination, fingerprints, licenses, near_dedup, packing, substrings, toxicity, url_filters
 from .common import table
 
 #: The dated list of op6: kind, key, date, action, category. Two entries return after a break, one site is allowed below a blocked domain.
@@ -57,6 +57,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; pages have no fetch date, so page_id names a day of 2024."""
     entries = spark.createDataFrame(LISTED, LISTED_SCHEMA).withColumn("effective", F.to_date("effective"))
@@ -139,7 +147,7 @@ select w.doc_id, len(words) as n_words, len(words) - coalesce(kept.n, 0) as n_re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_toxicity, op6_url_filters, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_url_filters, op7_decontamination, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
