@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, licenses, near_dedup, packing, substrings, toxicity, url_filters
+from . import chat, decontamination, fingerprints, licenses, near_dedup, packing, pii, substrings, toxicity, url_filters
 from .common import table
 
 #: The dated list of op6: kind, key, date, action, category. Two entries return after a break, one site is allowed below a blocked domain.
@@ -47,6 +47,10 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, comp.component_id, d.doc_id = c
 """
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
@@ -147,7 +151,7 @@ select w.doc_id, len(words) as n_words, len(words) - coalesce(kept.n, 0) as n_re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_url_filters, op7_decontamination, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_packing, op4_toxicity, op5_fingerprints, op6_url_filters, op7_decontamination, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
