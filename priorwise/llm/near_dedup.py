@@ -132,9 +132,9 @@ def _confirm(percent: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs (a, b) of ids whose sets (doc_id, words) are alike enough."""
-    of_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("set_b")), "b")
-    return of_b.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("set_a")), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+    """pairs (a, b) of ids whose sets (doc_id, words) are alike enough. Both sides grow with the corpus, so both are dealt out by id at any size."""
+    of_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("set_b")).hint("merge"), "b")
+    return of_b.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("set_a")).hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _across(slots: int, band: int, percent: int, margin: float = 4.5):
@@ -211,7 +211,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
     members = saved(keyed.join(buckets, "key").select("key", "band", F.col("doc_id").alias("rep"), "n", "lo", "size"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, words binary").dropDuplicates(["doc_id"]))
+    sets = saved(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, words binary").dropDuplicates(["doc_id"]))
     sizes = members.where("rep = lo").groupBy("lo").agg(F.min("n").alias("n_lo"))
     star = members.where("rep > lo").select("lo", "rep", "n").distinct().join(sizes, "lo").where(F.least("n", "n_lo") * 100 >= percent * F.greatest("n", "n_lo"))
     links = saved(confirmed(star.select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
