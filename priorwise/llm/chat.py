@@ -42,6 +42,7 @@ def rendered(role: Column, text: Column, opening: str = "<|im_start|>", closing:
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, n_turns, n_snapshots, rendered): each maximal conversation as one training text, turns in order.
     Empty input gives no rows. A single conversation's rendered text must fit in a row."""
+    turns = turns.select(conv, turn, role, text)
     kept = maximal_conversations(turns, conv, turn, role, text)
     order = F.struct(F.col(turn).isNotNull(), F.col(turn), F.col(role).isNotNull(), F.col(role), F.col(text).isNotNull(), F.col(text), rendered(F.col(role), F.col(text)).alias("_r"))
     texts = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import free_name, lookup_join
 
 # Spellings that licence matching treats as the same (published matching guidelines), the second kept.
-SPELLINGS = [("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("cancelled", "canceled"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("merchantability or fitness", "merchantability and fitness"), ("organisation", "organization"), ("recognise", "recognize"), ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder")]
+SPELLINGS = [("licence", "license"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("cancelled", "canceled"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("merchantability or fitness", "merchantability and fitness"), ("organisation", "organization"), ("recognise", "recognize"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("copyright owner", "copyright holder")]
 
 # Public licence texts without their copyright lines, and the usual one-line notices.
 MIT = """MIT License
@@ -40,7 +40,7 @@ KNOWN = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."), ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by\b)|\(c\)[ \t]+[0-9]{4}|©|all rights reserved)[^\n]*$"
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\xa0-\xbf\x{2000}-\x{206f}]+"
 NOTICE = r"(?i)licen[cs]e|public domain|permission"
 

@@ -53,9 +53,9 @@ def grams(texts: list[str | None], keep: np.ndarray | None = None, limit: int =
                 at = np.flatnonzero(~inner if keep is None else keep[f] & ~inner)
                 rows.append(np.searchsorted(first, at, side="right") - 1)
                 found.append(f[at])
-        if rows:
-            both = np.unique(np.concatenate(rows) << BITS | np.concatenate(found))
-            yield hi - lo, both >> BITS, both & ((1 << BITS) - 1)
+        none = np.zeros(0, np.int64)
+        both = np.unique(np.concatenate([none, *rows]) << BITS | np.concatenate([none, *found]))
+        yield hi - lo, both >> BITS, both & ((1 << BITS) - 1)
         lo = hi
 
 
