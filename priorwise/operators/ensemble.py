@@ -55,3 +55,9 @@ def aggregated(members: Sequence[str]) -> dict[str, Column]:
 def attenuated(p: str, spread: Column, k: float) -> Column:
     """p drawn to one half on the logit scale as members disagree."""
     return sigmoid(logit(p) / (1 + k * col(spread)))
+
+
+def form_correction(p: str, current_rate: Column, current_n: Column, expected: Column, weight: float, k: float) -> Column:
+    """p moved by the difference of logits of the current period's rate and the expected one, weighted by its reliability n / (n + k)."""
+    move = weight * current_n / (current_n + k) * (logit(current_rate, 0.01) - logit(expected, 0.01))
+    return sigmoid(logit(p) + F.when(current_n > 0, move).otherwise(0.0))

@@ -216,3 +216,34 @@ def seed_variance(df: DataFrame, seed: str, key: str, value: str) -> DataFrame:
     """(pairs, variance): variance between seeds from all pairs of a key's predictions, half the mean squared difference."""
     g = df.groupBy(key).agg(F.count(value).alias("_k"), F.var_samp(value).alias("_v")).where("_k > 1")
     return g.agg(F.sum(F.col("_k") * (F.col("_k") - 1) / 2).cast("long").alias("pairs"), F.avg("_v").alias("variance"))
+
+
+def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, auc): the chance that a positive row has a higher p than a negative one, ties half. Rows are aggregated to distinct
+    values of p (rounded to 9 places) before the window, which runs within `by`."""
+    d = df.groupBy(*by, F.round(p, 9).alias("_p")).agg(F.sum(col(y)).alias("_pos"), F.sum(1 - col(y)).alias("_neg"))
+    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    won = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
+    pairs = F.sum("_pos") * F.sum("_neg")
+    g = d.groupBy(*by) if by else d
+    return g.agg(F.sum(F.col("_pos") + F.col("_neg")).cast("long").alias("n"), F.when(pairs > 0, won / pairs).alias("auc"))
+
+
+def rolling_origin(df: DataFrame, period: str, width: int, first: int, last: int):
+    """(test period, rows of the `width` periods before it, rows of it) for each test period."""
+    for t in range(first, last + 1):
+        yield t, df.where((F.col(period) >= t - width) & (F.col(period) < t)), df.where(F.col(period) == t)
+
+
+def joint_blend(df: DataFrame, members: Sequence[str], y: str, fold: str, anchor: Sequence[float], penalty: float) -> list[float]:
+    """Weights that minimise the mean over folds of each fold's Brier score plus penalty * |w - anchor|^2: the folds' Gram matrices (one
+    aggregate each) give the small linear system in closed form."""
+    k = len(members)
+    a, b = np.eye(k) * penalty, penalty * np.asarray(anchor, float)
+    names = [r[0] for r in df.select(fold).distinct().collect()]  # a handful of folds
+    for f in names:
+        g = gram(df.where(F.col(fold) == f), [*members, y])
+        a += g[1 : k + 1, 1 : k + 1] / g[0, 0] / len(names)
+        b += g[1 : k + 1, k + 1] / g[0, 0] / len(names)
+    return [float(v) for v in np.linalg.solve(a, b)]

@@ -266,3 +266,14 @@ def latest_state(df: DataFrame, entity: str, order: Sequence[str], values: Seque
     """(entity, values): each entity's values at its last row, left out where its count n is under `least`."""
     out = df.groupBy(entity).agg(*[F.max_by(v, F.struct(*order)).alias(v) for v in values], *([F.max_by(n, F.struct(*order)).alias(n)] if n else []))
     return out.where(F.col(n) >= least) if n else out
+
+
+def regime_indicators(segment: Column, period: str, change: int, name: str = "regime") -> dict[str, Column]:
+    """Columns for a segment whose level breaks at a period: in the segment before it, in it from then on, and elsewhere."""
+    after = F.col(period) >= change
+    return {f"{name}_before": (segment & ~after).cast("int"), f"{name}_after": (segment & after).cast("int"), f"{name}_other": (~segment).cast("int")}
+
+
+def rate_per_month(n: Column, month: Column, first_month: int) -> Column:
+    """n per month of the period that has passed, this one included."""
+    return n / F.greatest(month - first_month + 1, F.lit(1))

@@ -154,3 +154,43 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int =
     d = df.withColumn("_h", h).join(F.broadcast(size), stratum).where(F.col("_h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2.0 * n + 100) / F.col("_n")))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return d.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_h", "_i", "_n")
+
+
+def softmax_neighbours(columns: Sequence[Column], centres: np.ndarray, values: np.ndarray, temperature: float = 1.0) -> Column:
+    """The mean of a fixed set of candidates' values weighted by exp(-squared distance / temperature): a small set of constants, scored in batches."""
+    centres, values = np.asarray(centres, float), np.asarray(values, float)
+
+    @F.pandas_udf("double")
+    def score(*xs: pd.Series) -> pd.Series:
+        m = np.stack([x.to_numpy(float) for x in xs], 1)
+        d = -((m[:, None, :] - centres) ** 2).sum(axis=2) / temperature
+        w = np.exp(d - d.max(axis=1, keepdims=True))
+        return pd.Series(w @ values / w.sum(axis=1))
+
+    return score(*columns)
+
+
+def attention_scores(sequence: Column, candidate: Column, table: np.ndarray, layers: Sequence[tuple[np.ndarray, np.ndarray]]) -> Column:
+    """A sequence model's forward pass from its arrays: codes of a sequence and of a candidate row take vectors from `table`, the sequence
+    is pooled by softmax attention to the candidate (an empty one: zeros), and a dense network scores both."""
+
+    @F.pandas_udf("double")
+    def score(seq: pd.Series, cand: pd.Series) -> pd.Series:
+        out = np.empty(len(seq))
+        for i, (s, c) in enumerate(zip(seq, cand)):
+            q = table[int(c)]
+            pooled = np.zeros_like(q)
+            if s is not None and len(s):
+                keys = table[np.asarray(s, int)]
+                a = keys @ q / np.sqrt(len(q))
+                a = np.exp(a - a.max())
+                pooled = (a / a.sum()) @ keys
+            h = np.concatenate([q, pooled])
+            for j, (w, b) in enumerate(layers):
+                h = h @ w + b
+                if j < len(layers) - 1:
+                    h = np.maximum(h, 0)
+            out[i] = 1 / (1 + np.exp(-h[0]))
+        return pd.Series(out)
+
+    return score(sequence, candidate)

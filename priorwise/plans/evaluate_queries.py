@@ -332,6 +332,64 @@ def tree_score(spark, sf_dir):
     return d.select("event_id", x.report(m.oblivious_trees([F.col("value"), F.hour("ts")], *TREES, bias=-1.0)).alias("score"))
 
 
+@query(f"""
+with g as (select part, round(p, 9) as p, sum(y) as pos, sum(1 - y) as neg from {SCORED} group by all),
+w as (select *, coalesce(sum(neg) over (partition by part order by p rows between unbounded preceding and 1 preceding), 0) as below from g)
+select part, sum(pos + neg)::bigint as n, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) as auc from w group by part
+""")
+def auc_by_period(spark, sf_dir):
+    return e.auc(scored(spark, sf_dir), "p", "y", ["part"]).withColumn("auc", x.report("auc"))
+
+
+@query(f"""
+with t as (select l_linestatus, period, avg(y) as r from {LINES} group by all), h as (select a.period as test, b.l_linestatus, sum(b.y) / count(*) as p from (select distinct period from {LINES} where period between 1998 and 2000) a join {LINES} b on b.period between a.period - 3 and a.period - 1 group by all),
+s as (select test, l.l_linestatus, y, p from {LINES} l join h on h.test = l.period and h.l_linestatus = l.l_linestatus)
+select test::int as test, count(*) as n, round(avg((p - y) ** 2), 6) as brier from s group by test
+""")
+def rolling_origin(spark, sf_dir):
+    """Three years give the rates of the next one."""
+    out = None
+    for t, train, test in e.rolling_origin(lines(spark, sf_dir).select("l_linestatus", "period", "y"), "period", 3, 1998, 2000):
+        rate = train.groupBy("l_linestatus").agg(F.avg("y").alias("p"))
+        one = test.join(F.broadcast(rate), "l_linestatus").agg(F.lit(t).alias("test"), F.count("*").alias("n"), x.report(e.brier("p", "y")).alias("brier"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""
+with h as (select user_id, avg(y) as r from {SCORED} where part = 0 group by user_id), c as (select user_id, count(*) as n, avg(y) as r from {SCORED} where part = 1 group by user_id),
+r as (select s.event_id, s.q, coalesce(c.n, 0) as n, least(greatest(coalesce(c.r, 0.2), 0.01), 0.99) as cr, least(greatest(coalesce(h.r, 0.2), 0.01), 0.99) as hr from {SCORED} s left join c using (user_id) left join h using (user_id) where part = 2)
+select event_id, round(1 / (1 + exp(-(ln(q / (1 - q)) + case when n > 0 then 0.5 * n / (n + 20.0) * (ln(cr / (1 - cr)) - ln(hr / (1 - hr))) else 0 end))), 6) as corrected from r
+""")
+def form_correction(spark, sf_dir):
+    d = scored(spark, sf_dir)
+    h = d.where("part = 0").groupBy("user_id").agg(F.avg("y").alias("hr"))
+    c = d.where("part = 1").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("y").alias("cr"))
+    r = d.where("part = 2").join(c, "user_id", "left").join(h, "user_id", "left")
+    return r.select("event_id", x.report(n.form_correction("q", F.coalesce("cr", F.lit(0.2)), F.coalesce("n", F.lit(0)), F.coalesce("hr", F.lit(0.2)), 0.5, 20.0)).alias("corrected"))
+
+
+@query(f"""
+with t as (select event_id, value / 100 as a, hour / 12.0 as b from {SCORED}),
+w as (select *, exp(-((a - 0.5) ** 2 + (b - 0.5) ** 2) / 0.5) as w1, exp(-((a - 1) ** 2 + (b - 1) ** 2) / 0.5) as w2, exp(-((a - 2) ** 2 + (b - 1.5) ** 2) / 0.5) as w3 from t)
+select event_id, round((0.1 * w1 + 0.3 * w2 + 0.7 * w3) / (w1 + w2 + w3), 6) as score from w where w1 + w2 + w3 > 1e-200
+""")
+def softmax_neighbours(spark, sf_dir):
+    d = scored(spark, sf_dir).where("value < 1000")
+    return d.select("event_id", x.report(m.softmax_neighbours([F.col("value") / 100, F.col("hour") / 12.0], np.array([[0.5, 0.5], [1, 1], [2, 1.5]]), np.array([0.1, 0.3, 0.7]), 0.5)).alias("score"))
+
+
+@query(f"""
+select period, sum(case when l_linestatus = 'F' and period < 1998 then 1 else 0 end)::bigint as before, sum(case when l_linestatus = 'F' and period >= 1998 then 1 else 0 end)::bigint as after, sum(case when l_linestatus <> 'F' then 1 else 0 end)::bigint as other,
+  round(count(*) / greatest(max(month(l_shipdate)), 1), 4) as per_month from {LINES} group by period
+""")
+def regime_indicators(spark, sf_dir):
+    from ..operators import history as h
+
+    d = lines(spark, sf_dir).withColumns(h.regime_indicators(F.col("l_linestatus") == "F", "period", 1998))
+    return d.groupBy("period").agg(F.sum("regime_before").alias("before"), F.sum("regime_after").alias("after"), F.sum("regime_other").alias("other"), x.report(h.rate_per_month(F.count("*"), F.max(F.month("l_shipdate")), 1), 4).alias("per_month"))
+
+
 @query()
 def kmeans_profile(spark, sf_dir):
     d = m.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 8)

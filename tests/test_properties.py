@@ -188,3 +188,19 @@ def test_streams(spark, tmp_path):
     before = as_map(run(state.running_state(stream(), "user_id", ["ts", "event_id"], "event_id", "y"), "append", "s").select("event_id", "n_before", F.round("rate", 9)), "event_id")
     plain = history.asof_sums(e, ["user_id"], ["ts", "event_id"], {"n": F.lit(1), "s": F.col("y")}).select("event_id", "n", F.round((F.col("s") + 25.0) / (F.col("n") + 50.0), 9))
     assert before == as_map(plain, "event_id")
+
+
+def test_joint_blend_and_attention(spark):
+    import numpy as np
+
+    d = game(spark).withColumns({"a": F.col("y") * 0.8 + 0.1, "b": F.lit(0.5)})
+    w = evaluate.joint_blend(d, ["a", "b"], "y", "period", [0.5, 0.5], 1e-9)
+    assert abs(w[0] - 1.25) < 1e-3 and abs(w[1] + 0.25) < 1e-2
+    near = evaluate.joint_blend(d, ["a", "b"], "y", "period", [0.5, 0.5], 1e6)
+    assert all(abs(v - 0.5) < 1e-3 for v in near)
+    rows = spark.createDataFrame([([1, 2], 1), ([], 0), (None, 2)], "s array<int>, c int")
+    table, layers = np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 1.0]]), [(np.ones((4, 1)), np.zeros(1))]
+    got = [r[0] for r in rows.select(models.attention_scores(F.col("s"), F.col("c"), table, layers)).collect()]
+    a = np.exp(np.array([1.0, 1.0]) / np.sqrt(2))
+    want = [1 + ((a / a.sum()) @ table[[1, 2]]).sum(), 1.0, 2.0]
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))))
