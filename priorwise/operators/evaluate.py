@@ -247,3 +247,13 @@ def joint_blend(df: DataFrame, members: Sequence[str], y: str, fold: str, anchor
         a += g[1 : k + 1, 1 : k + 1] / g[0, 0] / len(names)
         b += g[1 : k + 1, k + 1] / g[0, 0] / len(names)
     return [float(v) for v in np.linalg.solve(a, b)]
+
+
+def weighted_moments(df: DataFrame, x: str, y: str, w: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, mean_x, mean_y, cov, corr) with weights w, from six sums."""
+    c = F.col
+    sums = [F.sum(w).alias("_w"), *[F.sum(c(w) * e).alias(n) for n, e in (("_x", c(x)), ("_y", c(y)), ("_xy", c(x) * c(y)), ("_xx", c(x) * c(x)), ("_yy", c(y) * c(y)))]]
+    g = df.groupBy(*by).agg(*sums) if by else df.agg(*sums)
+    mx, my = c("_x") / c("_w"), c("_y") / c("_w")
+    cov, vx, vy = c("_xy") / c("_w") - mx * my, c("_xx") / c("_w") - mx * mx, c("_yy") / c("_w") - my * my
+    return g.select(*by, mx.alias("mean_x"), my.alias("mean_y"), cov.alias("cov"), F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("corr"))

@@ -277,3 +277,11 @@ def regime_indicators(segment: Column, period: str, change: int, name: str = "re
 def rate_per_month(n: Column, month: Column, first_month: int) -> Column:
     """n per month of the period that has passed, this one included."""
     return n / F.greatest(month - first_month + 1, F.lit(1))
+
+
+def scoring_counts(rows: DataFrame, totals: DataFrame, entity: str, n: str, s: str) -> DataFrame:
+    """Adds n_in and s_in to scored rows: cumulative counts less the entity's frozen totals (entity, n, s), not below zero; new entities have base 0."""
+    base = totals.select(entity, F.col(n).alias("_n"), F.col(s).alias("_s"))
+    out = rows.join(base, entity, "left")
+    less = lambda c, b: F.greatest(F.col(c) - F.coalesce(b, F.lit(0)), F.lit(0))
+    return out.withColumns({"n_in": less(n, "_n"), "s_in": less(s, "_s")}).drop("_n", "_s")

@@ -332,6 +332,23 @@ def tree_score(spark, sf_dir):
     return d.select("event_id", x.report(m.oblivious_trees([F.col("value"), F.hour("ts")], *TREES, bias=-1.0)).alias("score"))
 
 
+@query(f"""
+with m as (select lane, sum(value) as w, sum(value * p) / sum(value) as mx, sum(value * y) / sum(value) as my, sum(value * p * y) / sum(value) as xy, sum(value * p * p) / sum(value) as xx, sum(value * y * y) / sum(value) as yy from {SCORED} group by lane)
+select lane, round(mx, 6) as mean_x, round(my, 6) as mean_y, round(xy - mx * my, 6) + 0.0 as cov, round((xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)), 5) + 0.0 as corr from m
+""")
+def weighted_moments(spark, sf_dir):
+    out = e.weighted_moments(scored(spark, sf_dir), "p", "y", "value", ["lane"])
+    return out.select("lane", *[x.report(c, 5 if c == "corr" else 6).alias(c) for c in ("mean_x", "mean_y", "cov", "corr")])
+
+
+@query("with c as (select quantile_cont(event_id, 0.7) as cut from events) select event_id <= cut as is_first, count(*) as n, min(event_id) as lowest, max(event_id) as highest from events, c group by 1")
+def position_split(spark, sf_dir):
+    from ..sources.io import position_split as split
+
+    d = split(table(spark, sf_dir, "events").select("event_id"), "event_id")
+    return d.groupBy("is_first").agg(F.count("*").alias("n"), F.min("event_id").alias("lowest"), F.max("event_id").alias("highest"))
+
+
 @query(f"""
 with g as (select part, round(p, 9) as p, sum(y) as pos, sum(1 - y) as neg from {SCORED} group by all),
 w as (select *, coalesce(sum(neg) over (partition by part order by p rows between unbounded preceding and 1 preceding), 0) as below from g)

@@ -267,3 +267,17 @@ def latest_state(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     df = events(spark, sf_dir).withColumns({"n": F.count("*").over(w), "rate": F.avg("y").over(w)})
     return h.latest_state(df, "user_id", ["ts", "event_id"], ["value", "rate"], 10, "n").select("user_id", "value", report("rate").alias("rate"), "n")
+
+
+@query(f"""
+with t as (select user_id, count(*) as n, sum(y) as s from {EVENTS} where day(ts) <= 20 group by user_id),
+c as (select event_id, user_id, ts, row_number() over w - 1 as n, coalesce(sum(y) over (w rows between unbounded preceding and 1 preceding), 0) as s from {EVENTS} window w as (partition by user_id order by ts, event_id))
+select event_id, greatest(c.n - coalesce(t.n, 0), 0)::bigint as n_in, greatest(c.s - coalesce(t.s, 0), 0)::bigint as s_in from c left join t using (user_id) where day(ts) > 20
+""")
+def scoring_counts(spark, sf_dir):
+    """Counts since the frozen totals of the first twenty days."""
+    d = events(spark, sf_dir)
+    totals = d.where(F.dayofmonth("ts") <= 20).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    rows = h.asof_sums(d, ["user_id"], ["ts", "event_id"], {"n": F.lit(1), "s": F.col("y")}).where(F.dayofmonth("ts") > 20)
+    out = h.scoring_counts(rows, totals, "user_id", "n", "s")
+    return out.select("event_id", F.col("n_in").cast("long").alias("n_in"), F.col("s_in").cast("long").alias("s_in"))

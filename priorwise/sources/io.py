@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,3 +78,15 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
         if unique_key(side, keys).limit(1).count():
             raise ValueError(f"keys of the {name} side repeat")
     return left.join(right, list(keys))
+
+
+def contract_digest(df: DataFrame) -> str:
+    """SHA-256 of the ordered column names and types."""
+    return hashlib.sha256("\n".join(f"{c}:{t}" for c, t in df.dtypes).encode()).hexdigest()
+
+
+def position_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
+    """Adds is_first: whether the row is among the first `share` of the rows by a unique numeric key. The cut is an exact percentile, so no
+    window over all rows is needed."""
+    cut = df.agg(F.percentile(key, share).alias("_cut"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("is_first", F.col(key) <= F.col("_cut")).drop("_cut")

@@ -204,3 +204,21 @@ def test_joint_blend_and_attention(spark):
     a = np.exp(np.array([1.0, 1.0]) / np.sqrt(2))
     want = [1 + ((a / a.sum()) @ table[[1, 2]]).sum(), 1.0, 2.0]
     assert np.allclose(got, 1 / (1 + np.exp(-np.array(want))))
+
+
+def test_arrays_and_contracts(spark, tmp_path):
+    import numpy as np
+
+    from priorwise.sources import arrays
+
+    a = {"w": np.arange(6.0).reshape(2, 3), "n": np.array([1, 2], np.int32)}
+    np.savez(tmp_path / "m.npz", **a)
+    got = arrays.load_npz(spark, str(tmp_path / "m.npz"), ["w"], ["more"])
+    assert got["more"] is None and np.array_equal(got["w"], a["w"])
+    with pytest.raises(ValueError):
+        arrays.load_npz(spark, str(tmp_path / "m.npz"), ["x"])
+    arrays.save_arrays(spark, str(tmp_path / "p"), a)
+    back = arrays.load_arrays(spark, str(tmp_path / "p"))
+    assert all(np.array_equal(back[k], v) and back[k].dtype == v.dtype for k, v in a.items())
+    d = game(spark)
+    assert io.contract_digest(d) == io.contract_digest(d.limit(1)) != io.contract_digest(d.select("y", "id"))
