@@ -117,11 +117,12 @@ def _seeds(k: int, seed_words: int):
             group = np.cumsum(first) - 1
             shared = (np.bincount(group) > 1)[group]
             ids = np.array(chunk.docs, I64)[doc]
-            alone, mark = ~shared, shared & first
+            alone, mark = np.flatnonzero(~shared), shared & first
+            alone = alone[np.argsort(ids[alone], kind="stable")]  # rows of one document side by side take less room in a shuffle
             # alone: (seed, doc); shared here: one row for the others to see, and (doc, seed) of its own, which need no check
             g = np.concatenate([m[alone], m[mark], ids[shared]])
             x = np.concatenate([ids[alone], np.zeros(mark.sum(), I64), m[shared]])
-            kind = np.repeat(np.array([0, 2, 1], np.int8), [alone.sum(), mark.sum(), shared.sum()])
+            kind = np.repeat(np.array([0, 2, 1], np.int8), [len(alone), mark.sum(), shared.sum()])
             for lo in range(0, len(g), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(g[lo : lo + 100_000]), pa.array(x[lo : lo + 100_000]), pa.array(kind[lo : lo + 100_000])], ["g", "x", "kind"])
 
