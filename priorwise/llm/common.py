@@ -71,12 +71,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses, for n positions at least."""
+    """Powers of an odd base modulo 2**64 and their inverses, for n positions at least. Tables of up to 2 ** 21 places are kept in the
+    process; those for longer single texts are made for the call."""
     if len(_tables.get(("pow", seed), [[]])[0]) < n:
         base = int(mix(np.array([seed + 77], np.uint64))[0]) | 1
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         step = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))])
-        _tables["pow", seed] = step(base), step(pow(base, -1, 1 << 64))
+        made = step(base), step(pow(base, -1, 1 << 64))
+        if size > 1 << 21:
+            return made
+        _tables["pow", seed] = made
     return _tables["pow", seed]
 
 

@@ -45,7 +45,7 @@ class BpeEncoder:
     ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
     STOP[list(b",.;:!?")] = True
 
-    def __init__(self, path: str, remember: int = 1_000_000):
+    def __init__(self, path: str, remember: int = 400_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -67,7 +67,7 @@ class BpeEncoder:
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids as uint16, number of the first id of each row and the total)."""
-        for lo, hi, data, offs in text_chunks(column, 1 << 21):
+        for lo, hi, data, offs in text_chunks(column, 1 << 20):
             starts, ends = self.cuts(data, offs)
             rows = np.searchsorted(starts, offs)
             if not len(starts):
