@@ -17,7 +17,9 @@ K = 13
 #: Long enough that seeds of frequent words rarely meet by chance, also in large corpora.
 SEED_WORDS = 7
 #: Words that a task gathers before it looks for windows that its own documents share.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 600_000
+#: Rows of a batch whose texts a task holds at a time.
+SLICE_ROWS = 1_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 I64 = np.int64
 
@@ -71,9 +73,7 @@ def _nth(batch: pa.RecordBatch, i: int) -> int:
 
 def _chunks(it, k: int, families: int, extra: bool = False):
     chunk = Chunk()
-    for batch in batches(it):
-        if extra:
-            batch = _expanded(batch)
+    for batch in _expanded(it) if extra else batches(it):
         ids = batch.column(0).to_pylist()
         more = batch.column(2) if extra else None
         for lo, hi, data, offs in text_chunks(batch.column(1)):
@@ -137,11 +137,14 @@ def _compressed(it):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
 
 
-def _expanded(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A batch whose second column is compressed, with texts there."""
+def _expanded(it):
+    """Slices of batches whose second column is compressed, with texts there."""
     unpack = zstandard.ZstdDecompressor().decompress
-    text = pa.array([unpack(z) for z in batch.column(1).to_pylist()], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([batch.column(0), text, *batch.columns[2:]], ["doc_id", "text", *batch.schema.names[2:]])
+    for batch in batches(it):
+        for lo in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(lo, SLICE_ROWS)
+            text = pa.array([unpack(z) for z in some.column(1).to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([some.column(0), text, *some.columns[2:]], ["doc_id", "text", *some.schema.names[2:]])
 
 
 def _digest(text: str) -> str:
@@ -244,9 +247,8 @@ def several_texts(inventory: DataFrame) -> DataFrame:
 
 def _cut(k: int):
     def run(it):
-        for batch in batches(it):
+        for batch in _expanded(it):
             out = {"doc_id": [], "digest": [], "n_removed": [], "kept": []}
-            batch = _expanded(batch)
             for row, (doc, text, owners, starts, ns) in enumerate(zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)])):
                 words, nth = text.encode("utf-8", "surrogatepass").split(), _nth(batch, row)
                 edge = np.zeros(len(words) + 1, I64)
