@@ -18,7 +18,7 @@ OCTAVES = 40
 PERIOD = 4096
 FLUSH_CHARS = 24_000_000
 BUCKET_ROWS = 5_000
-BUCKETS = 4096
+BUCKETS = 20_000
 #: For each step (modulo PERIOD) and character class: does the walk go on to the next character?
 MOVES = (mix(np.arange(PERIOD * 256, dtype=np.uint64) + np.uint64(0x5DEECE66D)) >> np.uint64(63)).astype(np.int64).reshape(PERIOD, 256)
 MOVES[:, 0] = 0  # the end of a text
@@ -116,7 +116,7 @@ def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_ro
     ids = docs.select(order.alias("o"))
     rows = ids.count()
     parts = max(1, min(BUCKETS, -(-rows // bucket_rows)))
-    cuts = ids.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 and rows else []
+    cuts = ids.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 and rows else []
     cuts = np.unique(np.array(cuts, np.int64))
     bucket = F.pandas_udf(lambda o: pd.Series(np.searchsorted(cuts, o.to_numpy(), side="left").astype(np.int32)), "int")
     tops = sorted((r[0], r[1]) for r in ids.groupBy(bucket("o").alias("b")).agg(F.max("o")).collect())
@@ -132,8 +132,12 @@ def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_ro
     if not tops:
         return docs.sparkSession.createDataFrame([], kind)
     dealt = docs.withColumn("_o", order).select("*", F.explode(F.concat(F.array(bucket("_o")), F.transform(also("_o"), lambda x: -x - 1))).alias("_to"))
+    # a number for each range that hash partitioning deals to a partition of its own
+    tried = docs.sparkSession.range(30 * parts + 200).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(parts)).alias("p"))
+    key = dict(tuple(r) for r in tried.groupBy("p").agg(F.min("k")).collect())
+    keys = F.array(*[F.lit(key.get(i, -i - 1)) for i in range(parts)])
     dealt = dealt.select(F.when(F.col("_to") < 0, -F.col("_to") - 1).otherwise(F.col("_to")).alias("b"), (F.col("_to") >= 0).alias("own"), "_o", "doc_id", "text")
-    dealt = dealt.repartition(max(parts, 1), "b").sortWithinPartitions("b", "own", "_o", "text")
+    dealt = dealt.withColumn("b", F.element_at(keys, F.col("b") + 1)).repartition(parts, "b").sortWithinPartitions("b", "own", "_o", "text")
 
     def run(it):
         state = {"b": None, "text": "", "codes": None}
