@@ -82,16 +82,18 @@ def reconstruct_label(df: DataFrame, entity: str, order: Sequence[str], rate: st
     return out
 
 
-def global_next(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """(order, _following): for each row the order columns of the next row of all. Rows are range-partitioned, each partition
-    looks ahead in itself, and its last row takes the first row of the next partition that has any (a table of one row per partition)."""
-    ranged = df.select(*order).repartitionByRange(parts, *order) if parts else df.select(*order).repartitionByRange(*order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order)
-    inner = ranged.withColumn("_following", F.lead(F.struct(*order)).over(w))
+def global_next(df: DataFrame, order: Sequence[str], parts: int = 256) -> DataFrame:
+    """(order, _following): for each row the order columns of the next row of all. Rows fall into ranges of the first order column
+    (cut points are approximate quantiles, fixed before the plan is built, so a task that runs again sees the same ranges); each range
+    looks ahead in itself, and its last row takes the first row of the next range that has any, from a table of one row per range."""
+    kind = dict(df.dtypes)[order[0]]
+    cuts = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))]) if cuts else F.array().cast(f"array<{kind}>")
+    ranged = df.select(*order, F.size(F.filter(edges, lambda e: e < F.col(order[0]))).alias("_part"))
+    inner = ranged.withColumn("_following", F.lead(F.struct(*order)).over(Window.partitionBy("_part").orderBy(*order)))
     heads = ranged.groupBy("_part").agg(F.min(F.struct(*order)).alias("_head"))
-    edges = heads.select(F.col("_part"), F.lead("_head").over(Window.orderBy("_part")).alias("_after"))
-    return inner.join(F.broadcast(edges), "_part").select(*order, F.coalesce("_following", "_after").alias("_following"))
+    after = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_after"))  # at most `parts` rows
+    return inner.join(F.broadcast(after), "_part").select(*order, F.coalesce("_following", "_after").alias("_following"))
 
 
 def agreement(df: DataFrame, label: str, truth: str, least: float = 0.9999) -> DataFrame:
