@@ -82,7 +82,7 @@ def reconstruct_label(df: DataFrame, entity: str, order: Sequence[str], rate: st
     return out
 
 
-def global_next(df: DataFrame, order: Sequence[str], parts: int = 256) -> DataFrame:
+def global_next(df: DataFrame, order: Sequence[str], parts: int = 64) -> DataFrame:
     """(order, _following): for each row the order columns of the next row of all. Rows fall into ranges of the first order column
     (cut points are approximate quantiles, fixed before the plan is built, so a task that runs again sees the same ranges); each range
     looks ahead in itself, and its last row takes the first row of the next range that has any, from a table of one row per range."""
