@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ ORDERS = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 4096
 #: Bound on the labelled rows that a model is fitted on: those of the smallest hashes of doc_id.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 10_000
 SAMPLE_PARTS = 8
 LEAST_ROWS = 4
 _STEP = [np.uint64(int(x) | 1) for x in mix(np.arange(3, 3 + max(ORDERS), dtype=np.uint64))]
@@ -88,14 +89,19 @@ def log_count_ratios(positive: np.ndarray, negative: np.ndarray, alpha: float =
 
 
 def fit_logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n_cols: int, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on sparse triples by accelerated gradient steps."""
+    """L2-regularised logistic regression on sparse triples in the order of their rows, by accelerated gradient steps."""
     n = len(y)
-    w, b, vw, vb, t = np.zeros(n_cols), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), np.zeros(n_cols), 0.0, 1.0
+    counts = np.bincount(row, minlength=n)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    totals = np.zeros(len(col) + 1)
+    w, b, t = np.zeros(n_cols), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), 1.0
     vw, vb = w.copy(), b
-    rate = 1 / (0.25 * max(float(np.max(np.bincount(row, value**2, n))) + 1, 1e-9) + l2)
+    np.cumsum(value**2, out=totals[1:])
+    rate = 1 / (0.25 * max(float(np.diff(totals[ends]).max(initial=0)) + 1, 1e-9) + l2)
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * vw[col], n) + vb, -30, 30))) - y
-        nw = vw - rate * (np.bincount(col, value * g[row], n_cols) / n + l2 * vw)
+        np.cumsum(value * vw[col], out=totals[1:])
+        g = 1 / (1 + np.exp(-np.clip(np.diff(totals[ends]) + vb, -30, 30))) - y
+        nw = vw - rate * (np.bincount(col, value * np.repeat(g, counts), n_cols) / n + l2 * vw)
         nb = vb - rate * g.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
@@ -114,7 +120,7 @@ def training_rows(labels: DataFrame, folds: int = 5, held: int = 0, rows: int =
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, n_features: int = FEATURES, l2: float = 1e-5, steps: int = 600) -> Model:
     """A model from a bounded sample of labelled documents; it never sees anything but texts and labels.
 
-    Tasks count features by class and send dense counts (2 ** BITS places) of SAMPLE_PARTS parts; the features that differ
+    Tasks count features by class and send compressed counts (2 ** BITS places) of SAMPLE_PARTS parts; the features that differ
     most between the classes are kept, and the sample's rows of these features are fitted on the driver."""
     sample = saved(docs.select("doc_id", "text").join(F.broadcast(training_rows(labels, folds, held, rows)), "doc_id").select("text", "y").repartition(SAMPLE_PARTS))
 
@@ -128,14 +134,17 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows:
                 for k in (0, 1):
                     total[k] += np.bincount(f[of == k], minlength=1 << BITS).astype(np.int32)
                 lo += size
-        yield pa.RecordBatch.from_pydict({"n0": [int(n[0])], "n1": [int(n[1])], "counts": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"n0": [int(n[0])], "n1": [int(n[1])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     parts = sample.mapInArrow(count, "n0 long, n1 long, counts binary").collect()
     n0, n1 = sum(r[0] for r in parts), sum(r[1] for r in parts)
     if not n0 or not n1:
         discard(sample)
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    negative, positive = sum(np.frombuffer(r[2], np.int32).reshape(2, -1).astype(float) for r in parts)
+    total = np.zeros((2, 1 << BITS), np.int32)
+    for r in parts:
+        total += np.frombuffer(zlib.decompress(r[2]), np.int32).reshape(2, -1)
+    negative, positive = total.astype(float)
     share = (positive + negative) / (n0 + n1)
     apart = np.abs(positive / n1 - negative / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
     apart[positive + negative < min(LEAST_ROWS, n1)] = 0
@@ -159,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows:
     discard(sample)
     lists = got.column("f").combine_chunks()
     counts = np.asarray(pc.list_value_length(lists))
-    row, col = np.repeat(np.arange(len(lists)), counts), np.asarray(lists.flatten())
-    value = ratio[col] / np.sqrt(counts[row])
+    row, col = np.repeat(np.arange(len(lists), dtype=np.int32), counts), np.asarray(lists.flatten()).astype(np.int64)
+    value = ratio[col] / np.sqrt(np.repeat(counts, counts))
     w, b = fit_logistic(row, col, value, np.asarray(got.column("y")).astype(float), len(chosen), l2, steps)
     return Model(chosen, w * ratio, float(b))
 
