@@ -38,7 +38,7 @@ class BpeEncoder:
     """Ids of texts by a byte-level BPE file, as encode_batch(texts, add_special_tokens=False) gives them.
 
     Texts are cut where a pre-token of this vocabulary always begins: at a single space between two visible characters,
-    at , . ; : ! ? after a letter, and around a line break between visible characters. Each different cut is encoded once,
+    at , . ; : ! ? after a letter, and around a single line break between visible characters. Each different cut is encoded once,
     and a bounded memory of cuts is kept between batches."""
 
     ASCII_LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
@@ -92,7 +92,9 @@ class BpeEncoder:
             letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+00FF without the two signs
             cut[1:n] |= letter[:-1] & BpeEncoder.STOP[data[1:]]
             visible = (data > 0x20) & (data < 0x7F)
-            cut[1:n] |= (data[1:] == 0x0A) & visible[:-1] | (data[:-1] == 0x0A) & visible[1:]
+            alone = (b == 0x0A) & visible[:-2] & visible[2:]  # in a run of white space the last sign is a pre-token of its own
+            cut[1 : n - 1] |= alone
+            cut[2:n] |= alone
         cut[offs] = True
         starts = np.flatnonzero(cut[:n])
         return starts, np.append(starts[1:], n) if len(starts) else starts

@@ -84,3 +84,8 @@ def test_empty_and_repeated(spark):
     out = packing.pack_documents(df, vocabulary(), keep_ids=False).collect()
     assert len(out) == 4 and "ids" not in out[0]
     assert len({(p.sequence_id, p.offset) for p in out}) == 4
+
+
+def test_blank_lines(tokenizer, encoder):
+    texts = ["a.\n\nNext", "One\n\n\nTwo\nThree", "a\n \nb", "\n\na\n\n", "x\n\n\n\ny é\n\né z", "Line,\n\n- item\n- item\n\n\tTab"]
+    assert encoded(encoder, texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
