@@ -36,7 +36,9 @@ NUMBERS = re.compile(
 WORD = re.compile(r"[^\W\d_]+")
 TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ((?:[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)?)(?!\w)")
 GIVEN = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r") ([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?!\w)")
-_MARKS = {*TITLES, *(t + "." for t in TITLES), *GENDER}
+_MARKS = {*TITLES, *GENDER}
+_KEY = r"(?:sk|pk|ghp|gho|xoxb|AKIA|AIza)[-_]?[A-Za-z0-9_-]{16}"
+_NUMBERED = re.compile(r"\d|" + _KEY)  # found in every text in which NUMBERS is
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -49,7 +51,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    if any(d in text for d in "0123456789"):
+    if any(d in text for d in "0123456789") or _NUMBERED.search(text):
         for m in NUMBERS.finditer(text):
             kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
             if kind == "ip":
@@ -65,7 +67,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             else:
                 canon = digits
             found.append((m.start(), m.end(), kind, canon))
-    if not _MARKS.isdisjoint(text.split()):
+    if not _MARKS.isdisjoint(WORD.findall(text)):  # a title or given name that matches is a whole run of letters
         for m in TITLED.finditer(text):
             first, _, last = m[2].partition(" ")
             gender = TITLES[m[1]] if TITLES[m[1]] != "n" else GENDER.get(first, "n")
@@ -216,8 +218,8 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFr
     def detect(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"kind": k, "canon": c} for k, c in dict.fromkeys(x[2:] for x in mentions(t))])
 
-    # JVM-side, and true of every text with an entity: only these pass through Python here
-    may = F.col(text).rlike("[0-9@]|(?<![\\p{L}])(?:" + "|".join([*TITLES, *GENDER]) + ")(?![\\p{L}])")
+    # JVM-side, and true of every text with an entity: only these pass through Python here (a digit may be newer than the JVM's tables)
+    may = F.col(text).rlike("[0-9@\\p{Nd}\\p{Cn}]|" + _KEY + "|(?<![\\p{L}])(?:" + "|".join([*TITLES, *GENDER]) + ")(?![\\p{L}])")
     hits = saved(docs.where(may).select(*_marks(docs, text), F.explode(detect(F.col(text))).alias("e")).select("_k1", "_k2", "e.kind", "e.canon").distinct())
     mapped = assign_surrogates(hits, key)
     lists = hits.join(mapped, ["kind", "canon"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_e"))

@@ -75,3 +75,12 @@ def test_crowded_space_settles(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", tight)
     out = pii.assign_surrogates(spark.createDataFrame([("phone", f"x{i}") for i in range(60)], "kind string, canon string")).collect()
     assert len(out) == 60 == len({r.surrogate for r in out})
+
+
+def test_names_after_marks_and_keys_without_digits(spark):
+    texts = ["(Anna Schmidt) came", 'he said "Mr. Weber left"', "[Frau Vogel]", "key ghp_abcdefghijklmnopqr end", "call ٠١٢-٣٤٥-٦٧٨٩ now"]
+    kinds = [["first_f", "last"], ["last"], ["last"], ["secret"], ["phone"]]
+    assert [[m[2] for m in pii.mentions(t)] for t in texts] == kinds
+    out = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_entities for r in out} == {i: len(k) for i, k in enumerate(kinds)}
+    assert all(r.text != texts[r.doc_id] for r in out)
