@@ -137,9 +137,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return of_b.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("set_a")).hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(slots: int, band: int, percent: int, margin: float = 4.5):
+def _across(slots: int, percent: int, margin: float = 4.5):
     """From rows sorted by (key, part_a, part_b): pairs of one bucket with different labels whose sizes allow the likeness and whose
-    signatures agree in as many slots as it leaves likely (margin deviations below). Each pair only in the first band it shares."""
+    signatures agree in as many slots as it leaves likely (margin deviations below). Each pair only in the first band whose key it shares."""
     p = percent / 100
     least = int(slots * p - margin * np.sqrt(slots * p * (1 - p)))
 
@@ -157,9 +157,9 @@ def _across(slots: int, band: int, percent: int, margin: float = 4.5):
                 a, b = x[t : t + 60_000], y[t : t + 60_000]
                 same = rows["sig"][a] == rows["sig"][b]
                 near = same.sum(axis=1) >= least
-                a, b, same = a[near], b[near], same[near]
-                first = same.reshape(len(a), slots // band, band).all(axis=2).argmax(axis=1) if len(a) else a
-                mine = first == rows["band"][a]
+                a, b = a[near], b[near]
+                shared = rows["keys"][a] == rows["keys"][b]
+                mine = (shared.argmax(axis=1) == rows["band"][a]) | ~shared.any(axis=1)
                 yield rows["rep"][a[mine]], rows["rep"][b[mine]]
 
     def run(it):
@@ -169,6 +169,7 @@ def _across(slots: int, band: int, percent: int, margin: float = 4.5):
             t = t.combine_chunks()
             rows = {c: np.asarray(t.column(c)) for c in ("key", "pa", "pb", "side", "rep", "label", "n", "band")}
             rows["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, slots)
+            rows["keys"] = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(len(rows["rep"]), -1)
             new = np.flatnonzero(np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["pa"][1:] != rows["pa"][:-1]) | (rows["pb"][1:] != rows["pb"][:-1])])
             for lo, hi in zip(new, np.append(new[1:], len(rows["key"]))):
                 for a, b in pairs_of(rows, lo, hi):
@@ -218,12 +219,12 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     labels = components(links)
     split = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = split.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi and _n > 2").select("key", "_n")
-    rest = split.join(mixed, "key").join(reps.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]), "rep")
+    rest = split.join(mixed, "key").join(reps.select(F.col("doc_id").alias("rep"), "sig", "keys").dropDuplicates(["rep"]), "rep")
     parts = F.ceil(F.col("_n") / block).cast("int")
     part = F.pmod(F.xxhash64("rep"), parts).cast("int")
     rest = rest.withColumns({"_parts": parts, "_part": part}).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rest = rest.select("key", F.least("_part", "_with").alias("pa"), F.greatest("_part", "_with").alias("pb"), F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1).alias("side"), "rep", "label", "n", "band", "sig")
-    near = rest.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb").mapInArrow(_across(slots, band, percent), "a long, b long")
+    rest = rest.select("key", F.least("_part", "_with").alias("pa"), F.greatest("_part", "_with").alias("pb"), F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1).alias("side"), "rep", "label", "n", "band", "sig", "keys")
+    near = rest.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb").mapInArrow(_across(slots, percent), "a long, b long")
     more = saved(confirmed(near.distinct(), sets, percent))
     final = components(links.unionByName(more)) if more.limit(1).count() else labels
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))

@@ -77,3 +77,15 @@ def test_components_of_a_path_and_a_star(spark, n):
     links = [(order[i], order[i + 1]) for i in range(n)] + [(1000, 1000 + i) for i in range(1, n)] + [(None, 5), (7000, 7000)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(n + 1)) and all(got[1000 + i] == 1000 for i in range(1, n))
+
+
+def test_pair_whose_digests_collide_in_an_earlier_band():
+    import pyarrow as pa
+
+    slots = 256  # all 8-bit digests agree, so those of band 0 too, while the only bucket shared is one of a later band
+    cols = {c: pa.array([v, v], pa.int64()) for c, v in (("key", 7), ("pa", 0), ("pb", 0), ("side", 2), ("n", 50), ("band", 1))}
+    cols |= {"rep": pa.array([1, 2]), "label": pa.array([1, 2]), "sig": pa.array([b"x" * slots] * 2), "keys": pa.array([[1, 7, *range(10, 40)], [2, 7, *range(50, 80)]], pa.list_(pa.int64()))}
+    out = [b.to_pydict() for b in near_dedup._across(slots, percent=85)(iter([pa.RecordBatch.from_pydict(cols)]))]
+    assert out == [{"a": [1], "b": [2]}]
+    cols["keys"] = pa.array([[5, 7, *range(32, 62)]] * 2, pa.list_(pa.int64()))  # band 0 is shared, so the pair is that bucket's
+    assert not list(near_dedup._across(slots, percent=85)(iter([pa.RecordBatch.from_pydict(cols)])))
