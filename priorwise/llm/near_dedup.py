@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, mix, packed, saved, span_hashes, text_chunks, window_hashes, word_hashes, word_spans
+from .common import batches, free_name, mix, packed, saved, span_hashes, text_chunks, window_hashes, word_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -234,9 +234,28 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows that find_near_duplicates does not keep; of repeated rows with one id the first by text stays."""
+    """docs without the rows that find_near_duplicates does not keep. Rows that repeat an id are decided one by one: of equal ones
+    (id and text) one stays, of like ones the first by text; texts unlike all others stay. Rows with a null id stay."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
+    if ids.where("count > 1").limit(1).count():
+        return _drop_rows(docs, **how)
     gone = find_near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = saved(gone)
     if gone.limit(200_001).count() <= 200_000:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def _drop_rows(docs: DataFrame, **how) -> DataFrame:
+    """drop_near_duplicates where ids repeat: the different rows (id and text) are numbered in their order, and numbers serve as ids."""
+    mark, number = free_name(docs, "_mark"), free_name(docs, "_number")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), "text").distinct()
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = saved(texts.repartitionByRange(parts, "_id", "text").sortWithinPartitions("_id", "text").select(F.monotonically_increasing_id().alias("doc_id"), "_id", "text"))
+    kept = find_near_duplicates(rows.select("doc_id", "text"), **how).where("kept").select("doc_id")
+    digest = lambda c: F.sha2(F.coalesce(F.concat(F.lit("t"), c), F.lit("")), 256)
+    stay = saved(rows.join(kept, "doc_id", "left_semi").select("_id", digest(F.col("text")).alias("_digest")))
+    named = docs.where("doc_id is not null").withColumn(mark, digest(F.col("text")))
+    named = named.join(stay.hint("merge"), (named["doc_id"] == stay["_id"]) & (named[mark] == stay["_digest"]), "left_semi")
+    one = named.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(mark))).where(F.col(number) == 1)
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

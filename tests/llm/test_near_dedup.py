@@ -89,3 +89,12 @@ def test_pair_whose_digests_collide_in_an_earlier_band():
     assert out == [{"a": [1], "b": [2]}]
     cols["keys"] = pa.array([[5, 7, *range(32, 62)]] * 2, pa.list_(pa.int64()))  # band 0 is shared, so the pair is that bucket's
     assert not list(near_dedup._across(slots, percent=85)(iter([pa.RecordBatch.from_pydict(cols)])))
+
+
+def test_repeated_ids_are_decided_row_by_row(spark):
+    words = [f"w{i}" for i in range(100)]
+    base, like, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(reversed(words))
+    sole = " ".join(f"z{i}" for i in range(100))
+    rows = [(1, base, "a"), (1, base, "a"), (2, like, "b"), (2, other, "c"), (3, base, "d"), (3, like, "e"), (None, base, "f"), (None, base, "f"), (5, None, "g"), (5, None, "g"), (6, sole + " z", "h"), (6, sole + " y", "i")]
+    kept = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[i] for i in (0, 3, 6, 7, 8, 11)], key=str)
