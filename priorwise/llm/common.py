@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,10 +20,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset: a temporary one in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -71,14 +77,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses, for n positions at least. Tables of up to 2 ** 21 places are kept in the
+    """Powers of an odd base modulo 2**64 and their inverses, for n positions at least. Tables of up to 2 ** 19 places are kept in the
     process; those for longer single texts are made for the call."""
     if len(_tables.get(("pow", seed), [[]])[0]) < n:
         base = int(mix(np.array([seed + 77], np.uint64))[0]) | 1
-        size = -(-n // (1 << 18)) << 18
+        size = -(-n // (1 << 16)) << 16
         step = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))])
         made = step(base), step(pow(base, -1, 1 << 64))
-        if size > 1 << 21:
+        if size > 1 << 19:
             return made
         _tables["pow", seed] = made
     return _tables["pow", seed]
@@ -94,7 +100,7 @@ def _letters(seed: int, lower: bool) -> np.ndarray:
     return _tables["let", seed, lower]
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets of the rows in them), each of about `limit` bytes or one longer row. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -174,9 +180,21 @@ def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offs), pa.py_buffer(raw)])
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine: several workers share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with rows."""
-    return (b for b in it if b.num_rows)
+    """Batches with rows; memory is given back between them."""
+    for b in it:
+        if b.num_rows:
+            yield b
+            del b
+            trim()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, free_name, mix, packed, saved, span_hashes, text_chunks, window_hashes, word_hashes, word_spans
+from .common import batches, discard, free_name, mix, packed, ranges, saved, span_hashes, text_chunks, window_hashes, word_hashes, word_spans
 from .components import components
 
 SHINGLE = 5
-PERCENT = 85
-SLOTS = 256
-BAND = 8  # slots a band; 32 bands miss a pair of likeness 0.85 once in 25,000, of 0.9 once in 10**8
+PERCENT = 80
+SLOTS = 252
+BAND = 6  # slots a band; 42 bands miss a pair of likeness 0.8 once in 340,000
 BLOCK = 2048
+PIVOTS = 8
+#: Shingles whose signatures are made together, and how many a task gathers before.
+ELEMENTS, GATHERED = 1 << 15, 1 << 18
 U = np.uint64
 _DOC_BITS = U(12)
 _STEP = U(0x9E3779B97F4A7C15)
@@ -75,25 +78,50 @@ def super_minhash(v: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.nd
     return out.reshape(n, slots)
 
 
+def _gathered(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """shingle_sets with neighbouring chunks joined up to GATHERED shingles."""
+    held, size = [], 0
+    for part in shingle_sets(column, k):
+        held.append(part)
+        size += len(part[2])
+        if size >= GATHERED:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list) -> tuple[int, int, np.ndarray, np.ndarray]:
+    n = np.concatenate([np.diff(p[3]) for p in parts])
+    return parts[0][0], parts[-1][1], np.concatenate([p[2] for p in parts]), np.concatenate([[0], np.cumsum(n)])
+
+
+def by_size(v: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
+    """super_minhash in groups of about ELEMENTS shingles, small sets together: they need many ranks and large ones few."""
+    n = np.diff(first)
+    order = np.argsort(n, kind="stable")
+    out = np.empty((len(n), slots), np.uint64)
+    group = (np.cumsum(n[order]) - 1) // ELEMENTS
+    cuts = np.flatnonzero(np.diff(group, prepend=-2, append=-2))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        some = order[a:b]
+        out[some] = super_minhash(v[ranges(first[some], n[some])], np.concatenate([[0], np.cumsum(n[some])]), slots)
+    return out
+
+
 def _signatures(slots: int, band: int, k: int):
     def run(it):
         for batch in batches(it):
-            cols = {x: [] for x in ("n", "d1", "d2", "keys", "sig")}
-            for _, _, v, first in shingle_sets(batch.column(1), k):
-                n = np.diff(first)
+            for lo, hi, v, first in _gathered(batch.column(1), k):
                 sums = [np.concatenate([[U(0)], np.cumsum(mix(v * U(c)))]) for c in (0x9E6C63D0876A9A35, 0xB5026F5AA96619E9)]
-                s = super_minhash(v, first, slots)
-                wide = s.reshape(len(n), slots // band, band) * (U(2) * np.arange(band, dtype=np.uint64) + U(0x632BE59BD9B4E019))
+                s = by_size(v, first, slots)
+                wide = s.reshape(hi - lo, slots // band, band) * (U(2) * np.arange(band, dtype=np.uint64) + U(0x632BE59BD9B4E019))
                 keys = mix(wide.sum(axis=2, dtype=np.uint64) + np.arange(slots // band, dtype=np.uint64) * _STEP)
-                cols["n"].append(n)
-                cols["d1"].append((sums[0][first[1:]] - sums[0][first[:-1]]).view(np.int64))
-                cols["d2"].append((sums[1][first[1:]] - sums[1][first[:-1]]).view(np.int64))
-                cols["keys"].append(keys.view(np.int64))
-                cols["sig"].append((mix(s) & U(255)).astype(np.uint8))
-            keys, sig = np.concatenate(cols["keys"]), np.concatenate(cols["sig"])
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
-            rows = pa.Array.from_buffers(pa.binary(slots), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.concatenate(cols[c]).astype(np.int64)) for c in ("n", "d1", "d2")], lists, rows], ["doc_id", "n", "d1", "d2", "keys", "sig"])
+                sig = np.ascontiguousarray((mix(s) & U(255)).astype(np.uint8))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
+                digests = [pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in sums]
+                rows = pa.Array.from_buffers(pa.binary(slots), hi - lo, [None, pa.py_buffer(sig)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), *digests, lists, rows], ["doc_id", "n", "d1", "d2", "keys", "sig"])
 
     return run
 
@@ -195,12 +223,13 @@ def _across(slots: int, percent: int, margin: float = 4.5):
     return run
 
 
-def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, slots: int = SLOTS, band: int = BAND, block: int = BLOCK) -> DataFrame:
+def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, slots: int = SLOTS, band: int = BAND, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id, kept. Links join sets of distinct lower-case k-word shingles with
     100 * common >= percent * union; component_id is the least id reached, kept marks it.
 
     Texts with equal sets are one class, which its least id stands for. Each bucket's members are first confirmed against its
-    least member; where that leaves several components in a bucket, members of different ones are compared in blocks.
+    least member, in large buckets with several components then against `pivots` members drawn by hash; where that leaves several
+    components in a bucket, members of different ones are compared in blocks.
     Null or wordless text: no shingles, linked with nothing. A row with a null id: component_id null, kept. Repeated rows get equal
     results. No rows give no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -217,15 +246,32 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     star = members.where("rep > lo").select("lo", "rep", "n").distinct().join(sizes, "lo").where(F.least("n", "n_lo") * 100 >= percent * F.greatest("n", "n_lo"))
     links = saved(confirmed(star.select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
     labels = components(links)
-    split = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = split.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi and _n > 2").select("key", "_n")
-    rest = split.join(mixed, "key").join(reps.select(F.col("doc_id").alias("rep"), "sig", "keys").dropDuplicates(["rep"]), "rep")
-    parts = F.ceil(F.col("_n") / block).cast("int")
-    part = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    rest = rest.withColumns({"_parts": parts, "_part": part}).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    rest = rest.select("key", F.least("_part", "_with").alias("pa"), F.greatest("_part", "_with").alias("pb"), F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1).alias("side"), "rep", "label", "n", "band", "sig", "keys")
-    near = rest.repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb").mapInArrow(_across(slots, percent), "a long, b long")
-    more = saved(confirmed(near.distinct(), sets, percent))
+    looks = reps.select(F.col("doc_id").alias("rep"), "sig", "keys").dropDuplicates(["rep"])
+    compared = ["key", "pa", "pb", "side", "rep", "label", "n", "band", "sig", "keys"]
+
+    def mixed(labels: DataFrame, least: int) -> DataFrame:
+        """Members of the buckets of `least` members or more that hold several components."""
+        split = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        some = split.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).where(f"_lo < _hi and _n >= {least}")
+        return split.join(some.select("key", "_n"), "key").withColumn("_parts", F.ceil(F.col("_n") / block).cast("int")).withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
+
+    def alike(rows: DataFrame) -> DataFrame:
+        near = rows.join(looks, "rep").select(*compared).repartition("key", "pa", "pb").sortWithinPartitions("key", "pa", "pb").mapInArrow(_across(slots, percent), "a long, b long")
+        return saved(confirmed(near.distinct(), sets, percent))
+
+    # Large mixed buckets: members meet a few pivots drawn by hash, so a large group whose bucket's least member is a stranger is joined without all its pairs.
+    large = mixed(labels, 8 * pivots)
+    drawn = large.groupBy("key").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("h"), "rep", "label", "n", "band", "_parts")).alias(f"_p{i}") for i in range(pivots)])
+    drawn = drawn.select("key", F.explode(F.array_distinct(F.transform(F.array(*[f"_p{i}" for i in range(pivots)]), lambda x: x.dropFields("h")))).alias("p")).select("key", "p.*")
+    drawn = drawn.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"pb": F.lit(0), "side": F.lit(0)}).drop("_parts")
+    against = alike(large.select("key", "rep", "label", "n", "band", F.col("_part").alias("pa"), F.lit(0).alias("pb"), F.lit(1).alias("side")).unionByName(drawn))
+    if against.limit(1).count():
+        links = links.unionByName(against)
+        labels = components(links)
+    # What still stands apart in a bucket is compared in blocks.
+    rest = mixed(labels, 3).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    side = F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1)
+    more = alike(rest.withColumns({"pa": F.least("_part", "_with"), "pb": F.greatest("_part", "_with"), "side": side}))
     final = components(links.unionByName(more)) if more.limit(1).count() else labels
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))
     out = all_rows.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")

@@ -31,7 +31,7 @@ def vocabulary() -> str:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"), percent=85, slots=256, band=8)
 
 
 SQL_OP1 = r"""

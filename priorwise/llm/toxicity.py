@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, list_column, mix, saved
+from .common import batches, discard, list_column, mix, saved, trim
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -26,37 +26,47 @@ _STEP = [np.uint64(int(x) | 1) for x in mix(np.arange(3, 3 + max(ORDERS), dtype=
 SPACES = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D], np.uint32)
 
 
-def grams(texts: list[str | None], keep: np.ndarray | None = None, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _ngrams(text: str, first: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
+    """Distinct (row << BITS | feature) of the n-grams of a lower-case text whose rows begin at the places `first`, order by order."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.isin(chars, SPACES)
+    code = np.where(space, np.uint64(0x20), chars.astype(np.uint64))
+    found = []
+    h, inner = code * _STEP[0], np.zeros(len(chars), bool)
+    for n in range(2, max(ORDERS) + 1):  # h and inner: of the n-gram that begins at each place; inner: a space within
+        m = len(chars) - n + 1
+        if m <= 0:
+            break
+        if n > 2:
+            inner = inner[:m] | space[n - 2 : n - 2 + m]
+        h = h[:m] + code[n - 1 :] * _STEP[n - 1]
+        if n in ORDERS:
+            f = (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
+            at = np.flatnonzero(~inner if keep is None else keep[f] & ~inner)
+            found.append(np.unique((np.searchsorted(first, at, side="right") - 1) << BITS | f[at]))
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+
+
+def grams(texts: list[str | None], keep: np.ndarray | None = None, limit: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of rows, row, feature): the distinct n-grams of each lower-case text, hashed to BITS bits, white space as one kind of mark
-    that only begins or ends an n-gram. keep: only features where it is true. In runs of about `limit` characters."""
+    that only begins or ends an n-gram. keep: only features where it is true. In runs of about `limit` characters; a longer text
+    is read in overlapping pieces, so memory is bounded whatever its length."""
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
         while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < limit):
             size += len(texts[hi] or "") + 1
             hi += 1
-        run = [" " + (t or "").lower() for t in texts[lo:hi]]
-        chars = np.frombuffer((" ".join(run) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        space = np.isin(chars, SPACES)
-        first = np.cumsum([0, *[len(t) + 1 for t in run]])
-        code = np.where(space, np.uint64(0x20), chars.astype(np.uint64))
-        rows, found = [], []
-        h, inner = code * _STEP[0], np.zeros(len(chars), bool)
-        for n in range(2, max(ORDERS) + 1):  # h and inner: of the n-gram that begins at each place; inner: a space within
-            m = len(chars) - n + 1
-            if m <= 0:
-                break
-            if n > 2:
-                inner = inner[:m] | space[n - 2 : n - 2 + m]
-            h = h[:m] + code[n - 1 :] * _STEP[n - 1]
-            if n in ORDERS:
-                f = (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
-                at = np.flatnonzero(~inner if keep is None else keep[f] & ~inner)
-                rows.append(np.searchsorted(first, at, side="right") - 1)
-                found.append(f[at])
-        none = np.zeros(0, np.int64)
-        both = np.unique(np.concatenate([none, *rows]) << BITS | np.concatenate([none, *found]))
-        yield hi - lo, both >> BITS, both & ((1 << BITS) - 1)
+        if size > limit + 1:
+            text, seen = f" {texts[lo].lower()} ", np.zeros(1 << BITS, bool)
+            for a in range(0, len(text), limit):
+                seen[_ngrams(text[a : a + limit + max(ORDERS) - 1], np.zeros(1, np.int64), keep)] = True
+            f = np.flatnonzero(seen)
+            yield 1, np.zeros(len(f), np.int64), f
+        else:
+            run = [" " + (t or "").lower() for t in texts[lo:hi]]
+            both = _ngrams(" ".join(run) + " ", np.cumsum([0, *[len(t) + 1 for t in run]]), keep)
+            yield hi - lo, both >> BITS, both & ((1 << BITS) - 1)
         lo = hi
 
 
@@ -179,7 +189,9 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(texts.tolist()))
+        out = pd.Series(model.scores(texts.tolist()))
+        trim()
+        return out
 
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
