@@ -32,8 +32,8 @@ def brute(text, item, k):
         used_b |= set(range(j, j + n))
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_like_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,chars", [(0, d.PART_CHARS), (1, d.PART_CHARS), (2, 0), (3, 0)])
+def test_like_brute_force(spark, seed, chars):
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(9)] + ["Épée"]
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([2, 6, 14, 25]))), "x") for i in range(6)] + [(90, None, "x"), (91, "...", "x"), (None, "w1", "x")]
@@ -47,7 +47,7 @@ def test_like_brute_force(spark, seed):
     docs += [(100, None, 1), (101, "", 1), docs[0]]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id long").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
-    got = sorted((x.doc_id, x.item_id, round(x.coverage, 9), x.n_tiles) for x in d.find_leaks(df, bench).collect())
+    got = sorted((x.doc_id, x.item_id, round(x.coverage, 9), x.n_tiles) for x in d.find_leaks(df, bench, part_chars=chars).collect())
     want = []
     for n, t, _ in docs:
         for i, s, _ in items:
@@ -56,7 +56,7 @@ def test_like_brute_force(spark, seed):
                 if covered >= 0.8:
                     want.append((n, i, round(covered, 9), len(tiles)))
     assert got == sorted(want) and want
-    kept = d.drop_leaks(df, bench)
+    kept = d.drop_leaks(df, bench, part_chars=chars)
     assert kept.columns == df.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted(n for n, _, _ in docs if n not in {w[0] for w in want})
 
@@ -69,3 +69,32 @@ def test_empty_tables_and_parts(spark, monkeypatch):
     assert d.find_leaks(docs, bench.limit(0)).count() == 0 and d.drop_leaks(docs, bench.limit(0)).count() == 25
     assert len(d.indexes(bench, part_chars=200)) > 2
     assert sorted((r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect()) == [(i, i) for i in range(20)]
+
+
+@pytest.mark.parametrize("chars", [d.PART_CHARS, 0])
+def test_common_passage_in_many_items_and_a_very_long_text(spark, chars):
+    shared = "in the middle of the"
+    items = [(i, f"{shared} tale number{i} was told twice") for i in range(300)]
+    docs = [(1, (shared + " night ") * 20_000), (2, "so " + items[7][1]), (3, shared), (4, " ".join(t for _, t in items[:3])), (None, items[9][1]), (2, "so " + items[7][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in d.find_leaks(df, bench, part_chars=chars).collect())
+    assert got == [("2", 7), ("2", 7), ("4", 0), ("4", 1), ("4", 2), ("None", 9)]
+    assert sorted(r.doc_id for r in d.drop_leaks(df, bench, part_chars=chars).collect()) == [1, 3]
+    assert d.find_leaks(df.limit(0), bench, part_chars=chars).count() == 0
+
+
+def test_the_rarest_windows_find_every_cover():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        m, k = int(r.integers(1, 40)), 5
+        words = r.integers(0, 6, m).astype(np.uint64)
+        k = min(k, m)
+        seeds = d.window_hashes(words, k)
+        keep = d.rarest(seeds, r.integers(1, 5, len(seeds)), m, k, 0.8)
+        left = np.isin(seeds, seeds[keep], invert=True)
+        reach = np.zeros(m, bool)
+        for i in np.flatnonzero(left):
+            reach[i : i + k] = True
+        assert reach.sum() < 0.8 * m
