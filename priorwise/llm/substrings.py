@@ -1,5 +1,5 @@
-"""Removal of repeated word windows: k-word windows are the edges of a de Bruijn graph, edges that several documents share are
-found in two shuffles, and runs of them with consecutive source coordinates are compacted to paths before texts are cut."""
+"""Removal of repeated word windows: k-word windows that several documents share are the edges of a de Bruijn graph whose nodes are
+their first and last k - 1 words; nonbranching paths are compacted in Spark joins, and source coordinates verify the spans that are cut."""
 
 from __future__ import annotations
 
@@ -11,15 +11,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, packed, ranges, saved, span_hashes, text_chunks, window_hashes, word_hashes, word_spans
+from .common import batches, packed, ranges, saved, span_hashes, text_chunks, trim, window_hashes, word_hashes, word_spans
+from .components import components
 
 K = 13
 #: Long enough that seeds of frequent words rarely meet by chance, also in large corpora.
 SEED_WORDS = 7
 #: Words that a task gathers before it looks for windows that its own documents share.
-CHUNK_WORDS = 600_000
+CHUNK_WORDS = 400_000
 #: Rows of a batch whose texts a task holds at a time.
 SLICE_ROWS = 1_000
+#: Places of a source document that share a key when spans meet paths.
+BLOCK = 256
 EMPTY = hashlib.sha256(b"").hexdigest()
 I64 = np.int64
 
@@ -145,20 +148,22 @@ def _expanded(it):
             some = batch.slice(lo, SLICE_ROWS)
             text = pa.array([unpack(z) for z in some.column(1).to_pylist()], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([some.column(0), text, *some.columns[2:]], ["doc_id", "text", *some.schema.names[2:]])
+            trim()
 
 
 def _digest(text: str) -> str:
     return hashlib.sha256(b" ".join(text.encode("utf-8", "surrogatepass").split())).hexdigest()
 
 
-#: An edge: g and the high half of h are its hashes, the low half its place. n > 0: a run of n edges that has a source already.
-EDGE = "g long, h long, doc long, nth int, n int, src long, src_pos int"
+#: A window (u, v: hashes of its first and last k - 1 words) at a place of a document. multi: other documents of the task have it too.
+#: n > 0: a run of n windows of which the task knows a source, in a document with a smaller id or earlier in this one.
+EDGE = "u long, v long, doc long, nth int, pos int, multi boolean, n int, src long, src_nth int, src_pos int"
 
 
 def _edges(k: int, seed_words: int):
     def run(it):
-        for chunk in _chunks(it, k, 2, True):
-            (h, other), at, doc, first = chunk.flat(k)
+        for chunk in _chunks(it, k, 1, True):
+            (h,), at, doc, first = chunk.flat(k)
             m = _minimizers(h, at, k, seed_words)
             sets = [np.frombuffer(x, I64) for x, _ in chunk.extra]
             tag = lambda seed, d: seed ^ (d.astype(I64) * I64(0x1E3779B97F4A7C15))
@@ -167,43 +172,42 @@ def _edges(k: int, seed_words: int):
             at, doc = at[near], doc[near]
             if not len(at):
                 continue
-            e1, e2 = window_hashes(h, k)[at].view(I64), (window_hashes(other, k, 5)[at] >> np.uint64(32)).view(I64)
-            ids, keys = np.array(chunk.docs, I64)[doc], np.array([n for _, n in chunk.extra], np.int32)[doc]
-            pos = (at - first[doc]).astype(np.int32)
-            order = np.lexsort((pos, ids, e2, e1))
-            e1, e2, ids, keys, pos = e1[order], e2[order], ids[order], keys[order], pos[order]
-            new = np.r_[True, (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1])]
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            nodes = window_hashes(h, k - 1).view(I64)
+            ids, nth, pos = np.array(chunk.docs, I64)[doc], np.array([n for _, n in chunk.extra], np.int32)[doc], (at - first[doc]).astype(np.int32)
+            order = np.lexsort((pos, nth, ids, nodes[at + 1], nodes[at]))
+            u, v, ids, nth, pos = nodes[at[order]], nodes[at[order] + 1], ids[order], nth[order], pos[order]
+            new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
+            own = np.r_[True, new[1:] | (ids[1:] != ids[:-1]) | (nth[1:] != nth[:-1])]  # the first place in its document
+            head, mine = np.flatnonzero(new)[np.cumsum(new) - 1], np.flatnonzero(own)[np.cumsum(own) - 1]
             least = ids == ids[head]
-            # the least id of this task still has to meet the other tasks'; the others have a source already, in runs
-            rest = np.flatnonzero(~least)
-            d, p, s, sp, ky = ids[rest], pos[rest], ids[head[rest]], pos[head[rest]], keys[rest]
-            o = np.lexsort((p, ky, d))
-            d, p, s, sp, ky = d[o], p[o], s[o], sp[o], ky[o]
-            cut = np.r_[True, (d[1:] != d[:-1]) | (ky[1:] != ky[:-1]) | (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (sp[1:] != sp[:-1] + 1)] if len(d) else np.zeros(0, bool)
+            several = np.maximum.reduceat(~least, np.flatnonzero(new))[np.cumsum(new) - 1]
+            # the least id of this task still has to meet the other tasks'; all else has a source already and leaves in runs
+            rest = np.flatnonzero(~least | ~own)
+            source = np.where(least, mine, head)[rest]
+            d, y, p, s, sy, sp = ids[rest], nth[rest], pos[rest], ids[source], nth[source], pos[source]
+            o = np.lexsort((p, y, d))
+            d, y, p, s, sy, sp = d[o], y[o], p[o], s[o], sy[o], sp[o]
+            cut = np.r_[True, (d[1:] != d[:-1]) | (y[1:] != y[:-1]) | (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (sy[1:] != sy[:-1]) | (sp[1:] != sp[:-1] + 1)][: len(d)]
             begin = np.flatnonzero(cut)
-            runs = np.diff(np.append(begin, len(d)))
-            a = np.flatnonzero(least)
+            runs = np.diff(np.append(begin, len(d))).astype(np.int32)
+            a = np.flatnonzero(least & own)
             a = a[np.lexsort((pos[a], ids[a]))]  # rows of one document side by side take less room in a shuffle
-            zero, m = np.zeros(len(a), I64), len(a)
+            none, r = np.zeros(len(a), np.int32), begin
             cols = [
-                np.concatenate([e1[a], d[begin] ^ (p[begin].astype(I64) << 20)]), np.concatenate([e2[a] << 32 | pos[a], p[begin].astype(I64)]),
-                np.concatenate([ids[a], d[begin]]), np.concatenate([keys[a], ky[begin]]), np.concatenate([zero.astype(np.int32), runs.astype(np.int32)]),
-                np.concatenate([zero, s[begin]]), np.concatenate([zero.astype(np.int32), sp[begin]]),
+                np.concatenate([u[a], d[r] ^ (p[r].astype(I64) << 20)]), np.concatenate([v[a], p[r].astype(I64)]), np.concatenate([ids[a], d[r]]), np.concatenate([nth[a], y[r]]),
+                np.concatenate([pos[a], p[r]]), np.concatenate([several[a], np.zeros(len(r), bool)]), np.concatenate([none, runs]), np.concatenate([none.astype(I64), s[r]]),
+                np.concatenate([none, sy[r]]), np.concatenate([none, sp[r]]),
             ]
-            for lo in range(0, m + len(begin), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], ["g", "h", "doc", "nth", "n", "src", "src_pos"])
+            for lo in range(0, len(cols[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], [c.split()[0] for c in EDGE.split(", ")])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(inventory, paths). inventory: doc_id, n_words, digest for each row of docs. paths: doc, nth, start, n_windows, src, src_start:
-    the maximal runs of windows of a document (of those with equal words: the least id) whose words stand, window by
-    window, from src_start on in src, a document with a smaller id. Rows with a null id have no paths and are no source."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    inventory = saved(docs.mapInArrow(_inventory, "doc_id long, n_words long, digest string"))
-    # 1. seeds: which least spans of windows do several documents share? A task sends a seed once, so a group has a row per task at most.
+def shared_edges(docs: DataFrame, inventory: DataFrame, k: int, seed_words: int) -> DataFrame:
+    """Windows that several documents have. first: the row of a window's source (least id, then place), with its nodes u, v and branches
+    (do other such windows begin at u?). Else an occurrence: n windows from pos on that stand from src_pos on in src; within one document, in itself."""
+    # seeds: which least spans of windows do several documents share? A task sends a seed once, so a group has a row per task at most.
     seeds = docs.mapInArrow(_seeds(k, seed_words), "g long, x long, kind byte")
     w = Window.partitionBy("g", F.col("kind") == 1)
     met = seeds.withColumn("_n", F.count(F.lit(1)).over(w)).where("kind = 1 or kind = 0 and _n > 1")
@@ -212,27 +216,71 @@ def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS) ->
     lists = met.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")).join(firsts, "doc_id", "left_semi")
 
     def bytes_of(it):
-        for batch in it:
+        for batch in batches(it):
             c = batch.column(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), packed(np.asarray(c.flatten()), np.asarray(c.value_lengths())).cast(pa.binary())], ["doc_id", "seeds"])
 
     lists = lists.mapInArrow(bytes_of, "doc_id long, seeds binary").join(several_texts(inventory), "doc_id", "left")
     candidates = compressed(docs).join(lists, "doc_id").select("doc_id", "z", "seeds", "several")
-    # 2. edges: windows with such seeds meet those of other tasks; 96 bits and the coordinates of the least occurrence verify them
-    edges = candidates.mapInArrow(_edges(k, seed_words), EDGE).repartition("g")
-    edges = edges.select("*", F.shiftright("h", 32).alias("g2"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
-    alone = F.col("n") == 0
-    least = F.min(F.when(alone, F.struct("doc", "pos"))).over(Window.partitionBy("g").orderBy("g2").rangeBetween(0, 0))  # of the rows with the same g and g2
-    found = edges.withColumn("_least", least).where(~alone | (F.col("doc") > F.col("_least.doc"))).select(
-        "doc", "nth", "pos", F.greatest("n", F.lit(1)).alias("n"), F.when(alone, F.col("_least.doc")).otherwise(F.col("src")).alias("src"), F.when(alone, F.col("_least.pos")).otherwise(F.col("src_pos")).alias("src_pos")
-    )
-    # 3. compaction: an edge joins the one before it in its document if their sources are neighbours too
-    w = Window.partitionBy("doc", "nth").orderBy("pos", "src", "src_pos")
+    # windows with such seeds meet those of other tasks; a task sends a window once, so a frequent one has a row per task at most
+    edges = candidates.mapInArrow(_edges(k, seed_words), EDGE).repartition("u")
+    known = F.col("n") > 0
+    each, ordered = Window.partitionBy("u", "v"), Window.partitionBy("u", "v").orderBy("doc", "nth", "pos")
+    edges = edges.withColumns({"_nth": F.row_number().over(ordered), "_least": F.first(F.struct("doc", "nth", "pos")).over(ordered)})
+    edges = edges.withColumn("_shared", F.max("multi").over(each) | (F.min("doc").over(each) < F.max("doc").over(each)))
+    edges = edges.withColumn("first", ~known & (F.col("_nth") == 1) & F.col("_shared"))
+    edges = edges.withColumn("branches", F.sum(F.col("first").cast("int")).over(Window.partitionBy("u")) > 1)
+    other = lambda c, least: F.when(known, F.col(c)).when(~F.col("first"), F.col(f"_least.{least}"))
+    rows = edges.where(known | F.col("first") | (F.col("doc") > F.col("_least.doc")))
+    return rows.select(
+        "first", *[F.when(F.col("first"), F.col(c)).alias(c) for c in ("u", "v", "branches")], "doc", "nth", "pos", F.greatest("n", F.lit(1)).alias("n"),
+        other("src", "doc").alias("src"), other("src_nth", "nth").alias("src_nth"), other("src_pos", "pos").alias("src_pos"),
+    )
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(path, src, src_nth, start, n): the nonbranching paths of the graph of distinct shared windows, by parts with consecutive places in one source.
+
+    A node is passed if one window ends and one begins there. Windows that follow each other in their source join by their coordinates;
+    parts whose ends meet at such a node join by node, and label contraction in joins closes chains of parts to paths."""
+    ends = edges.withColumn("joins", F.count(F.lit(1)).over(Window.partitionBy("v")) > 1)  # do other windows end at v?
+    w = Window.partitionBy("src", "src_nth").orderBy("pos")
+    goes_on = (F.lag("pos").over(w) + 1 == F.col("pos")) & ~F.lag("joins").over(w) & ~F.col("branches")
+    parts = ends.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = parts.groupBy("src", "src_nth", "_part").agg(
+        F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("n"), F.min_by("u", "pos").alias("from"), F.max_by("v", "pos").alias("to"),
+        F.min_by("branches", "pos").alias("branches"), F.max_by("joins", "pos").alias("joins"),
+    )
+    parts = saved(parts.drop("_part").withColumn("part", F.monotonically_increasing_id()))
+    links = parts.where("not joins").select(F.col("to").alias("node"), F.col("part").alias("a")).join(parts.where("not branches").select(F.col("from").alias("node"), F.col("part").alias("b")), "node")
+    labels = components(links.select("a", "b"))
+    return parts.join(labels, parts["part"] == labels["node"], "left").select(F.coalesce("label", "part").alias("path"), "src", "src_nth", "start", "n")
+
+
+def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(inventory, spans, again). inventory: doc_id, n_words, digest for each row of docs. spans: path, doc, nth, start, n_windows, src, src_nth,
+    src_start: windows of a document (of those with equal words: the least id) on one path, which stand, window by window, from src_start on in
+    src, a document with a smaller id. again: doc, nth, start, n_windows, own_start: windows that repeat earlier ones of their own document,
+    which spans have. nth tells the texts of one id apart. Rows with a null id have no spans and are no source."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    inventory = saved(docs.mapInArrow(_inventory, "doc_id long, n_words long, digest string"))
+    edges = saved(shared_edges(docs, inventory, k, seed_words))
+    paths = compacted(edges.where("first").select("u", "v", "branches", F.col("doc").alias("src"), F.col("nth").alias("src_nth"), "pos"))
+    again = edges.where("not first and src = doc").select("doc", "nth", F.col("pos").alias("start"), F.col("n").alias("n_windows"), F.col("src_pos").alias("own_start"))
+    # an occurrence joins the one before it in its document if their sources are neighbours too
+    found = edges.where("not first and src < doc").select("doc", "nth", "pos", "n", "src", "src_nth", "src_pos")
+    w = Window.partitionBy("doc", "nth").orderBy("pos", "src", "src_nth", "src_pos")
     before = lambda c: F.lag(c).over(w)
-    goes_on = (before(F.col("pos") + F.col("n")) == F.col("pos")) & (before("src") == F.col("src")) & (before(F.col("src_pos") + F.col("n")) == F.col("src_pos"))
-    islands = found.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_path", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    paths = islands.groupBy("doc", "nth", "_path").agg(F.min("pos").alias("start"), F.sum("n").cast("int").alias("n_windows"), F.min("src").alias("src"), F.min("src_pos").alias("src_start"))
-    return inventory, paths.drop("_path")
+    goes_on = (before(F.col("pos") + F.col("n")) == F.col("pos")) & (before("src") == F.col("src")) & (before("src_nth") == F.col("src_nth")) & (before(F.col("src_pos") + F.col("n")) == F.col("src_pos"))
+    islands = found.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = islands.groupBy("doc", "nth", "_run").agg(F.min("pos").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("src_nth").alias("src_nth"), F.min("src_pos").alias("src_start"))
+    # runs meet the paths that pass through their sources, by blocks of places, and each pair counts in the block where it begins
+    blocks = lambda start: F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor((F.col(start) + F.col("n") - 1) / BLOCK)))
+    met = runs.withColumn("block", blocks("src_start")).join(paths.withColumn("block", blocks("start")).select("path", "src", "src_nth", "block", F.col("start").alias("_from"), (F.col("start") + F.col("n")).alias("_to")), ["src", "src_nth", "block"])
+    low, high = F.greatest("src_start", "_from"), F.least(F.col("src_start") + F.col("n"), F.col("_to"))
+    met = met.where((low < high) & (F.floor(low / BLOCK) == F.col("block")))
+    spans = met.select("path", "doc", "nth", (F.col("start") + low - F.col("src_start")).alias("start"), (high - low).alias("n_windows"), "src", "src_nth", low.alias("src_start"))
+    return inventory, saved(spans), again
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -245,17 +293,43 @@ def several_texts(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy("doc_id").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b"), F.sort_array(F.collect_set("digest")).alias("several")).where("_a < _b").select("doc_id", "several")
 
 
+def _span(words: list[bytes], start: int, n: int, k: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start : start + n + k - 1]), digest_size=16).digest()
+
+
+def _of_sources(k: int):
+    """(src, src_nth, src_start, n_windows, digest of the words) of the wanted spans of each text."""
+
+    def run(it):
+        for batch in _expanded(it):
+            out = []
+            for row, (doc, text, owners, starts, ns) in enumerate(zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)])):
+                words, nth = text.encode("utf-8", "surrogatepass").split(), _nth(batch, row)
+                out += [(doc, nth, a, n, _span(words, a, n, k)) for own, a, n in zip(owners, starts, ns) if own == nth]
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["src", "src_nth", "src_start", "n_windows", "source"])
+
+    return run
+
+
 def _cut(k: int):
+    """Texts without the words under spans whose words are those of their source."""
+
     def run(it):
         for batch in _expanded(it):
             out = {"doc_id": [], "digest": [], "n_removed": [], "kept": []}
-            for row, (doc, text, owners, starts, ns) in enumerate(zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)])):
+            for row, (doc, text, owners, starts, ns, sources, earlier) in enumerate(zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6, 7)])):
                 words, nth = text.encode("utf-8", "surrogatepass").split(), _nth(batch, row)
+                windows = np.zeros(max(len(words) - k + 1, 0), bool)
+                for own, start, n, source in zip(owners, starts, ns, sources):
+                    if own == nth and source is not None and _span(words, start, n, k) == source:
+                        windows[start : start + n] = True
+                for own, start, n, first in zip(owners, starts, ns, earlier):
+                    if own == nth and first is not None:
+                        windows[start : start + n] |= windows[first : first + n]
                 edge = np.zeros(len(words) + 1, I64)
-                for own, start, n in zip(owners, starts, ns):
-                    if own == nth:
-                        edge[start] += 1
-                        edge[start + n + k - 1] -= 1
+                np.add.at(edge, np.flatnonzero(windows), 1)
+                np.add.at(edge, np.flatnonzero(windows) + k, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 out["doc_id"].append(doc)
                 out["digest"].append(hashlib.sha256(b" ".join(words)).hexdigest())
@@ -266,17 +340,27 @@ def _cut(k: int):
     return run
 
 
+def _lists(rows: DataFrame, by: str, fields: list[str]) -> DataFrame:
+    """(doc_id, and a list of each field). A document's list is bounded by its own length."""
+    got = rows.groupBy(F.col(by).alias("doc_id")).agg(F.collect_list(F.struct(*fields)).alias("_s"))
+    return got.select("doc_id", *[F.col("_s").getField(f).alias(f) for f in fields])
+
+
 def remove_repeats(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS, keep_text: bool = True) -> DataFrame:
     """For each row: doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept (the words that stay, joined by one space).
 
     A word goes if a window of k words over it also begins in a document with a smaller id; all windows are judged on
     the input. Null text: no words. Rows with a null id stay whole. Repeated rows get equal results; of rows with one id and
     several texts each is judged by itself. No rows give no rows."""
-    inventory, paths = repeated_spans(docs, k, seed_words)
+    inventory, spans, again = repeated_spans(docs, k, seed_words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = paths.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("nth", "start", "n_windows")).alias("_s"))
-    spans = spans.select("doc_id", *[F.col("_s").getField(f).alias(f) for f in ("nth", "start", "n_windows")]).join(several_texts(inventory), "doc_id", "left")
-    cut = compressed(docs).join(spans, "doc_id").select("doc_id", "z", "nth", "several", "start", "n_windows").mapInArrow(_cut(k), "doc_id long, digest string, n_removed long, kept string")
+    several, place = several_texts(inventory), ["src", "src_nth", "src_start", "n_windows"]
+    wanted = _lists(spans.select(*place).distinct(), "src", place[1:]).join(several, "doc_id", "left")
+    sources = compressed(docs).join(wanted, "doc_id").select("doc_id", "z", "src_nth", "several", "src_start", "n_windows").mapInArrow(_of_sources(k), "src long, src_nth int, src_start int, n_windows int, source binary").distinct()
+    known = spans.join(sources, place).select("doc", "nth", "start", "n_windows", "source", F.lit(None).cast("int").alias("own_start"))
+    known = known.unionByName(again.join(spans.select("doc").distinct(), "doc", "left_semi").withColumn("source", F.lit(None).cast("binary")))
+    lists = _lists(known, "doc", ["nth", "start", "n_windows", "source", "own_start"]).join(several, "doc_id", "left")
+    cut = compressed(docs).join(lists, "doc_id").select("doc_id", "z", "nth", "several", "start", "n_windows", "source", "own_start").mapInArrow(_cut(k), "doc_id long, digest string, n_removed long, kept string")
     cut = cut.withColumn("kept_sha256", F.sha2("kept", 256))
     cut = cut.groupBy("doc_id", "digest").agg(*[F.first(c).alias(c) for c in ("n_removed", "kept_sha256", *["kept"] * keep_text)])
     firsts = inventory.dropna(subset=["doc_id"]).groupBy("digest").agg(F.min("doc_id").alias("_first"))

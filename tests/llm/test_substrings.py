@@ -58,8 +58,8 @@ def test_like_brute_force(spark, seed, parts, chunk, monkeypatch):
 def test_paths_have_true_sources(spark):
     docs = {d: (t or "").split() for d, t, _ in corpus(4) if d is not None}
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string").repartition(5)
-    _, paths = substrings.repeated_spans(df, 13, 5)
-    rows = paths.collect()
+    _, spans, _ = substrings.repeated_spans(df, 13, 5)
+    rows = spans.collect()
     assert rows
     for p in rows:
         n = p.n_windows + 12
@@ -72,3 +72,36 @@ def test_no_rows_and_one_id_with_two_texts(spark):
     rows = [(1, a), (5, b), (5, "x y " + a + " z")]
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed, r.kept) for r in got) == [(1, 0, a), (5, 0, b), (5, 20, "x y z")]
+
+
+def test_branching_nodes_end_paths(spark, monkeypatch):
+    """k = 3 words. x = m1..m6 follows a in two texts and b in two; y leaves it in two and z in two: five paths, joined at no branching node."""
+    middle = "m1 m2 m3 m4 m5 m6"
+    texts = [f"a1 a2 a3 {middle} y1 y2 y3", f"b1 b2 b3 {middle} z1 z2 z3", f"q a1 a2 a3 {middle} z1 z2 z3 r", f"s b1 b2 b3 {middle} y1 y2 y3 t"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    _, spans, _ = substrings.repeated_spans(df, 3, 2)
+    words = [t.split() for t in texts]
+    by_path = {}
+    for r in spans.collect():
+        assert words[r.doc][r.start : r.start + r.n_windows + 2] == words[r.src][r.src_start : r.src_start + r.n_windows + 2]
+        by_path.setdefault(r.path, set()).add(" ".join(words[r.doc][r.start : r.start + r.n_windows + 2]))
+    assert sorted(map(sorted, by_path.values())) == sorted([["a1 a2 a3 m1 m2"], ["b1 b2 b3 m1 m2"], ["m1 m2 m3 m4 m5 m6"], ["m5 m6 y1 y2 y3"], ["m5 m6 z1 z2 z3"]])
+
+
+def test_parts_from_several_sources_are_one_path(spark):
+    """Nonbranching windows whose sources lie in two documents: node joins close the parts to one path."""
+    w = [f"w{i}" for i in range(12)]
+    rows = [(1, w[4:12]), (2, w[:8]), (3, w)]
+    _, spans, _ = substrings.repeated_spans(spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string"), 3, 2)
+    got = [r for r in spans.collect() if r.doc == 3]
+    assert {r.src for r in got} == {1, 2} and len({r.path for r in got}) == 1 and sum(r.n_windows for r in got) == 10
+
+
+def test_collided_windows_are_not_cut(spark, monkeypatch):
+    """All nodes get one hash, so windows of different words count as equal; the words of the source refuse them."""
+    real = substrings.window_hashes
+    monkeypatch.setattr(substrings, "window_hashes", lambda h, k, *a: real(h, k, *a) * 0 if k == 12 else real(h, k, *a))
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(1, shared + " a b c"), (2, "x y z " + shared), (3, "only this " + " ".join(f"o{i}" for i in range(20)))]
+    got = {r.doc_id: r.kept for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
