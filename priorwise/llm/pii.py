@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, saved
+from .common import discard, free_name, saved, trim
 
-KEY = b"change this key"
+#: Session setting with the key of the surrogates, and the key of evaluations, which keeps nothing secret and is used (with a warning) only without it.
+KEY_SETTING = "spark.priorwise.pii.key"
+EVALUATION_KEY = b"evaluation only"
 
 # Forms of address, and some given names by gender.
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mademoiselle": "f", "Señora": "f", "Señorita": "f", "Doña": "f", "Dr": "n", "Prof": "n", "Господин": "m", "Госпожа": "f"}
@@ -30,36 +33,111 @@ NUMBERS = re.compile(
     r"|(?P<secret>(?<!\w)(?:(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xoxb|AKIA|AIza)[-_]?[A-Za-z0-9_-]{16,})(?!\w))"
     r"|(?P<national>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
-    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]\(?\d{2,8}\)?){2,5}(?!\w))"
+    r"|(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]\(?\d{2,8}\)?){2,5}(?!\w)|(?<![\w./-])0[1-9]\d{0,3}[ /-]\d{5,8}(?![\w./-]))"
     r"|(?P<account>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
 )
 WORD = re.compile(r"[^\W\d_]+")
 TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ((?:[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)?)(?!\w)")
 GIVEN = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r") ([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?!\w)")
 _MARKS = {*TITLES, *GENDER}
+_NAME = r"[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+"
+# Phrases before a name, a date of birth or a passport number; words of streets; country calling codes of one and two digits.
+SAID = re.compile(r"(?i:(?<!\w)(?:my name is|name:|mein name ist|ich heiße|je m'appelle|me llamo|mi nombre es|меня зовут)) +(" + _NAME + ") (" + _NAME + r")(?!\w)")
+BORN = re.compile(r"(?i:(?<!\w)(?:born(?: on)?|date of birth:?|dob:?|geboren am|geburtsdatum:?|né le|née le|nacido el|nacida el|fecha de nacimiento:?|родился|родилась)) +(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2})(?!\d)")
+PASSPORT = re.compile(r"(?i:(?<!\w)(?:passport|reisepass|passeport|pasaporte|паспорт)(?: no\.?| number|nummer| n°)?:?) +(?=[A-Z]{0,9}\d)([A-Z0-9]{8,9})(?!\w)")
+STREET = {"street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "drive", "boulevard", "blvd", "court", "square", "rue", "place", "calle", "avenida", "plaza", "de", "du", "des", "la", "le"}
+COMPOUND = re.compile(r"(straße|strasse|weg|platz|allee|gasse)$")
+ADDRESS = re.compile(
+    r"(?<!\w)\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?!\w)"
+    r"|(?<!\w)[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse) \d{1,4}[a-z]?(?!\w)"
+    r"|(?<!\w)\d{1,4} (?:rue|avenue|boulevard|place) (?:(?:de|du|des|la|le) )*[A-ZÀ-Þ][a-zà-þ]+(?!\w)"
+    r"|(?<!\w)(?:Calle|Avenida|Plaza) (?:(?:de|la) )*[A-ZÀ-Þ][a-zà-þ]+ \d{1,4}(?!\w)"
+)
+CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 _KEY = r"(?:sk|pk|ghp|gho|xoxb|AKIA|AIza)[-_]?[A-Za-z0-9_-]{16}"
 _NUMBERED = re.compile(r"\d|" + _KEY)  # found in every text in which NUMBERS is
 
 
+# Parts that every match of the pattern has in it (of the text in lower case; of ADDRESS: as written): texts without any skip the pattern.
+_HAS = {
+    SAID: ("my name is", "name:", "mein name ist", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "меня зовут"),
+    BORN: ("born", "date of birth", "dob", "geboren", "geburtsdatum", "né", "nacid", "fecha de nacimiento", "родил"),
+    PASSPORT: ("passport", "reisepass", "passeport", "pasaporte", "паспорт"),
+    ADDRESS: ("St", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "straße", "strasse", "weg", "platz", "allee", "gasse", "rue ", "avenue ", "boulevard ", "place ", "Calle", "Plaza"),
+}
+
+
+def _all(pattern: re.Pattern, text: str, seen: str) -> Iterator[re.Match]:
+    return pattern.finditer(text) if any(x in seen for x in _HAS[pattern]) else iter(())
+
+
+def national(phone: str) -> str:
+    """The digits of a phone number without country code and leading zeros: forms with and without them are one entity."""
+    digits = re.sub(r"\D", "", phone)
+    if phone.startswith("+"):
+        digits = digits[next((n for n in (1, 2) if digits[:n] in CALLING), 3) :]
+    return digits.lstrip("0") or digits
+
+
+def _private(ip: str) -> bool:
+    a, b = map(int, ip.split(".")[:2])
+    return a in (10, 127) or (a, b) == (192, 168) or a == 172 and 16 <= b < 32
+
+
+def _names(text: str, lower: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles, given names and introductions, and bare parts of these elsewhere in the text. A given name's gender is that of any
+    of its mentions that tells one."""
+    found, genders, lasts = [], {}, set()
+
+    def person(first, last, gender):
+        if first:
+            found.append((*first, "first", gender))
+            name = text[slice(*first)].lower()
+            genders[name] = GENDER.get(text[slice(*first)], gender) if gender == "n" and genders.get(name, "n") == "n" else genders[name] if genders.get(name, "n") != "n" else gender
+        if last:
+            found.append((*last, "last", ""))
+            lasts.add(text[slice(*last)])
+
+    marked = not _MARKS.isdisjoint(WORD.findall(text))  # a title or given name that matches is a whole run of letters
+    for m in TITLED.finditer(text) if marked else ():
+        first, _, last = m[2].partition(" ")
+        at = m.start(2)
+        person((at, at + len(first)) if last else None, (at + len(first) + 1, m.end()) if last else (at, m.end()), TITLES[m[1]])
+    for m in GIVEN.finditer(text) if marked else ():
+        person(m.span(1), m.span(2), GENDER[m[1]])
+    for m in _all(SAID, text, lower):
+        person(m.span(1), m.span(2), GENDER.get(m[1], "n"))
+    if not found:
+        return []
+    known = {(a, b) for a, b, _, _ in found}
+    firsts = {text[a:b] for a, b, kind, _ in found if kind == "first"}
+    for m in WORD.finditer(text):
+        if m.span() not in known and (m[0] in lasts or m[0] in firsts):
+            found.append((*m.span(), "last" if m[0] in lasts else "first", ""))
+    return [(a, b, "last" if kind == "last" else f"first_{genders[text[a:b].lower()]}", text[a:b].lower()) for a, b, kind, _ in found]
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, in order, without overlaps.
 
-    kind: email, iban, secret, national, ip, phone, account, first_f, first_m, first_n, last. Forms that differ only in case or
-    punctuation, or by a phone's country code, have one canonical form."""
+    kind: email, iban, secret, national, ip, private (addresses of private networks), phone, account, born, passport, address, first_f,
+    first_m, first_n, last. Forms that differ only in case or punctuation, or by a phone's country code, have one canonical form."""
     if not text:
         return []
     found: list[tuple[int, int, str, str]] = []
+    lower = text.lower()
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
-    if any(d in text for d in "0123456789") or _NUMBERED.search(text):
+    if _NUMBERED.search(text):
         for m in NUMBERS.finditer(text):
             kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
             if kind == "ip":
                 if any(int(x) > 255 for x in m[0].split(".")):
                     continue
-                canon = m[0]
+                canon = ".".join(str(int(x)) for x in m[0].split("."))
+                kind = "private" if _private(canon) else kind
             elif kind == "phone":
-                canon = digits[-10:] if len(digits) >= 10 else digits
+                canon = national(m[0])
             elif kind == "iban":
                 canon = m[0].replace(" ", "")
             elif kind == "secret":
@@ -67,17 +145,10 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             else:
                 canon = digits
             found.append((m.start(), m.end(), kind, canon))
-    if not _MARKS.isdisjoint(WORD.findall(text)):  # a title or given name that matches is a whole run of letters
-        for m in TITLED.finditer(text):
-            first, _, last = m[2].partition(" ")
-            gender = TITLES[m[1]] if TITLES[m[1]] != "n" else GENDER.get(first, "n")
-            at = m.start(2)
-            if last:
-                found += [(at, at + len(first), f"first_{gender}", first.lower()), (at + len(first) + 1, m.end(), "last", last.lower())]
-            else:
-                found.append((at, m.end(), "last", first.lower()))
-        for m in GIVEN.finditer(text):
-            found += [(m.start(1), m.end(1), f"first_{GENDER[m[1]]}", m[1].lower()), (m.start(2), m.end(2), "last", m[2].lower())]
+        for kind, pattern in (("born", BORN), ("passport", PASSPORT)):
+            found += [(m.start(1), m.end(1), kind, m[1]) for m in _all(pattern, text, lower)]
+        found += [(m.start(), m.end(), "address", m[0].lower()) for m in _all(ADDRESS, text, text)]
+    found += _names(text, lower)
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -122,6 +193,21 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def _next_of(x: int, bits: int, key: bytes) -> int:
+    """The next number on a keyed cycle through all numbers of so many bits (even): no two have one successor and none has itself."""
+    half = bits // 2
+    low = (1 << half) - 1
+    mixed = lambda i, v: int.from_bytes(hashlib.blake2b(bytes([i]) + v.to_bytes(4, "big"), key=key[:64], digest_size=4).digest(), "big") & low
+    a, b = x >> half, x & low
+    for i in range(8):
+        a, b = b, a ^ mixed(i, b)
+    y = ((a << half | b) + 1) & ((1 << bits) - 1)
+    a, b = y >> half, y & low
+    for i in reversed(range(8)):
+        a, b = b ^ mixed(i, a), a
+    return a << half | b
+
+
 def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     """A canonical form of the same type and format that only the key, the entity and the attempt decide."""
     b = _stream(key, kind, canon, attempt)
@@ -131,12 +217,32 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         top = domain.rpartition(".")[2]
         return f"{_shape(local, b)}@{''.join(chr(97 + _pick(d, 26)) for _ in range(8))}.example.{top if top in ('com', 'net', 'org') else 'com'}"
     if kind == "ip":
+        head = [x for x in range(11, 224) if x not in (127, 172, 192)][_pick(b, 210)]
+        return ".".join(map(str, [head, *[1 + _pick(b, 254) for _ in range(3)]]))
+    if kind == "private":
         o = [int(x) for x in canon.split(".")]
-        head = [o[0]] if o[0] in (10, 127) else o[:2] if o[:2] == [192, 168] or o[0] == 172 and 16 <= o[1] < 32 else [[x for x in range(11, 224) if x not in (127, 172, 192)][_pick(b, 210)]]
-        return ".".join(map(str, head + [1 + _pick(b, 254) for _ in range(4 - len(head))]))
+        bits = 24 if o[0] in (10, 127) else 20 if o[0] == 172 else 16
+        number = int.from_bytes(bytes(o), "big")
+        new = (number >> bits << bits | _next_of(number & ((1 << bits) - 1), bits, key)).to_bytes(4, "big")
+        return ".".join(map(str, new))
+    if kind == "born":
+        return re.sub(r"\d+", lambda m: str(1940 + _pick(b, 65)) if len(m[0]) == 4 else str(1 + _pick(b, 12 if len(m[0]) == 2 else 9)).zfill(len(m[0])), canon)
+    if kind == "passport":
+        return _shape(canon, b)
+    if kind == "address":
+        s = SYLLABLES["latin"]
+        invented = lambda: "".join(s[_pick(b, len(s))] for _ in range(2 + attempt // 3))
+
+        def word(w: str) -> str:
+            if w[0].isdigit():
+                return str(1 + _pick(b, 9)) + _shape(w[1:], b)
+            end = COMPOUND.search(w)
+            return w if w in STREET else invented() + end[0] if end else invented() + "n"
+
+        return " ".join(map(word, canon.split(" ")))
     if kind == "phone":
         out = _shape(canon, b)
-        return out if len(canon) < 10 else str(2 + _pick(b, 8)) + out[1:3] + str(2 + _pick(b, 8)) + out[4:]
+        return str(1 + _pick(b, 9)) + out[1:] if len(canon) != 10 else str(2 + _pick(b, 8)) + out[1:3] + str(2 + _pick(b, 8)) + out[4:]
     if kind == "national":
         return "9" + _shape(canon[1:], b)
     if kind == "account":
@@ -170,6 +276,8 @@ def written(kind: str, surface: str, new: str) -> str:
             if left and (out[i].isalnum() if kind == "iban" else out[i].isdigit()):
                 out[i] = left.pop()
         return "".join(out)
+    if kind == "address":
+        return " ".join(n[:1].upper() + n[1:] if o[:1].isupper() else n for o, n in zip(surface.split(" "), new.split(" ")))
     if kind in ("email", "secret") and surface.isupper() and any(c.isalpha() for c in surface):
         return new.upper()
     if kind.startswith("first") or kind == "last":
@@ -181,19 +289,31 @@ def _marks(docs: DataFrame, text: str) -> tuple:
     return F.xxhash64(F.col(text)).alias("_k1"), F.xxhash64(F.lit(7), F.col(text)).alias("_k2")
 
 
-def assign_surrogates(entities: DataFrame, key: bytes = KEY, rounds: int = 200) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session setting spark.priorwise.pii.key; without it that of evaluations, with a warning."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: surrogates are made with the evaluation key and are no secret", stacklevel=3)
+    return EVALUATION_KEY
+
+
+def assign_surrogates(entities: DataFrame, key: bytes | None = None, rounds: int = 200) -> DataFrame:
     """(kind, canon, surrogate) for distinct entities (kind, canon): no two of a kind share a surrogate, and none is an entity of
-    the corpus. Entities whose candidate collides try again, round by round; of several with one candidate the least keeps it."""
+    the corpus. Entities whose candidate collides try again, round by round; of several with one candidate the least keeps it.
+    Addresses of private networks, whose spaces are small, go round a keyed cycle through the space instead: distinct at once, though a
+    surrogate may be another real address there. No entities give no rows. Raises where a kind still collides after all rounds."""
+    key = key or session_key(entities.sparkSession)
 
     def make(attempt: int):
         return F.pandas_udf(lambda kind, canon: pd.Series([surrogate(k, c, attempt, key) for k, c in zip(kind, canon)]), "string")("kind", "canon")
 
-    real = saved(entities.select("kind", "canon").distinct())
+    every = saved(entities.select("kind", "canon").distinct())
+    real, closed = every.where("kind <> 'private'"), saved(every.where("kind = 'private'").select("kind", "canon", make(0).alias("surrogate")))
     pending, done = real, None
     for attempt in range(rounds):
         tried = saved(pending.select("kind", "canon", make(attempt).alias("surrogate")))
         if not tried.limit(1).count():
-            return done if done is not None else tried
+            return (done if done is not None else tried).unionByName(closed)
         taken = real.select("kind", F.col("canon").alias("surrogate"))
         if done is not None:
             taken = taken.unionByName(done.select("kind", "surrogate"))
@@ -206,21 +326,24 @@ def assign_surrogates(entities: DataFrame, key: bytes = KEY, rounds: int = 200)
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes | None = None, text: str = "text") -> DataFrame:
     """docs with every detected entity in text replaced, and n_entities (long), the number of mentions replaced.
 
+    key: secret of the surrogates (None: that of the session setting spark.priorwise.pii.key). An empty table gives no rows.
     One entity has one surrogate in the whole corpus, different ones different surrogates. A null or empty text stays as it is.
     Other columns, repeated rows included, are kept; a column named n_entities is replaced. Entities travel by text, so ids may be null or repeated."""
+    key = key or session_key(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_entities"])
     k1, k2 = free_name(docs, "_k1"), free_name(docs, "_k2")
 
     @F.pandas_udf("array<struct<kind:string,canon:string>>")
     def detect(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"kind": k, "canon": c} for k, c in dict.fromkeys(x[2:] for x in mentions(t))])
+        out = texts.map(lambda t: [{"kind": k, "canon": c} for k, c in dict.fromkeys(x[2:] for x in mentions(t))])
+        trim()
+        return out
 
-    # JVM-side, and true of every text with an entity: only these pass through Python here (a digit may be newer than the JVM's tables)
-    may = F.col(text).rlike("[0-9@\\p{Nd}\\p{Cn}]|" + _KEY + "|(?<![\\p{L}])(?:" + "|".join([*TITLES, *GENDER]) + ")(?![\\p{L}])")
-    hits = saved(docs.where(may).select(*_marks(docs, text), F.explode(detect(F.col(text))).alias("e")).select("_k1", "_k2", "e.kind", "e.canon").distinct())
+    # every text passes through Python once: a filter by all names and forms in the JVM takes three times as long
+    hits = saved(docs.select(*_marks(docs, text), F.explode(detect(F.col(text))).alias("e")).select("_k1", "_k2", "e.kind", "e.canon").distinct())
     mapped = assign_surrogates(hits, key)
     lists = hits.join(mapped, ["kind", "canon"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_e"))
     lists = lists.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), *[F.col("_e").getField(c).alias(f"_{c}") for c in ("kind", "canon", "surrogate")])

@@ -84,3 +84,83 @@ def test_names_after_marks_and_keys_without_digits(spark):
     out = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_entities for r in out} == {i: len(k) for i, k in enumerate(kinds)}
     assert all(r.text != texts[r.doc_id] for r in out)
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("Mrs. Anna Schmidt called. Later Schmidt left and Anna smiled.", ["first_f anna", "last schmidt", "last schmidt", "first_f anna"]),
+        ("Dr Robin Weber and Mr Robin Weber", ["first_m robin", "last weber", "first_m robin", "last weber"]),
+        ("my name is Wei Zhang, as Zhang said", ["first_n wei", "last zhang", "last zhang"]),
+        ("call +49 30 1234567 or 030 1234567", ["phone 301234567", "phone 301234567"]),
+        ("born on 12.03.1980, passport no C01X00T47", ["born 12.03.1980", "passport C01X00T47"]),
+        ("at 12 Baker Street and Lindenstraße 5 and 8 rue de la Paix", ["address 12 baker street", "address lindenstraße 5", "address 8 rue de la paix"]),
+        ("the Street of 12 bakers, 2001/02 1234567, page 01-12345.6", []),
+    ],
+)
+def test_coreference_and_more_kinds(text, found):
+    assert [f"{k} {c}" for _, _, k, c in pii.mentions(text)] == found
+
+
+def test_the_four_sentences(spark):
+    texts = ["Mrs. Anna Schmidt called. Later Schmidt left and Anna smiled.", "Dr Robin Weber and Mr Robin Weber", "Write to Wei Zhang: my name is Wei Zhang, 12 Baker Street, born 1980-03-12, passport C01X00T47", "+49 30 1234567 is 030 1234567"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, N_Entities string")
+    out = pii.replace_pii(df, b"k")
+    assert out.columns == ["doc_id", "text", "n_entities"]
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mrs\. (\w+) (\w+) called\. Later (\w+) left and (\w+) smiled\.", got[0])
+    assert a[1] == a[4] != "Anna" and a[2] == a[3] != "Schmidt"
+    b = re.fullmatch(r"Dr (\w+) (\w+) and Mr (\w+) (\w+)", got[1])
+    assert b[1] == b[3] and b[2] == b[4]
+    assert not re.search("Wei|Zhang|Baker|1980|C01X00T47", got[2]) and re.search(r"\d\d \w+ Street, born \d{4}-\d\d-\d\d, passport [A-Z]\d\d[A-Z]\d\d[A-Z]\d\d", got[2])
+    c = re.fullmatch(r"\+49 (\d\d) (\d{7}) is 0(\d\d) (\d{7})", got[3])
+    assert c[1] == c[3] and c[2] == c[4] != "1234567"
+
+
+def test_crowded_private_networks(spark):
+    texts = [f"192.168.{i}.{j}" for i in range(150) for j in range(0, 256, 2)] + [f"172.16.0.{j}" for j in range(256)]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), b"k").orderBy("doc_id").collect()]
+    assert len(set(out)) == len(texts) and all(a != b and a.split(".")[0] == b.split(".")[0] for a, b in zip(texts, out))
+    assert all(re.fullmatch(r"192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+", x) for x in out)
+
+
+def plain(texts, key):
+    """The whole operator in loops: entities, rounds of candidates, replacement."""
+    real = {x[2:] for t in texts for x in pii.mentions(t)}
+    done = {x: pii.surrogate(*x, 0, key) for x in real if x[0] == "private"}
+    pending, attempt = sorted(x for x in real if x[0] != "private"), 0
+    while pending:
+        tried = {x: (x[0], pii.surrogate(*x, attempt, key)) for x in pending}
+        taken = {x for x in real if x[0] != "private"} | {(k, v) for (k, _), v in done.items() if k != "private"}
+        for x in pending:
+            if tried[x] not in taken and x == min(y for y in pending if tried[y] == tried[x]):
+                done[x] = tried[x][1]
+        pending, attempt = [x for x in pending if x not in done], attempt + 1
+    out = []
+    for t in texts:
+        at, parts, found = 0, [], pii.mentions(t)
+        for a, b, kind, canon in found:
+            parts += [t[at:a], pii.written(kind, t[a:b], done[kind, canon])]
+            at = b
+        out.append(("".join([*parts, t[at:]]) if found else t, len(found)))
+    return out
+
+
+def test_like_plain_loops(spark):
+    r = __import__("random").Random(5)
+    bits = ["Mr Adam Stone", "Ms Eva Stone", "Anna Weber", "Weber", "a.b@x.org", "10.0.0.7", "58.40.156.104", "+1 (407) 555-7710", "(407) 555-7710", "078-05-1120", "4111 1111 1111 1111", "born 1.2.1970", "some words", "Hans Adam", "Herr Anna", "Frau Eva Adam"]
+    texts = [" and ".join(r.choice(bits) for _ in range(r.randrange(5))) for _ in range(80)] + [None, "", "x " * 100_000 + "Anna Weber"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = [(x.text, x.n_entities) for x in pii.replace_pii(df, b"secret").orderBy("doc_id").collect()]
+    assert got == plain(texts, b"secret")
+
+
+def test_key_of_the_session(spark):
+    df = spark.createDataFrame([(1, "a.b@x.org")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="evaluation key"):
+        open_ = pii.replace_pii(df).first().text
+    spark.conf.set(pii.KEY_SETTING, "hidden")
+    try:
+        assert open_ != pii.replace_pii(df).first().text == pii.replace_pii(df, b"hidden").first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
