@@ -133,3 +133,29 @@ def trailing_number(c: str | Column) -> Column:
 
 def initial(c: str | Column) -> Column:
     return F.upper(F.substring(col(c), 1, 1))
+
+
+def products(numbers: Sequence[str], marks: Sequence[str] = ()) -> dict[str, Column]:
+    """<a>_x_<b>: each pair of numbers, and each number with each 0/1 column; null if a factor is."""
+    pairs = [(a, b) for i, a in enumerate(numbers) for b in [*numbers[i + 1 :], *marks]]
+    return {f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in pairs}
+
+
+def trends(recent: Sequence[str], base: str) -> dict[str, Column]:
+    """<rate>_dev: each recent rate less the long-run one, and <first>_trend: the first less the last; null if a part is."""
+    out = {f"{r}_dev": F.col(r) - F.col(base) for r in recent}
+    return out | ({f"{recent[0]}_trend": F.col(recent[0]) - F.col(recent[-1])} if len(recent) > 1 else {})
+
+
+def oriented(first: Column, pairs: dict[str, tuple[str, str]]) -> dict[str, Column]:
+    """own_<name> and other_<name> of paired columns (a, b): a is the own side where `first` holds, b where it doesn't; null if it is unknown."""
+    out = {}
+    for name, (a, b) in pairs.items():
+        out[f"own_{name}"] = F.when(first, F.col(a)).when(~first, F.col(b))
+        out[f"other_{name}"] = F.when(first, F.col(b)).when(~first, F.col(a))
+    return out
+
+
+def range_flags(c: str, ranges: dict[str, tuple[float, float]]) -> dict[str, Column]:
+    """1 where the column lies in a range, ends included, else 0; null counts as outside."""
+    return {name: F.coalesce(F.col(c).between(a, b).cast("int"), F.lit(0)) for name, (a, b) in ranges.items()}

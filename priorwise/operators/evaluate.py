@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import bin_right, col, logit, sigmoid
 
 
+#: Ranges of scores that a window over all of them is split into.
+RANGES = 200
+
+
 def brier(p: str | Column, y: str | Column) -> Column:
     return F.avg(F.pow(col(p) - col(y), 2))
 
@@ -115,16 +119,23 @@ def confirmed_cells(res: DataFrame, period: str, discover: Sequence, confirm, le
     return d.join(c, ["axis", "cell"], "left").select("axis", "cell", "discovered", "confirmed")
 
 
-def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """The matrix of sums of products of the columns and a constant, one aggregate over the rows."""
+def grams(df: DataFrame, columns: Sequence[str], *by: str) -> list[np.ndarray]:
+    """For each group the matrix of sums of products of the columns and a constant: one aggregate over the rows."""
     c = [F.lit(1.0), *[F.col(x).cast("double") for x in columns]]
     n = len(c)
     at = [(i, j) for i in range(n) for j in range(i, n)]
-    row = df.agg(*[F.sum(c[i] * c[j]).alias(f"g{i}_{j}") for i, j in at]).first()
-    out = np.zeros((n, n))
-    for (i, j), v in zip(at, row):
-        out[i, j] = out[j, i] = v or 0.0
-    return out
+    made = []
+    for row in df.groupBy(*by).agg(*[F.sum(c[i] * c[j]).alias(f"g{i}_{j}") for i, j in at]).collect():
+        out = np.zeros((n, n))
+        for (i, j), v in zip(at, row[len(by) :]):
+            out[i, j] = out[j, i] = v or 0.0
+        made.append(out)
+    return made
+
+
+def gram(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """The matrix of sums of products of the columns and a constant."""
+    return grams(df, columns)[0]
 
 
 def partial_corr(df: DataFrame, x: str, y: str, controls: Sequence[str]) -> float | None:
@@ -220,10 +231,16 @@ def seed_variance(df: DataFrame, seed: str, key: str, value: str) -> DataFrame:
 
 def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, n, auc): the chance that a positive row has a higher p than a negative one, ties half. Rows are aggregated to distinct
-    values of p (rounded to 9 places) before the window, which runs within `by`."""
+    values of p (rounded to 9 places) before the window, which runs within `by` and one of RANGES ranges of p; the negatives
+    of the ranges below are added from a table of a row for each."""
     d = df.groupBy(*by, F.round(p, 9).alias("_p")).agg(F.sum(col(y)).alias("_pos"), F.sum(1 - col(y)).alias("_neg"))
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_below", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    cuts = sorted(set(df.agg(F.percentile_approx(F.round(p, 9), [i / RANGES for i in range(1, RANGES)])).first()[0] or []))
+    d = d.withColumn("_range", F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c < F.col("_p"))))
+    totals = d.groupBy(*by, "_range").agg(F.sum("_neg").alias("_all"))
+    up = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_base", F.coalesce(F.sum("_all").over(up), F.lit(0))).drop("_all")
+    w = Window.partitionBy(*by, "_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("_neg").over(w), F.lit(0))).join(totals, [*by, "_range"]).withColumn("_below", F.col("_in") + F.col("_base"))
     won = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     pairs = F.sum("_pos") * F.sum("_neg")
     g = d.groupBy(*by) if by else d
@@ -238,12 +255,11 @@ def rolling_origin(df: DataFrame, period: str, width: int, first: int, last: int
 
 def joint_blend(df: DataFrame, members: Sequence[str], y: str, fold: str, anchor: Sequence[float], penalty: float) -> list[float]:
     """Weights that minimise the mean over folds of each fold's Brier score plus penalty * |w - anchor|^2: the folds' Gram matrices (one
-    aggregate each) give the small linear system in closed form."""
+    aggregate for all) give the small linear system in closed form. Rows without fold are left out."""
     k = len(members)
     a, b = np.eye(k) * penalty, penalty * np.asarray(anchor, float)
-    names = [r[0] for r in df.select(fold).distinct().collect()]  # a handful of folds
-    for f in names:
-        g = gram(df.where(F.col(fold) == f), [*members, y])
+    names = grams(df.dropna(subset=[fold]), [*members, y], fold)  # a handful of folds
+    for g in names:
         a += g[1 : k + 1, 1 : k + 1] / g[0, 0] / len(names)
         b += g[1 : k + 1, k + 1] / g[0, 0] / len(names)
     return [float(v) for v in np.linalg.solve(a, b)]
@@ -257,3 +273,14 @@ def weighted_moments(df: DataFrame, x: str, y: str, w: str, by: Sequence[str] =
     mx, my = c("_x") / c("_w"), c("_y") / c("_w")
     cov, vx, vy = c("_xy") / c("_w") - mx * my, c("_xx") / c("_w") - mx * mx, c("_yy") / c("_w") - my * my
     return g.select(*by, mx.alias("mean_x"), my.alias("mean_y"), cov.alias("cov"), F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("corr"))
+
+
+def order_shuffle_test(df: DataFrame, plan, key: str, seed: int = 0, parts: int = 7) -> DataFrame:
+    """(n, differing): rows of plan(df), and those without an equal row in plan of the same rows in another order and partitioning.
+    A plan that scores rows one by one has none. key names a column that varies, by whose hash rows are dealt out anew."""
+    other = df.repartition(parts, F.xxhash64(key, F.lit(seed))).sortWithinPartitions(F.xxhash64(key, F.lit(seed + 1)))
+    a, b = plan(df), plan(other)
+    count = lambda d, name: d.groupBy(*[F.col(c) for c in a.columns]).agg(F.count(F.lit(1)).alias(name))
+    both = count(a, "_a").unionByName(count(b, "_b").withColumn("_a", F.lit(0).cast("long") - F.col("_b")).drop("_b"))
+    net = both.groupBy(*a.columns).agg(F.sum("_a").alias("_net"), F.sum(F.greatest("_a", F.lit(0))).alias("_n"))
+    return net.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.greatest("_net", F.lit(0))), F.lit(0)).alias("differing"))

@@ -231,9 +231,16 @@ def projection(sums: DataFrame, keys: Sequence[str], period: str, value: str, we
     total = sum(F.coalesce(p * k, F.lit(0.0)) for p, k in zip(parts, weights))
     weight = sum(F.when(p.isNotNull(), k).otherwise(0) for p, k in zip(parts, weights))
     out = sums.withColumn("projected", F.when(weight > 0, total / weight))
-    z = Window.partitionBy(period)
-    sd = F.stddev_pop("projected").over(z)
-    return out.select(*keys, period, "projected", F.when(sd > 0, (F.col("projected") - F.avg("projected").over(z)) / sd).otherwise(0.0).alias("z"))
+    out = out.join(out.groupBy(period).agg(F.avg("projected").alias("_mean"), F.stddev_pop("projected").alias("_sd")), period)
+    return out.select(*keys, period, "projected", F.when(F.col("_sd") > 0, (F.col("projected") - F.col("_mean")) / F.col("_sd")).otherwise(0.0).alias("z"))
+
+
+def measure_deviations(df: DataFrame, entity: str, cell: str, measures: Sequence[str], strength: float) -> DataFrame:
+    """(entity, cell, n, measures): each measure's mean in a cell less the entity's own mean, times n / (n + strength). Rows without entity or
+    cell are left out; both levels come from one aggregate over the rows."""
+    d = df.dropna(subset=[entity, cell]).groupBy(entity, cell).agg(F.count(F.lit(1)).alias("n"), *[a for m in measures for a in (F.sum(m).alias(f"_s_{m}"), F.count(m).alias(f"_n_{m}"))])
+    own = d.groupBy(entity).agg(*[(F.sum(f"_s_{m}") / F.sum(f"_n_{m}")).alias(f"_o_{m}") for m in measures])
+    return d.join(own, entity).select(entity, cell, "n", *[((F.col(f"_s_{m}") / F.col(f"_n_{m}") - F.col(f"_o_{m}")) * F.col("n") / (F.col("n") + strength)).alias(m) for m in measures])
 
 
 def decay_weight(period: str, base: int, d: float, regime: Column | None = None, down: float = 1.0) -> Column:

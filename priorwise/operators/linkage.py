@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ def evidence(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mutual_best(votes: DataFrame, a: str, b: str, least: int = 3, purity: float = 0.985) -> DataFrame:
-    """(a, b, n, share_a, share_b): pairs that are each other's best (ties to the smaller id) with enough votes and purity on both sides."""
-    wa, wb = Window.partitionBy(a), Window.partitionBy(b)
+def mutual_best(votes: DataFrame, a: str, b: str, least: int = 3, purity: float = 0.985, by: Sequence[str] = ()) -> DataFrame:
+    """(a, b, n, share_a, share_b): pairs that are each other's best (ties to the smaller id) with enough votes and purity on both sides, within `by`."""
+    wa, wb = Window.partitionBy(*by, a), Window.partitionBy(*by, b)
     v = votes.withColumns({
         "share_a": F.col("n") / F.sum("n").over(wa), "share_b": F.col("n") / F.sum("n").over(wb),
         "_ra": F.row_number().over(wa.orderBy(F.desc("n"), b)), "_rb": F.row_number().over(wb.orderBy(F.desc("n"), a)),
@@ -40,8 +41,8 @@ def mutual_best(votes: DataFrame, a: str, b: str, least: int = 3, purity: float
 
 def majority_map(votes: DataFrame, a: str, b: str, least: int = 3, share: float = 0.5) -> DataFrame:
     """(a, b, n_top, n_total, share): each a's most frequent b (ties to the smaller), where it has the share of its votes."""
-    g = votes.groupBy(a).agg(F.sum("n").alias("n_total"), F.max(F.struct("n", (-F.col(b)).alias("_b"))).alias("_m"))
-    out = g.select(a, (-F.col("_m._b")).alias(b), F.col("_m.n").alias("n_top"), "n_total").withColumn("share", F.col("n_top") / F.col("n_total"))
+    g = votes.groupBy(a).agg(F.sum("n").alias("n_total"), F.min(F.struct((-F.col("n")).alias("_n"), F.col(b).alias("_b"))).alias("_m"))
+    out = g.select(a, F.col("_m._b").alias(b), (-F.col("_m._n")).alias("n_top"), "n_total").withColumn("share", F.col("n_top") / F.col("n_total"))
     return out.where((F.col("n_top") >= least) & (F.col("share") >= share))
 
 
@@ -76,15 +77,34 @@ def match_depth(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return out
 
 
-def leave_one_out(pairs: DataFrame, a: str, b: str, period: str, periods: Sequence, least: int = 3, purity: float = 0.985) -> DataFrame:
-    """(held_out, edges, agree): edges of the held-out period's map that the map of the other periods has too."""
-    out = None
-    for p in periods:
-        mine = mutual_best(evidence(pairs.where(F.col(period) == p), a, b), a, b, least, purity).select(a, b)
-        rest = mutual_best(evidence(pairs.where(F.col(period) != p), a, b), a, b, least, purity).select(a, b, F.lit(1).alias("_r"))
-        row = mine.join(rest, [a, b], "left").agg(F.count(F.lit(1)).alias("edges"), F.count("_r").alias("agree")).select(F.lit(p).alias("held_out"), "edges", "agree")
-        out = row if out is None else out.unionByName(row)
-    return out
+def leave_one_out(pairs: DataFrame, a: str, b: str, period: str, least: int = 3, purity: float = 0.985) -> DataFrame:
+    """(held_out, edges, agree) for each period: edges of its map that the map of the other periods has too. Pairs are counted by period once,
+    and the other periods' votes are totals less the period's own."""
+    c = pairs.dropna(subset=[a, b, period]).groupBy(a, b, F.col(period).alias("held_out")).agg(F.count(F.lit(1)).alias("n"))
+    periods = c.select("held_out").distinct()
+    votes = c.groupBy(a, b).agg(F.sum("n").alias("_all")).join(c.groupBy(a, b).agg(F.map_from_entries(F.collect_list(F.struct("held_out", "n"))).alias("_own")), [a, b])  # a pair has a few periods
+    rest = votes.crossJoin(periods).withColumn("n", F.col("_all") - F.coalesce(F.col("_own")[F.col("held_out")], F.lit(0))).where("n > 0").select(a, b, "held_out", "n")
+    mine = mutual_best(c, a, b, least, purity, ["held_out"]).select("held_out", a, b)
+    other = mutual_best(rest, a, b, least, purity, ["held_out"]).select("held_out", a, b, F.lit(1).alias("_r"))
+    found = mine.join(other, ["held_out", a, b], "left").groupBy("held_out").agg(F.count(F.lit(1)).alias("edges"), F.count("_r").alias("agree"))
+    return periods.join(found, "held_out", "left").select("held_out", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("agree", F.lit(0)).alias("agree"))
+
+
+def side_by_side(aggregates: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Aggregates with one row a key, column by column: a key that some lack has nulls there. Null keys meet each other."""
+    marked = [d.withColumnsRenamed({k: f"_{k}{i}" for k in keys}) for i, d in enumerate(aggregates)]
+    out = marked[0]
+    for i, d in enumerate(marked[1:], 1):
+        on = reduce(lambda x, y: x & y, [F.coalesce(*[F.col(f"_{k}{j}") for j in range(i)]).eqNullSafe(F.col(f"_{k}{i}")) for k in keys])
+        out = out.join(d, on, "full")
+    names = [c for d in aggregates for c in d.columns if c not in keys]
+    return out.select(*[F.coalesce(*[F.col(f"_{k}{i}") for i in range(len(marked))]).alias(k) for k in keys], *names)
+
+
+def dedup_except(df: DataFrame, column: str) -> DataFrame:
+    """One row for all that are equal but for one column: that with its least value (null only where all are)."""
+    rest = [c for c in df.columns if c != column]
+    return df.groupBy(*rest).agg(F.min(column).alias(column)).select(*df.columns)
 
 
 def order_consistency(df: DataFrame, group: str, first: Sequence[Column | str], second: Sequence[Column | str], least: int = 5) -> DataFrame:

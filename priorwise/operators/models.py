@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_array, bin_left
+from ..functions.quantiles import exact_quantiles
 
 
 def quantile_edges(df: DataFrame, column: str, k: int) -> list[float]:
-    """Edges of k bins with equal counts (linear interpolation), equal edges once: k + 1 numbers at most on the driver."""
-    row = df.agg(F.percentile(column, [i / k for i in range(k + 1)])).first()[0] or []
-    return sorted(set(row))
+    """Edges of k bins with equal counts (linear interpolation), equal edges once: k + 1 numbers at most."""
+    return sorted(set(exact_quantiles(df, {column: [i / k for i in range(k + 1)]})[column]) - {None})
 
 
 def quantile_bins(df: DataFrame, column: str, k: int, name: str = "bin") -> DataFrame:
@@ -25,9 +26,9 @@ def quantile_bins(df: DataFrame, column: str, k: int, name: str = "bin") -> Data
 
 
 def fit_standard(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-    """Median, mean and population deviation (1 if 0) after the median has filled nulls, of each column: two aggregates."""
-    med = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    med = {c: med[c] if med[c] is not None else 0.0 for c in columns}
+    """Median, mean and population deviation (1 if 0) after the median has filled nulls, of each column: exact medians by
+    brackets and one aggregate."""
+    med = {c: v[0] if v[0] is not None else 0.0 for c, v in exact_quantiles(df, {c: [0.5] for c in columns}).items()}
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(med[c]))) for c in columns]
     row = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(filled)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(filled)]).first()
     return {c: (float(med[c]), row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
@@ -112,33 +113,142 @@ def tree_scores(columns: Sequence[Column], trees: Sequence[dict], bias: float =
     return score(*columns)
 
 
+# Coefficients of algorithm AS 241 (normal quantiles to 16 digits), centre, middle and tail.
+AS241 = {
+    "centre": ([3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3], [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3]),
+    "middle": ([1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4], [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9]),
+    "tail": ([6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7], [1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15]),
+}
+
+
 def inverse_normal(c: Column) -> Column:
-    """Standard normal quantiles of probabilities in (0, 1), null outside."""
-    from statistics import NormalDist
+    """Standard normal quantiles of probabilities in (0, 1), null outside: rational approximations as expressions of the JVM."""
 
-    @F.pandas_udf("double")
-    def q(x: pd.Series) -> pd.Series:
-        inv = NormalDist().inv_cdf
-        return x.map(lambda p: inv(p) if p is not None and 0 < p < 1 else None).astype("float64")
+    def ratio(name: str, x: Column) -> Column:
+        up, down = [reduce(lambda s, k: s * x + k, reversed(k[:-1]), F.lit(k[-1])) for k in AS241[name]]
+        return up / down
+
+    q = c - 0.5
+    r = F.sqrt(-F.log(F.least(c, 1 - c)))
+    far = F.signum(q) * F.when(r <= 5, ratio("middle", r - 1.6)).otherwise(ratio("tail", r - 5))
+    return F.when((c > 0) & (c < 1), F.when(F.abs(q) <= 0.425, q * ratio("centre", 0.180625 - q * q)).otherwise(far))
+
+
+def fit_quantile_normal(df: DataFrame, column: str, n: int = 100) -> list[float]:
+    """n quantiles of a column, from its least to its largest value."""
+    return exact_quantiles(df, {column: [i / (n - 1) for i in range(n)]})[column]
+
+
+def quantile_normal(c: Column, quantiles: Sequence[float], clip: float = 1e-7) -> Column:
+    """A value's place among fitted quantiles (linear between them; of equal ones the middle), as a standard normal quantile; null stays null."""
+    q, k = F.array(*[F.lit(float(v)) for v in quantiles]), len(quantiles)
+    below, upto = F.size(F.filter(q, lambda v: v < c)), F.size(F.filter(q, lambda v: v <= c))
+    a, b = F.element_at(q, F.greatest(below, F.lit(1))), F.element_at(q, F.least(below + 1, F.lit(k)))
+    between = (below - 1) + (c - a) / (b - a)
+    place = F.when(c <= q[0], 0).when(c >= q[k - 1], k - 1).when(upto > below, (below + upto - 1) / 2).otherwise(between)
+    return F.when(c.isNotNull(), inverse_normal(F.greatest(F.lit(clip), F.least(F.lit(1 - clip), place / max(k - 1, 1)))))
+
+
+def fit_codes(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The sorted different values of a column of few (counted: more than `most` raises)."""
+    got = [r[0] for r in df.select(column).dropna().distinct().limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(got)
+
+
+def ordinal_codes(c: Column, levels: Sequence) -> Column:
+    """0 to N - 1 in the order of fitted levels, -1 for unknown values and null."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(v) for v in levels]), c).cast("int") - 1, F.lit(-1)) if levels else F.lit(-1)
+
+
+def batch_ensemble(numbers: Sequence[Column], codes: Sequence[Column], net: dict[str, np.ndarray], rows: int = 2048) -> Column:
+    """A batch-ensemble network's mean probability from its arrays. Numbers are embedded as relu(x w + b) each, codes are one-hot. Each block
+    has one weight matrix for all k members, which differ by scales of its inputs (r) and outputs (s) and a bias; heads are the members' own.
+
+    net: embed_w, embed_b (numbers by d), cards (levels of each code), and for each block i: block{i}_w (out by in), block{i}_r (k by in),
+    block{i}_s and block{i}_b (k by out); head_w (k by in), head_b (k). A code outside its levels counts for nothing; NaN and null as 0."""
+    cards, n = [int(v) for v in net["cards"]], len(numbers)
+    n_blocks = sum(1 for k in net if k.startswith("block") and k.endswith("_w"))
 
-    return q(c)
+    def forward(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        e = np.maximum(x[:, :, None] * net["embed_w"] + net["embed_b"], 0).reshape(len(x), -1)
+        hot = [(z[:, [j]] == np.arange(c)).astype(float) for j, c in enumerate(cards)]
+        h = np.concatenate([e, *hot], 1)[:, None, :]
+        for i in range(n_blocks):
+            h = np.maximum((h * net[f"block{i}_r"]) @ net[f"block{i}_w"].T * net[f"block{i}_s"] + net[f"block{i}_b"], 0)
+        out = (h * net["head_w"]).sum(axis=2) + net["head_b"]
+        return (1 / (1 + np.exp(-out))).mean(axis=1)
 
+    return _in_slices([*numbers, *codes], lambda m: forward(m[:, :n], m[:, n:]), rows)
 
-def feed_forward(columns: Sequence[Column], layers: Sequence[tuple[np.ndarray, np.ndarray]]) -> Column:
-    """A dense network with ReLU between layers and a logistic output, scored in batches from its weight arrays."""
+
+def periodic_network(numbers: Sequence[Column], codes: Sequence[Column], net: dict[str, np.ndarray], rows: int = 8192) -> Column:
+    """A network on periodic embeddings: each number x becomes relu([cos 2 pi f x, sin 2 pi f x] w + b) with its own f (m), w (2 m by d) and b,
+    codes take rows of their tables, and dense layers with ReLU between give a logit.
+
+    net: freq (numbers by m), embed_w (numbers by 2 m by d), embed_b (numbers by d), table{j} for each code, dense{i}_w (in by out), dense{i}_b."""
+    n_dense, n = sum(1 for k in net if k.startswith("dense") and k.endswith("_w")), len(numbers)
+
+    def forward(m: np.ndarray) -> np.ndarray:
+        x, z = m[:, :n], m[:, n:].astype(int)
+        angle = 2 * np.pi * x[:, :, None] * net["freq"]
+        waves = np.concatenate([np.cos(angle), np.sin(angle)], 2)
+        e = np.maximum(np.einsum("rfi,fid->rfd", waves, net["embed_w"]) + net["embed_b"], 0).reshape(len(m), -1)
+        h = np.concatenate([e, *[net[f"table{j}"][z[:, j]] for j in range(z.shape[1])]], 1)
+        for i in range(n_dense):
+            h = h @ net[f"dense{i}_w"] + net[f"dense{i}_b"]
+            h = np.maximum(h, 0) if i < n_dense - 1 else h
+        return 1 / (1 + np.exp(-h[:, 0]))
+
+    return _in_slices([*numbers, *codes], forward, rows)
+
+
+def _in_slices(columns: Sequence[Column], forward, rows: int) -> Column:
+    """forward over the stacked columns, some rows at a time: wide layers of a whole batch would not fit."""
 
     @F.pandas_udf("double")
     def score(*xs: pd.Series) -> pd.Series:
-        h = np.nan_to_num(np.stack([x.to_numpy(float) for x in xs], 1))
-        for i, (w, b) in enumerate(layers):
-            h = h @ w + b
-            if i < len(layers) - 1:
-                h = np.maximum(h, 0)
-        return pd.Series(1 / (1 + np.exp(-h[:, 0])))
+        m = np.nan_to_num(np.stack([x.to_numpy(float) for x in xs], 1))
+        return pd.Series(np.concatenate([forward(m[a : a + rows]) for a in range(0, len(m), rows)]) if len(m) else np.zeros(0))
 
     return score(*columns)
 
 
+def boosted_trees(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 7, weight: str | None = None):
+    """Gradient-boosted trees fitted by pyspark.ml on feature columns without nulls: (model, trees as arrays for tree_scores).
+    The logistic of twice the sum of the arrays' scores is the model's probability."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    more = {"weightCol": weight} if weight else {}
+    model = GBTClassifier(featuresCol="_f", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, **more).fit(VectorAssembler(inputCols=list(features), outputCol="_f").transform(df))
+    return model, [exported(t, w) for t, w in zip(model.trees, model.treeWeights)]
+
+
+def exported(tree, weight: float = 1.0) -> dict[str, np.ndarray]:
+    """One fitted tree with numeric splits as arrays (feature, threshold, left, right, missing_left, value); bounded by its depth."""
+    rows: list[list] = []
+
+    def add(node) -> int:
+        at = len(rows)
+        rows.append([-1, 0.0, at, at, True, node.prediction() * weight])
+        if node.subtreeDepth():
+            rows[at][:2] = [node.split().featureIndex(), node.split().threshold()]
+            rows[at][2], rows[at][3] = add(node.leftChild()), add(node.rightChild())
+        return at
+
+    add(tree._java_obj.rootNode())
+    return {k: np.array(v) for k, v in zip(("feature", "threshold", "left", "right", "missing_left", "value"), zip(*rows))}
+
+
+def out_of_fold(df: DataFrame, fold: str, folds: Sequence, fit) -> DataFrame:
+    """Each row scored by a model that was fitted without its fold: fit(training rows) returns a function of rows that adds columns.
+    A pass for each of a few folds; rows whose fold isn't listed are left out."""
+    parts = [fit(df.where(F.col(fold) != f))(df.where(F.col(fold) == f)) for f in folds]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def folds(df: DataFrame, key: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
     """Adds a fold by hash: the same for a key in every run and partitioning."""
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
@@ -151,7 +261,7 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int =
 
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
     size = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    d = df.withColumn("_h", h).join(F.broadcast(size), stratum).where(F.col("_h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2.0 * n + 100) / F.col("_n")))
+    d = df.withColumn("_h", h).join(size, stratum).where(F.col("_h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2.0 * n + 100) / F.col("_n")))
     w = Window.partitionBy(stratum).orderBy("_h", key)
     return d.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).drop("_h", "_i", "_n")
 

@@ -359,14 +359,14 @@ def auc_by_period(spark, sf_dir):
 
 
 @query(f"""
-with t as (select l_linestatus, period, avg(y) as r from {LINES} group by all), h as (select a.period as test, b.l_linestatus, sum(b.y) / count(*) as p from (select distinct period from {LINES} where period between 1998 and 2000) a join {LINES} b on b.period between a.period - 3 and a.period - 1 group by all),
+with t as (select l_linestatus, period, avg(y) as r from {LINES} group by all), h as (select a.period as test, b.l_linestatus, sum(b.y) / count(*) as p from (select distinct period from {LINES} where period >= (select min(period) + 3 from {LINES})) a join {LINES} b on b.period between a.period - 3 and a.period - 1 group by all),
 s as (select test, l.l_linestatus, y, p from {LINES} l join h on h.test = l.period and h.l_linestatus = l.l_linestatus)
 select test::int as test, count(*) as n, round(avg((p - y) ** 2), 6) as brier from s group by test
 """)
 def rolling_origin(spark, sf_dir):
     """Three years give the rates of the next one."""
     out = None
-    for t, train, test in e.rolling_origin(lines(spark, sf_dir).select("l_linestatus", "period", "y"), "period", 3, 1998, 2000):
+    for t, train, test in e.rolling_origin(lines(spark, sf_dir).select("l_linestatus", "period", "y"), "period", 3, 1998, 2001):
         rate = train.groupBy("l_linestatus").agg(F.avg("y").alias("p"))
         one = test.join(F.broadcast(rate), "l_linestatus").agg(F.lit(t).alias("test"), F.count("*").alias("n"), x.report(e.brier("p", "y")).alias("brier"))
         out = one if out is None else out.unionByName(one)
@@ -388,11 +388,12 @@ def form_correction(spark, sf_dir):
 
 @query(f"""
 with t as (select event_id, value / 100 as a, hour / 12.0 as b from {SCORED}),
-w as (select *, exp(-((a - 0.5) ** 2 + (b - 0.5) ** 2) / 0.5) as w1, exp(-((a - 1) ** 2 + (b - 1) ** 2) / 0.5) as w2, exp(-((a - 2) ** 2 + (b - 1.5) ** 2) / 0.5) as w3 from t)
-select event_id, round((0.1 * w1 + 0.3 * w2 + 0.7 * w3) / (w1 + w2 + w3), 6) as score from w where w1 + w2 + w3 > 1e-200
+d as (select *, -((a - 0.5) ** 2 + (b - 0.5) ** 2) / 0.5 as d1, -((a - 1) ** 2 + (b - 1) ** 2) / 0.5 as d2, -((a - 2) ** 2 + (b - 1.5) ** 2) / 0.5 as d3 from t),
+w as (select *, exp(d1 - greatest(d1, d2, d3)) as w1, exp(d2 - greatest(d1, d2, d3)) as w2, exp(d3 - greatest(d1, d2, d3)) as w3 from d)
+select event_id, round((0.1 * w1 + 0.3 * w2 + 0.7 * w3) / (w1 + w2 + w3), 6) as score from w
 """)
 def softmax_neighbours(spark, sf_dir):
-    d = scored(spark, sf_dir).where("value < 1000")
+    d = scored(spark, sf_dir)
     return d.select("event_id", x.report(m.softmax_neighbours([F.col("value") / 100, F.col("hour") / 12.0], np.array([[0.5, 0.5], [1, 1], [2, 1.5]]), np.array([0.1, 0.3, 0.7]), 0.5)).alias("score"))
 
 
@@ -423,3 +424,11 @@ def bin_logit(spark, sf_dir):
 def bootstrap_ci(spark, sf_dir):
     d = scored(spark, sf_dir)
     return e.bootstrap(d, "event_id", F.pow(F.col("q") - F.col("y"), 2) - F.pow(F.col("p") - F.col("y"), 2), 100)
+
+
+@query(f"""
+with g as (select round(p, 9) as p, sum(y) as pos, sum(1 - y) as neg from {SCORED} group by 1), w as (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as below from g)
+select sum(pos + neg)::bigint as n, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) as auc from w
+""")
+def auc_overall(spark, sf_dir):
+    return e.auc(scored(spark, sf_dir), "p", "y").withColumn("auc", x.report("auc"))

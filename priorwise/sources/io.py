@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import exact_quantiles
+from .arrays import load_arrays, save_arrays
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,8 +69,9 @@ def unique_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merge_template(template: DataFrame, predictions: DataFrame, key: str, value: str, placeholder: Column | float = 0.5) -> DataFrame:
-    """Each row of the template once, with its prediction or the placeholder, and whether it had one."""
-    p = predictions.select(key, F.col(value).alias("_p")).groupBy(key).agg(F.first("_p").alias("_p"))
+    """Each row of the template once, with its prediction or the placeholder, and whether it had one. Of repeated predictions the least counts;
+    a null prediction is none."""
+    p = predictions.select(key, F.col(value).alias("_p")).groupBy(key).agg(F.min("_p").alias("_p"))
     fill = placeholder if isinstance(placeholder, Column) else F.lit(placeholder)
     kept = template.drop(value) if value in template.columns else template
     return kept.join(p, key, "left").withColumn("matched", F.col("_p").isNotNull()).withColumn(value, F.coalesce("_p", fill)).drop("_p")
@@ -86,7 +91,27 @@ def contract_digest(df: DataFrame) -> str:
 
 
 def position_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
-    """Adds is_first: whether the row is among the first `share` of the rows by a unique numeric key. The cut is an exact percentile, so no
-    window over all rows is needed."""
-    cut = df.agg(F.percentile(key, share).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("is_first", F.col(key) <= F.col("_cut")).drop("_cut")
+    """Adds is_first: whether the row is among the first `share` of the rows by a unique numeric key. The cut is an exact quantile found
+    by brackets, so no window or task has all rows. Without rows or keys is_first is null."""
+    cut = exact_quantiles(df, {key: [share]})[key][0]
+    return df.withColumn("is_first", F.col(key) <= F.lit(cut).cast("double"))
+
+
+def save_bundle(spark: SparkSession, path: str, arrays: dict, features: list[str], prior: float, **more) -> None:
+    """A model's arrays with the order of its features, the prior and other plain values, as Parquet on any store."""
+    save_arrays(spark, f"{path}/arrays", arrays)
+    spark.createDataFrame([(json.dumps({"features": list(features), "prior": prior, **more}),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """(arrays, meta) of save_bundle."""
+    return load_arrays(spark, f"{path}/arrays"), json.loads(spark.read.parquet(f"{path}/meta").first()[0])
+
+
+def cached_features(df: DataFrame, path: str, version: str) -> DataFrame:
+    """df from `path` if a finished copy with these columns and this version lies there, else written there first."""
+    spark, at = df.sparkSession, f"{path}/{hashlib.sha256((version + contract_digest(df)).encode()).hexdigest()[:16]}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        df.write.mode("overwrite").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

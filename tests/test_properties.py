@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,47 @@ def test_arrays_and_contracts(spark, tmp_path):
     assert all(np.array_equal(back[k], v) and back[k].dtype == v.dtype for k, v in a.items())
     d = game(spark)
     assert io.contract_digest(d) == io.contract_digest(d.limit(1)) != io.contract_digest(d.select("y", "id"))
+
+
+@pytest.mark.parametrize("most", [10**6, 4])
+def test_exact_quantiles(spark, most):
+    from priorwise.functions.quantiles import exact_quantiles
+
+    r = random.Random(2)
+    data = [(r.choice([None, r.gauss(0, 1), 5.0, 5.0]), float(r.randrange(3)), None) for _ in range(3000)]
+    df = spark.createDataFrame(data, "a double, b double, c double").repartition(5)
+    ps = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, {"a": ps, "b": ps, "c": ps}, most=most, accuracy=50)
+    want = df.agg(*[F.percentile(c, ps).alias(c) for c in "ab"]).first()
+    assert all(abs(x - y) < 1e-12 for c in "ab" for x, y in zip(got[c], want[c])) and got["c"] == [None] * 6
+    assert exact_quantiles(df.limit(0), {"a": [0.5]}) == {"a": [None]}
+
+
+def test_inverse_normal(spark):
+    from statistics import NormalDist
+
+    from priorwise.operators import models
+
+    ps = [1e-12, 1e-7, 0.001, 0.07, 0.075, 0.3, 0.5, 0.7, 0.925, 0.93, 0.999999]
+    got = spark.createDataFrame([(p,) for p in [*ps, 0.0, 1.0, None]], "p double").select(models.inverse_normal(F.col("p"))).collect()
+    assert all(abs(g[0] - NormalDist().inv_cdf(p)) < 1e-8 for g, p in zip(got, ps)) and all(g[0] is None for g in got[len(ps) :])
+
+
+def test_bundle_and_cached_features(spark, tmp_path):
+    from priorwise.sources import io
+
+    io.save_bundle(spark, str(tmp_path / "b"), {"w": np.arange(6.0).reshape(2, 3)}, ["x", "y"], 0.4, season=2024)
+    arrays, meta = io.load_bundle(spark, str(tmp_path / "b"))
+    assert arrays["w"].shape == (2, 3) and meta == {"features": ["x", "y"], "prior": 0.4, "season": 2024}
+    df = spark.createDataFrame([(1, 2.0)], "k long, v double")
+    at = str(tmp_path / "c")
+    assert [tuple(r) for r in io.cached_features(df, at, "1").collect()] == [(1, 2.0)]
+    assert [tuple(r) for r in io.cached_features(df.withColumn("v", F.lit(9.0)), at, "1").collect()] == [(1, 2.0)]
+    assert [tuple(r) for r in io.cached_features(df.withColumn("v", F.lit(9.0)), at, "2").collect()] == [(1, 9.0)]
+
+
+def test_majority_map_of_texts(spark):
+    from priorwise.operators import linkage
+
+    votes = spark.createDataFrame([("x", "b", 2), ("x", "a", 2), ("y", "c", 1)], "a string, b string, n long")
+    assert sorted(tuple(r)[:2] for r in linkage.majority_map(votes, "a", "b", 1, 0.0).collect()) == [("x", "a"), ("y", "c")]
