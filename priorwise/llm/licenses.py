@@ -30,9 +30,25 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 UNLICENSE = """This is free and unencumbered software released into the public domain.
 
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_CLAUSES = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD = {n: {m: "\n\n".join([BSD_HEAD, *[f"{i}. {c}" if m else f"* {c}" for i, c in enumerate(BSD_CLAUSES[:n], 1)], BSD_END]) for m in (True, False)} for n in (2, 3)}
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Unlicense": ["The Unlicense"]}
+_WHOLE = [("MIT", MIT.partition("\n\n")[2]), ("ISC", ISC.partition("\n\n")[2]), ("0BSD", ZERO_BSD.partition("\n\n")[2]), ("Unlicense", UNLICENSE), *[(f"BSD-{n}-Clause", BSD[n][m]) for n in (2, 3) for m in (True, False)]]
 KNOWN = [
-    ("MIT", MIT), ("ISC", ISC), ("0BSD", ZERO_BSD), ("Unlicense", UNLICENSE),
+    *_WHOLE, *[(n, f"{title}\n\n{text}") for n, text in _WHOLE for title in TITLES[n]],
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
@@ -54,9 +70,16 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license), a row for each canonical text; of licences with equal texts the first by name."""
-    df = spark.createDataFrame(texts, "license string, text string")
+def license_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text) of a folder of whole texts on any store, one file each, named by the licence: for texts that this module does not hold
+    (Apache-2.0, the GNU and Mozilla licences)."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.txt)?$", 1)
+    return spark.read.text(path, wholetext=True).select(name.alias("license"), F.col("value").alias("text"))
+
+
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame = KNOWN) -> DataFrame:
+    """(digest, license), a row for each canonical text of (license, text); of licences with equal texts the first by name."""
+    df = texts.select("license", "text") if isinstance(texts, DataFrame) else spark.createDataFrame(texts, "license string, text string")
     return df.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -65,7 +88,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
     notices (sorted distinct licences of lines whose canonical digest is known) and n_notice_lines (different lines).
 
     An empty or null text has the digest of the empty string; repeated rows each get the result; columns of docs
-    that have the added names are replaced. Lines are looked up only if they name a licence, permission or the public domain."""
+    that have the added names are replaced, and no rows give no rows. Lines are looked up only if they name a licence, permission or the public domain."""
     added = ["digest", "license", "notices", "n_notice_lines"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     row = free_name(docs, "_row")

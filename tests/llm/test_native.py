@@ -85,3 +85,12 @@ def test_chats_like_brute_force(spark, seed):
     assert sorted(tuple(x) for x in chat.format_chats(df.drop("N_TURNS")).collect()) == brute_chats(turns)
     assert chat.format_chats(df.drop("N_TURNS").limit(0)).count() == 0
     assert chat.format_chats(df).count() == len(brute_chats(turns))
+
+
+def test_whole_licences_with_and_without_titles_and_from_files(spark, tmp_path):
+    bsd = "\n".join(["BSD 3-Clause License", "", "Copyright (c) 2020, Someone", "All rights reserved.", "", licenses.BSD[3][False]])
+    (tmp_path / "Own-1.0.txt").write_text("Own licence.\n\nDo as you like.")
+    known = licenses.known_digests(spark, spark.createDataFrame(licenses.KNOWN, "license string, text string").unionByName(licenses.license_texts(spark, str(tmp_path))))
+    texts = [licenses.MIT.partition("\n")[2], "The MIT License (MIT)\n" + licenses.MIT.partition("\n")[2], bsd, licenses.UNLICENSE, licenses.UNLICENSE[:250], "OWN LICENSE -- do as you like", "x " * 300_000]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["MIT", "MIT", "BSD-3-Clause", "Unlicense", None, "Own-1.0", None]
