@@ -45,7 +45,7 @@ class BpeEncoder:
     ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
     STOP[list(b",.;:!?")] = True
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 200_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
