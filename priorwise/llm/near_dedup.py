@@ -165,11 +165,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return of_b.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("set_a")).hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def variance_factor(slots: int, union: np.ndarray) -> np.ndarray:
+    """The variance of a SuperMinHash estimate relative to independent slots, by the size of the union of the sets (the method's published formula)."""
+    u, k = np.atleast_1d(np.asarray(union, float))[:, None], np.arange(1, slots, dtype=float)
+    u = np.maximum(u, 2)
+    term = lambda a, b: (a / (slots - 1)) ** u * (b / slots) ** u
+    total = (term(k, k + 1) + term(k, k - 1) - 2 * term(k, k)).sum(axis=1)
+    return np.clip(1 - total * (slots - 1) / (u[:, 0] - 1), 0.05, 1.0)
+
+
 def _across(slots: int, percent: int, margin: float = 4.5):
     """From rows sorted by (key, part_a, part_b): pairs of one bucket with different labels whose sizes allow the likeness and whose
-    signatures agree in as many slots as it leaves likely (margin deviations below). Each pair only in the first band whose key it shares."""
+    signatures agree in as many slots as it leaves likely (margin deviations below, for sets of their size). Each pair only in the first band
+    whose key it shares."""
     p = percent / 100
-    least = int(slots * p - margin * np.sqrt(slots * p * (1 - p)))
+    unions = np.unique(np.round(2 ** np.arange(0, 16, 0.125)).astype(int))
+    spread = margin * np.sqrt(slots * p * (1 - p) * variance_factor(slots, unions)) + 1
 
     def pairs_of(rows: dict, lo: int, hi: int):
         side_a, side_b = np.flatnonzero(rows["side"][lo:hi] != 1) + lo, np.flatnonzero(rows["side"][lo:hi] != 0) + lo
@@ -184,7 +195,8 @@ def _across(slots: int, percent: int, margin: float = 4.5):
             for t in range(0, len(x), 60_000):
                 a, b = x[t : t + 60_000], y[t : t + 60_000]
                 same = rows["sig"][a] == rows["sig"][b]
-                near = same.sum(axis=1) >= least
+                of = np.minimum(np.searchsorted(unions, (rows["n"][a] + rows["n"][b]) / (1 + p)), len(unions) - 1)
+                near = same.sum(axis=1) >= np.floor(slots * p - spread[of])
                 a, b = a[near], b[near]
                 shared = rows["keys"][a] == rows["keys"][b]
                 mine = (shared.argmax(axis=1) == rows["band"][a]) | ~shared.any(axis=1)
@@ -244,8 +256,18 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     sets = saved(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, words binary").dropDuplicates(["doc_id"]))
     sizes = members.where("rep = lo").groupBy("lo").agg(F.min("n").alias("n_lo"))
     star = members.where("rep > lo").select("lo", "rep", "n").distinct().join(sizes, "lo").where(F.least("n", "n_lo") * 100 >= percent * F.greatest("n", "n_lo"))
-    links = saved(confirmed(star.select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
+    star = saved(star.select("lo", "rep"))
+    # A member meets the least of all its buckets' least members first; the others only where that leaves them in another component.
+    first = star.groupBy("rep").agg(F.min("lo").alias("lo"))
+    links = saved(confirmed(first.select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
     labels = components(links)
+    other = star.join(first.withColumnRenamed("lo", "_first"), "rep").where("lo > _first")
+    for end in ("lo", "rep"):
+        other = other.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    later = saved(confirmed(other.where("_lo <> _rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
+    if later.limit(1).count():
+        links = links.unionByName(later)
+        labels = components(links)
     looks = reps.select(F.col("doc_id").alias("rep"), "sig", "keys").dropDuplicates(["rep"])
     compared = ["key", "pa", "pb", "side", "rep", "label", "n", "band", "sig", "keys"]
 

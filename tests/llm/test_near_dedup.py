@@ -153,3 +153,16 @@ def test_very_long_text_and_signature_groups(spark):
     first = np.concatenate([[0], np.cumsum(n)])
     v = r.integers(0, 1 << 52, first[-1], dtype=np.uint64)
     assert (near_dedup.by_size(v, first, 64) == near_dedup.super_minhash(v, first, 64)).all()
+
+
+@pytest.mark.parametrize("union", [20, 60, 300])
+def test_variance_of_the_estimate(union):
+    r, common = np.random.default_rng(union), union * 4 // 5
+    side, sets, first = (union - common) // 2, [], [0]
+    for _ in range(1000):
+        v = r.integers(0, 1 << 52, common + 2 * side, dtype=np.uint64)
+        sets += [np.sort(v[: common + side]), np.sort(np.r_[v[:common], v[common + side :]])]
+        first += [first[-1] + common + side, first[-1] + 2 * (common + side)]
+    s = near_dedup.by_size(np.concatenate(sets), np.array(first), 252)
+    agree, j = (s[0::2] == s[1::2]).sum(axis=1), common / (common + 2 * side)
+    assert 0.85 < agree.var() / (252 * j * (1 - j)) / near_dedup.variance_factor(252, [union])[0] < 1.15
