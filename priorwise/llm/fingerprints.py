@@ -19,6 +19,8 @@ PERIOD = 4096
 FLUSH_CHARS = 24_000_000
 BUCKET_ROWS = 5_000
 BUCKETS = 20_000
+LEVEL = SAMPLES // 2  # samples between the levels up to which bands read
+BLOCK = 1024
 #: For each step (modulo PERIOD) and character class: does the walk go on to the next character?
 MOVES = (mix(np.arange(PERIOD * 256, dtype=np.uint64) + np.uint64(0x5DEECE66D)) >> np.uint64(63)).astype(np.int64).reshape(PERIOD, 256)
 MOVES[:, 0] = 0  # the end of a text
@@ -179,34 +181,79 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() == "fingerprint"]).withColumn("fingerprint", of(F.col("text")))
 
 
-def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 16, bits: int = 10) -> DataFrame:
-    """(doc_id, component_id) of documents whose fingerprints are alike to `least`: bands of `bits` sampled symbols make buckets,
-    each bucket's members are verified against its least id, and links are closed to components. Rows without id or text are left out."""
+def band_keys(prints: list[str], bands: int, bits: int) -> np.ndarray:
+    """Bucket keys (rows by 2 * bands) of written fingerprints. A band reads `bits` sampled steps, drawn in proportion to the steps that
+    each stands for, from the start of the walk up to a level. Levels lie half an octave apart and each text has the last two that it
+    passes, so that texts of which the shorter walk has 0.8 of the longer one's steps share a level."""
+    draws = (mix(np.arange(bands * bits, dtype=np.uint64) + np.uint64(0xA24BAED4)) >> np.uint64(11)).astype(float) / (1 << 53)
+    factor = np.uint64(2) * np.arange(bits, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    number = np.arange(bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    out, places = np.empty((len(prints), 2 * bands), np.uint64), {}
+    for i, print_ in enumerate(prints):
+        top = max(len(print_) // LEVEL, 1)
+        row = symbols_of([print_.ljust(top * LEVEL, "-")])[0].astype(np.uint64)
+        for half, level in enumerate((top, max(top - 1, 1))):
+            if level not in places:
+                share = np.cumsum(WEIGHTS[: level * LEVEL])
+                places[level] = np.searchsorted(share, draws * share[-1], side="right").reshape(bands, bits)
+            read = mix((row[places[level]] + np.uint64(1)) * factor).sum(axis=1, dtype=np.uint64)
+            out[i, half * bands : (half + 1) * bands] = mix(read + number + np.uint64(level << 40))
+    return out
 
-    @F.pandas_udf("array<long>")
-    def keys(prints: pd.Series) -> pd.Series:
-        out = []
-        for p in prints:
-            s = symbols_of([p])[0].astype(np.uint64)
-            full, some = len(s) // SAMPLES, []
-            for level in {max(full, 1), max(full - 1, 1)}:  # texts of about one length share a level at least
-                place = (mix(np.arange(bands * bits, dtype=np.uint64)) % np.uint64(min(level * SAMPLES, len(s)))).astype(np.int64).reshape(bands, bits)
-                some.append(mix((s[place] * (np.uint64(2) * np.arange(bits, dtype=np.uint64) + np.uint64(0x9E37))).sum(axis=1) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level << 40)))
-            out.append(np.concatenate(some).view(np.int64))
-        return pd.Series(out)
 
-    made = saved(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().where("text <> ''")).select("doc_id", "fingerprint"))
-    firsts = made.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    keyed = firsts.select("rep", F.explode(keys("fingerprint")).alias("key"))
-    low = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("_z")).where("a < _z").select("key", "a")
-    pairs = keyed.join(low, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+def _links_between(least: float):
+    """Of two blocks (side 0 and 1) or one (side 2) of a bucket: a link for each pair of labels that alike members join. Labels joined
+    before in the same blocks are one from then on, so a block gives fewer links than it has members."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        symbols, rep, side = symbols_of(list(rows["fingerprint"])), rows["rep"].to_numpy(), rows["side"].to_numpy()
+        label, found = rows["label"].to_numpy().copy(), []
+        for i in np.flatnonzero(side != 1):
+            other = np.flatnonzero((side != 0) & (label != label[i]))
+            alike = other[likeness(np.broadcast_to(symbols[i], (len(other), symbols.shape[1])), symbols[other]) >= least]
+            if len(alike):
+                met, one = np.unique(label[alike], return_index=True)
+                found += [(rep[i], rep[j]) for j in alike[one]]
+                label[np.isin(label, met)] = label[i]
+        return pd.DataFrame(np.array(found, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return run
+
+
+def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 64, bits: int = 8, block: int = BLOCK) -> DataFrame:
+    """For each row with an id and a text that is not empty: doc_id, component_id, the least id reached over fingerprints alike to `least`.
+
+    Bands of `bits` sampled symbols make buckets. Each bucket's members are verified against its least id; where that leaves several
+    components in a bucket, members of different ones are compared in blocks of about `block`, so all alike members of a bucket are joined.
+    Equal fingerprints are one class. Repeated rows get equal results; an id with several texts has a row for each. Rows without id or
+    text are left out. No rows give no rows. Other columns are ignored."""
+    keys = F.pandas_udf(lambda p: pd.Series(list(band_keys(list(p), bands, bits).view(np.int64))), "array<long>")
 
     @F.pandas_udf("double")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         s = symbols_of([*a, *b])
         return pd.Series(likeness(s[: len(a)], s[len(a) :]))
 
+    made = saved(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().where("text <> ''")).select("doc_id", "fingerprint"))
+    # An id may have several texts, so classes have numbers of their own.
+    firsts = saved(made.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()))
+    keyed = firsts.select("rep", F.explode(F.array_distinct(keys("fingerprint"))).alias("key"))
+    low = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("_z")).where("lo < _z").select("key", "lo")
+    members = saved(keyed.join(low, "key"))
+    pairs = members.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     with_a = pairs.join(firsts.select(F.col("rep").alias("a"), F.col("fingerprint").alias("fa")), "a")
-    links = with_a.join(firsts.select(F.col("rep").alias("b"), F.col("fingerprint").alias("fb")), "b").where(near("fa", "fb") >= least).select("a", "b")
-    found = firsts.join(components(links).withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("label", "rep").alias("component_id"))
-    return made.join(found, "fingerprint").select("doc_id", "component_id")
+    links = saved(with_a.join(firsts.select(F.col("rep").alias("b"), F.col("fingerprint").alias("fb")), "b").where(near("fa", "fb") >= least).select("a", "b"))
+    labels = components(links)
+    split = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    # Members that share a bucket with its least one alone have been verified already.
+    some = split.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi and _n > 2")
+    rest = split.join(some.select("key", "_n"), "key").withColumn("_parts", F.ceil(F.col("_n") / block).cast("int")).withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
+    rest = rest.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"pa": F.least("_part", "_with"), "pb": F.greatest("_part", "_with")})
+    side = F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1).alias("side")
+    # _part = _with is the block within itself; in a block of two parts each row is on the side of its own part.
+    rest = rest.select("key", "pa", "pb", side, "rep", "label").join(firsts.select("rep", "fingerprint"), "rep")
+    more = saved(rest.groupBy("key", "pa", "pb").applyInPandas(_links_between(least), "a long, b long").distinct())
+    final = components(links.unionByName(more))
+    named = firsts.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    least_id = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return made.join(named.select("fingerprint", "label"), "fingerprint").join(least_id, "label").select("doc_id", "component_id")

@@ -63,3 +63,72 @@ def test_near_texts(spark):
     docs = [(i, b) for i, b in enumerate(base)] + [(10 + i, b[:880] + "q" + b[881:]) for i, b in enumerate(base[:3])] + [(20, base[0]), (30, None), (31, "")]
     got = {x.doc_id: x.component_id for x in f.near_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {**{i: i for i in range(6)}, 10: 0, 11: 1, 12: 2, 20: 0}
+
+
+def classes(pairs, ids):
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in ids}
+
+
+def links_of(texts, least):
+    """All pairs of alike fingerprints, by comparing each with each."""
+    s = f.walk([f.codes(t) for t in texts])
+    return [(i, j) for i in range(len(texts)) for j in np.flatnonzero(f.likeness(np.repeat(s[i : i + 1], len(s), axis=0), s) >= least) if i < j]
+
+
+def varied(r, n, sizes):
+    """Texts of families: bases, and copies with changes at the start, the end or anywhere, cut or extended."""
+    word = lambda k: "".join(r.choice("abcdefghij klmn") for _ in range(k))
+    out = []
+    for _ in range(n):
+        base = word(r.choice(sizes))
+        out.append(base)
+        for _ in range(r.choice([0, 1, 2, 4])):
+            k = int(len(base) * r.random() * 0.2)
+            at = r.choice([0, len(base) - k, r.randrange(len(base) - k + 1)])
+            out.append(r.choice([base[:at] + word(k) + base[at + k :], base[: len(base) - k], base + word(k)]))
+    return out
+
+
+def test_bands_find_alike_texts_of_every_length():
+    r = random.Random(8)
+    texts = varied(r, 250, [12, 30, 200, 900, 3000, 12_000])
+    pairs = links_of(texts, 0.8)
+    k = [set(x) for x in f.band_keys(f.written(f.walk([f.codes(t) for t in texts])), 64, 8)]
+    met = sum(bool(k[a] & k[b]) for a, b in pairs)
+    assert len(pairs) > 200 and met >= 0.98 * len(pairs), (met, len(pairs))
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_texts_like_brute_force(spark, block):
+    r = random.Random(4)
+    texts = list(dict.fromkeys(varied(r, 40, [30, 400, 1500])))
+    got = {x.doc_id: x.component_id for x in f.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()}
+    want = classes(links_of(texts, 0.8), range(len(texts)))
+    assert len(set(want.values())) < len(texts) - 20
+    assert sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
+def test_members_unlike_the_least_one_are_joined():
+    rows = [(0, "0" * 60), (1, "1" * 60), (2, "1" * 59 + "2"), (3, "1" * 58 + "22"), (4, "3" * 60)]
+    frame = f.pd.DataFrame([(k, k, p, 2) for k, p in rows], columns=["rep", "label", "fingerprint", "side"])
+    found = f._links_between(0.8)(frame)
+    assert set(classes(found.itertuples(index=False, name=None), range(5)).values()) == {0, 1, 4} and len(found) == 2
+    assert f._links_between(0.8)(frame.head(0)).empty
+
+
+def test_near_texts_of_nothing_repeated_rows_and_other_columns(spark):
+    kind = "doc_id long, text string, COMPONENT_ID string, rep int"
+    assert f.near_texts(spark.createDataFrame([], kind)).collect() == []
+    long = "a very long text, " * 20_000
+    rows = [(9, long, "x", 1), (9, long, "x", 1), (4, long + "!", None, 2), (4, "quite another text of some words", None, 2), (None, long, "x", 1), (5, None, "x", 1), (6, "", "x", 1)]
+    got = sorted(tuple(x) for x in f.near_texts(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(4, 4), (4, 4), (9, 4), (9, 4)]
