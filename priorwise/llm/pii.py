@@ -326,15 +326,15 @@ def assign_surrogates(entities: DataFrame, key: bytes | None = None, rounds: int
     raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace_pii(docs: DataFrame, key: bytes | None = None, text: str = "text") -> DataFrame:
-    """docs with every detected entity in text replaced, and n_entities (long), the number of mentions replaced.
+def replace_pii(docs: DataFrame, key: bytes | None = None, text: str = "text", count: str = "n_entities") -> DataFrame:
+    """docs with every detected entity in text replaced, and n_entities (long; or the name in count), the number of mentions replaced.
 
     key: secret of the surrogates (None: that of the session setting spark.priorwise.pii.key). An empty table gives no rows.
     One entity has one surrogate in the whole corpus, different ones different surrogates. A null or empty text stays as it is.
-    Other columns, repeated rows included, are kept; a column named n_entities is replaced. Entities travel by text, so ids may be null or repeated."""
+    Other columns, repeated rows included, are kept; a column named as count says is replaced, those of other names are safe. Entities travel by text, so ids may be null or repeated."""
     key = key or session_key(docs.sparkSession)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_entities"])
-    k1, k2 = free_name(docs, "_k1"), free_name(docs, "_k2")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == count.lower()])
+    k1, k2, kinds_in, canons_in, news_in, name = (free_name(docs, c) for c in ("_k1", "_k2", "_kinds", "_canons", "_surrogates", "_new"))
 
     @F.pandas_udf("array<struct<kind:string,canon:string>>")
     def detect(texts: pd.Series) -> pd.Series:
@@ -346,7 +346,7 @@ def replace_pii(docs: DataFrame, key: bytes | None = None, text: str = "text") -
     hits = saved(docs.select(*_marks(docs, text), F.explode(detect(F.col(text))).alias("e")).select("_k1", "_k2", "e.kind", "e.canon").distinct())
     mapped = assign_surrogates(hits, key)
     lists = hits.join(mapped, ["kind", "canon"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_e"))
-    lists = lists.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), *[F.col("_e").getField(c).alias(f"_{c}") for c in ("kind", "canon", "surrogate")])
+    lists = lists.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), *[F.col("_e").getField(c).alias(n) for c, n in (("kind", kinds_in), ("canon", canons_in), ("surrogate", news_in))])
 
     @F.pandas_udf("struct<text:string,n:long>")
     def rewrite(texts: pd.Series, kinds: pd.Series, canons: pd.Series, news: pd.Series) -> pd.DataFrame:
@@ -364,8 +364,7 @@ def replace_pii(docs: DataFrame, key: bytes | None = None, text: str = "text") -
             n.append(len(found))
         return pd.DataFrame({"text": out, "n": n})
 
-    name = free_name(docs, "_new")
     marked = docs.withColumns({k1: F.xxhash64(F.col(text)), k2: F.xxhash64(F.lit(7), F.col(text))})
-    met = marked.join(lists, [k1, k2], "left").withColumn(name, F.when(F.col("_kind").isNotNull(), rewrite(F.col(text), "_kind", "_canon", "_surrogate")))
-    changed = F.col("_kind").isNotNull()
-    return met.select(*[F.when(changed, F.col(name)["text"]).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.when(changed, F.col(name)["n"]), F.lit(0)).cast("long").alias("n_entities"))
+    met = marked.join(lists, [k1, k2], "left").withColumn(name, F.when(F.col(kinds_in).isNotNull(), rewrite(F.col(text), kinds_in, canons_in, news_in)))
+    changed = F.col(kinds_in).isNotNull()
+    return met.select(*[F.when(changed, F.col(name)["text"]).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.when(changed, F.col(name)["n"]), F.lit(0)).cast("long").alias(count))

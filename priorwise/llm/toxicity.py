@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows:
     return Model(chosen, w * ratio, float(b))
 
 
-def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1; a null text like an empty one) and predicted (1 if score >= 0.5), which replace columns of these names."""
+def scorer(model: Model):
+    """A column function: the score of a text (0 to 1; a null text like an empty one)."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -193,5 +193,16 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
         trim()
         return out
 
+    return score
+
+
+def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score (0 to 1; a null text like an empty one) and predicted (1 if score >= 0.5), which replace columns of these names.
+    Repeated rows get equal scores; no rows give no rows."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
-    return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn("score", scorer(model)(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs with a score below 0.5, all their columns as they are, whatever their names."""
+    return docs.where(scorer(model)(F.col(text)) < 0.5)

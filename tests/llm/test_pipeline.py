@@ -73,3 +73,39 @@ def test_every_document_is_packed(steps):
 
 def test_run(spark, steps):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def odd_rows(spark, sf=SF):
+    """Rows with nulls, repeats, a very long text and further columns named like those that operators add."""
+    text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 1").first().text
+    rows = [(None, "a text without an id, which stays as it is", "en", None), (900001, None, None, "x"), (900002, "", "en", "x"), (900003, text, "en", "x"), (900003, text, "en", "x"), (900004, "Mail ann.lee@some-mail.com now " + "word " * 200_000, "en", "x"), (900005, "\n \t", "en", None)]
+    extra = [(i, *r, len(r[1]) if r[1] is not None else None, 7, 0.25, 3, "k", "c", "s", 5, False, 1) for i, r in enumerate(rows)]
+    names = "row long, doc_id long, text string, lang string, source string, n_chars long, predicted int, score double, n_entities int, _kind string, _canon string, _surrogate string, _k1 long, kept boolean, N int"
+    return spark.createDataFrame(extra, names)
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_odd_rows(spark, i):
+    name, stage = corpus_pipeline.STAGES[i]
+    docs = odd_rows(spark)
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if name == "packing":
+        ids = [r.doc_id for r in rows if r.start == 0]
+        assert sorted(ids, key=str) == sorted([r.doc_id for r in docs.collect()], key=str)
+        assert [r.length for r in rows if r.doc_id in (900001, 900002)] == [1, 1]
+        return
+    assert out.columns == docs.columns
+    want = {r.row: r for r in docs.collect()}
+    got = {r.row: r for r in rows}
+    assert len(got) == len(rows)
+    if name == "near_dedup":
+        assert len(got.keys() & {3, 4}) == 1 and got.keys() | {3, 4} == want.keys()
+    else:
+        assert got.keys() == want.keys()
+    for k, r in got.items():
+        if name == "pii" and k == 5:
+            assert "ann.lee" not in r.text and r.n_chars == len(r.text) and r[5:][1:] == want[k][5:][1:] and r.text.count("word") == 200_000
+        else:
+            assert r == want[k]
