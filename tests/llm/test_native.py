@@ -94,3 +94,15 @@ def test_whole_licences_with_and_without_titles_and_from_files(spark, tmp_path):
     texts = [licenses.MIT.partition("\n")[2], "The MIT License (MIT)\n" + licenses.MIT.partition("\n")[2], bsd, licenses.UNLICENSE, licenses.UNLICENSE[:250], "OWN LICENSE -- do as you like", "x " * 300_000]
     got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).orderBy("doc_id").collect()
     assert [r.license for r in got] == ["MIT", "MIT", "BSD-3-Clause", "Unlicense", None, "Own-1.0", None]
+
+
+@pytest.mark.parametrize("rows", [None, 0])
+def test_turns_tied_but_for_their_texts(spark, rows, monkeypatch):
+    if rows is not None:
+        monkeypatch.setattr(chat, "BROADCAST_ROWS", rows)
+    long = "same beginning " * 50
+    turns = [(1, 0, "user", "b"), (1, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, "user", "b"), (4, None, None, long + "2"), (4, None, None, long + "1"), (5, None, None, long + "1"), (6, None, None, long + "2")]
+    turns += [(7, 1, "user", None), (7, 1, "user", ""), (8, 1, "user", None), (9, 1, "user", ""), (10, 0, "user", "r"), (10, 0, "user", "r"), (11, 0, "user", "r")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted(tuple(x) for x in chat.format_chats(df).collect())
+    assert got == brute_chats(turns) and [r[0] for r in got] == [1, 3, 4, 6, 7, 9, 10]
