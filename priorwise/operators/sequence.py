@@ -82,6 +82,21 @@ def reconstruct_label(df: DataFrame, entity: str, order: Sequence[str], rate: st
     return out
 
 
+def balanced_outcomes(df: DataFrame, block: Sequence[str], order: Sequence[str], stock: str, lost: str, gained: str) -> DataFrame:
+    """Adds outcome (kept, lost, other or null) of one newcomer a row, from a stock and two counters as they stand before the row.
+
+    With the block's next row, newcomer and stock must be accounted for: stock + 1 = next stock + step of gained + step of lost. Where that
+    holds, a row with no step of lost and more in stock or gained than before has kept its newcomer, one with a step has lost
+    somebody. Rows that break the balance have no outcome. A block's last row has no next one and counts as lost, as blocks end with a
+    loss; leaving such rows out would raise the share of kept ones."""
+    w = Window.partitionBy(*block).orderBy(*order)
+    after, step = F.lead(stock).over(w), lambda c: F.lead(c).over(w) - F.col(c)
+    left = after + step(gained)
+    last = F.lead(F.lit(1)).over(w).isNull()
+    held = F.when(step(lost) > 0, "lost").when((step(lost) == 0) & (left > F.col(stock)), "kept").otherwise("other")
+    return df.withColumn("outcome", F.when(last, "lost").when(F.col(stock) + 1 == left + step(lost), held))
+
+
 def global_next(df: DataFrame, order: Sequence[str], parts: int = 64) -> DataFrame:
     """(order, _following): for each row the order columns of the next row of all. Rows fall into ranges of the first order column
     (cut points are approximate quantiles, fixed before the plan is built, so a task that runs again sees the same ranges); each range

@@ -98,6 +98,19 @@ def label_reconstruct_adjacent(spark, sf_dir):
     return q.reconstruct_label(_cumulative(spark, sf_dir), "user_id", ORDER, "rate", "n", adjacent=True).select("event_id", "label")
 
 
+@query(f"""
+with a as (select *, row_number() over w - 1 as n, coalesce(sum(y) over (w rows between unbounded preceding and 1 preceding), 0) as lost, count(*) filter (y = 0 and value < 20) over (w rows between unbounded preceding and 1 preceding) as gained from {EVENTS} window w as ({W})),
+b as (select *, (n - lost - gained) % 5 as stock from a),
+c as (select *, lead(stock) over w as stock2, lead(lost) over w - lost as dl, lead(gained) over w - gained as dg, lead(event_id) over w is null as last from b window w as ({W}))
+select event_id, case when last then 'lost' when stock + 1 <> stock2 + dl + dg then null when dl > 0 then 'lost' when dl = 0 and stock2 + dg > stock then 'kept' else 'other' end as outcome from c
+""")
+def outcome_balance(spark, sf_dir):
+    df = events(spark, sf_dir)
+    df = h.asof_sums(df, ["user_id"], ORDER, {"n": F.lit(1), "lost": F.col("y"), "gained": F.when((F.col("y") == 0) & (F.col("value") < 20), 1).otherwise(0)})
+    df = df.withColumn("stock", (F.col("n") - F.col("lost") - F.col("gained")) % 5)
+    return q.balanced_outcomes(df, ["user_id"], ORDER, "stock", "lost", "gained").select("event_id", "outcome")
+
+
 @query(f"""
 with a as ({CUMULATIVE}), b as (select *, coalesce(s / nullif(n, 0), 0) * n as c from a), l as (select {LABEL} as label, y from b window w as ({W}))
 select count(label) as known, count(*) filter (label = y) as agree, round(count(*) filter (label = y) / count(label), 6) as rate, count(*) filter (label = y) / count(label) >= 0.9999 as ok from l
