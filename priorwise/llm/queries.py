@@ -20,6 +20,12 @@ LISTED = [
     ("host", "m.ads-track.example.com", "2024-05-05", "delist", "tracking"), ("prefix", "tionsh.example.net/en", "2024-08-01", "block", "mirror"),
     ("prefix", "tionsh.example.com/en", "2024-08-01", "block", "mirror"), ("prefix", "tionsh.example.com/en", "2024-10-01", "delist", "mirror"),
     ("domain", "tionble.example.org", "2024-10-01", "block", "scraped"), ("prefix", "tionble.example.org/de", "2024-11-01", "allow", "reviewed"),
+    ("domain", "tionsh.example.net", "2024-01-10", "block", "mirror"), ("prefix", "blog.tionsh.example.net/fr", "2024-01-20", "allow", "reviewed"),
+    ("prefix", "blog.tionsh.example.net/de", "2024-03-01", "allow", "reviewed"), ("prefix", "blog.tionsh.example.net/de", "2024-07-01", "block", "mirror"),
+    ("host", "blog.ththan.example.net", "2024-02-15", "block", "copied"), ("host", "blog.ththan.example.net", "2024-08-15", "delist", "copied"),
+    ("prefix", "thther.example.org/en", "2024-01-05", "block", "generated"), ("host", "blog.tiontion.example.com", "2024-01-01", "allow", "reviewed"),
+    ("domain", "tiontion.example.com", "2023-06-01", "block", "generated"), ("host", "m.ththth.example.net", "2024-01-01", "block", "copied"),
+    ("host", "m.ththth.example.net", "2024-01-01", "allow", "reviewed"),
 ]
 LISTED_SCHEMA = "kind string, key string, effective string, action string, category string"
 
