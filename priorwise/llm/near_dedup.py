@@ -260,11 +260,13 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     # A member meets the least of all its buckets' least members first; the others only where that leaves them in another component.
     first = star.groupBy("rep").agg(F.min("lo").alias("lo"))
     links = saved(confirmed(first.select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
+    found = [links]
     labels = components(links)
     other = star.join(first.withColumnRenamed("lo", "_first"), "rep").where("lo > _first")
     for end in ("lo", "rep"):
         other = other.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
     later = saved(confirmed(other.where("_lo <> _rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")), sets, percent))
+    found.append(later)
     if later.limit(1).count():
         links = links.unionByName(later)
         labels = components(links)
@@ -287,6 +289,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     drawn = drawn.select("key", F.explode(F.array_distinct(F.transform(F.array(*[f"_p{i}" for i in range(pivots)]), lambda x: x.dropFields("h")))).alias("p")).select("key", "p.*")
     drawn = drawn.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"pb": F.lit(0), "side": F.lit(0)}).drop("_parts")
     against = alike(large.select("key", "rep", "label", "n", "band", F.col("_part").alias("pa"), F.lit(0).alias("pb"), F.lit(1).alias("side")).unionByName(drawn))
+    found.append(against)
     if against.limit(1).count():
         links = links.unionByName(against)
         labels = components(links)
@@ -295,6 +298,7 @@ def find_near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHING
     side = F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1)
     more = alike(rest.withColumns({"pa": F.least("_part", "_with"), "pb": F.greatest("_part", "_with"), "side": side}))
     final = components(links.unionByName(more)) if more.limit(1).count() else labels
+    discard(members, sets, star, *found, more)  # what follows reads all_rows and the labels only
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))
     out = all_rows.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
