@@ -207,3 +207,22 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): the words data[s:e] one after the other with a space after each, A-Z in lower case; a run of words of
+    one row is then one span of bytes."""
+    size = ends - starts + 1
+    last = np.cumsum(size)
+    out = np.append(data, np.uint8(0))[ranges(starts, size)]
+    out[(out >= 65) & (out <= 90)] += 32
+    out[last - 1] = 0x20
+    return out, last - size, last - 1
+
+
+def deal_join(big: DataFrame, small: DataFrame, on: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of big to small, which has a row for each key and how many of big's `total` rows have it (column `count`, dropped).
+    Keys with more than one row in `share` of big are broadcast: there are at most `share` of them. The others are dealt out by key."""
+    hot = small.where(F.col(count) * share > total).drop(count)
+    cold = big.join(F.broadcast(hot.select(on)), on, "left_anti").join(small.where(F.col(count) * share <= total).drop(count), on)
+    return big.join(F.broadcast(hot), on).unionByName(cold)

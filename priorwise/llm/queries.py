@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, licenses, near_dedup, packing, pii, substrings, toxicity, url_filters
+from . import chat, decontamination, fingerprints, licenses, near_dedup, packing, pii, resampling, simhash, substrings, toxicity, trie, url_filters
 from .common import table
 
 #: The dated list of op6: kind, key, date, action, category. Two entries return after a break, one site is allowed below a blocked domain.
@@ -156,9 +156,70 @@ select w.doc_id, len(words) as n_words, len(words) - coalesce(kept.n, 0) as n_re
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.spliced(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+#: The bytewise table of CRC-32 as a list in a row, and the checksum of a text by it.
+CRC_TABLE = "select list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) order by b) as t from (select unnest(range(256)) as b)"
+
+
+def _crc_sql(text: str, table: str) -> str:
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: cast('0x' || substr(hex(encode({text})), 2 * i + 1, 2) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {byte}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+SQL_OP11 = f"""
+with tab as materialized ({CRC_TABLE}),
+t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as pos, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base, {_crc_sql("cast(conv_id as varchar)", "tab.t")} % 9 as h from (select distinct conv_id from t), tab),
+made as (select c.conv_id, t.pos, t.role, t.text from c join t on t.conv_id = c.base and t.pos <= h union all select c.conv_id, t.pos, t.role, t.text from c join t on t.conv_id = c.conv_id and t.pos > h),
+p as (select conv_id, row_number() over w as d, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over w) as k, octet_length(encode(text)) as b from made window w as (partition by conv_id order by pos)),
+path as (select conv_id, 0 as d, '' as k, 0 as b from c union all select * from p),
+len as (select conv_id, max(d) as n from path group by conv_id),
+node as (select d, k, min(path.conv_id) as conv_id, count(*) as n_convs, max(b) as b, string_agg(case when d = n then path.conv_id end, ',' order by path.conv_id) as ends from path join len using (conv_id) group by d, k),
+up as (select node.*, parent.conv_id as parent_conv_id from node left join path q on q.conv_id = node.conv_id and q.d = node.d - 1 left join node parent on parent.d = q.d and parent.k = q.k),
+kids as (select parent_conv_id as conv_id, d - 1 as d, count(*) as n from up where d > 0 group by 1, 2),
+under as (select q.d, q.k, sum((u.n_convs - 1) * u.b) as saved, count(*) filter (where kids.n is null) as leaves from up u left join kids using (conv_id, d) join path q on q.conv_id = u.conv_id and q.d <= u.d group by q.d, q.k)
+select up.conv_id, up.d as depth, up.parent_conv_id, up.n_convs, coalesce(kids.n, 0) as n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from up left join kids on kids.conv_id = up.conv_id and kids.d = up.d join under on under.d = up.d and under.k = up.k
+"""
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _words_sql(source: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({source}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+SQL_OP12 = f"""
+with tab as materialized ({CRC_TABLE}),
+docs as (select row_number() over () as r, doc_id, {_words_sql("text")} as words from documents),
+word as (select r, x.w, count(*) as n from docs, unnest(words) as x(w) group by 1, 2),
+aim as (select x.w, count(*) as n from (select {_words_sql("text")} as words from benchmark), unnest(words) as x(w) group by 1),
+code as (select w, {_crc_sql("w", "tab.t")} % 10000 as bucket from (select w from word union select w from aim), tab),
+s as (select bucket, sum(n) as s from word join code using (w) group by 1), t as (select bucket, sum(n) as t from aim join code using (w) group by 1),
+total as (select cast((select coalesce(sum(s), 0) from s) as double) as a, cast((select coalesce(sum(t), 0) from t) as double) as b),
+gain as (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1.0::double) * (a + 10000) / ((s + 1.0::double) * (b + 10000)))) as bigint) as g from s left join t using (bucket), total),
+mean as (select r, sum(n) as n, cast(sum(g * n) as bigint) as g from word join code using (w) join gain using (bucket) group by r),
+scored as (select r, doc_id, len(words) as n_words, coalesce(n, 0) as n_features, coalesce((g - ((g % n) + n) % n) // n, 0) as weight,
+  cast(('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8)) as bigint) as h from docs left join mean using (r)),
+final as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from scored),
+placed as (select r, row_number() over (order by score desc, doc_id nulls last) as nth from final where n_words >= 20)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score, case when nth <= (select 10 * count(*) // 100 from placed) then nth end as rank from final left join placed using (r)
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_packing, op4_toxicity, op5_fingerprints, op6_url_filters, op7_decontamination, op8_license_scans, op9_chat_formatting, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_pii, op3_packing, op4_toxicity, op5_fingerprints, op6_url_filters, op7_decontamination, op8_license_scans, op9_chat_formatting, op10_substring_dedup, op11_prefix_trie, op12_resampling, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": SQL_OP1, "op6_url_filters": SQL_OP6, "op8_license_scans": SQL_OP8, "op9_chat_formatting": SQL_OP9, "op10_substring_dedup": SQL_OP10}
+    return {"op1_near_dedup": SQL_OP1, "op6_url_filters": SQL_OP6, "op8_license_scans": SQL_OP8, "op9_chat_formatting": SQL_OP9, "op10_substring_dedup": SQL_OP10, "op11_prefix_trie": SQL_OP11, "op12_resampling": SQL_OP12}
