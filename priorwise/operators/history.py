@@ -292,3 +292,28 @@ def scoring_counts(rows: DataFrame, totals: DataFrame, entity: str, n: str, s: s
     out = rows.join(base, entity, "left")
     less = lambda c, b: F.greatest(F.col(c) - F.coalesce(b, F.lit(0)), F.lit(0))
     return out.withColumns({"n_in": less(n, "_n"), "s_in": less(s, "_s")}).drop("_n", "_s")
+
+
+def linked_triple(sensor: DataFrame, link: DataFrame, sensor_id: str, wanted: DataFrame, entity: str, cell: str, period: str, label: Column | str, alpha: float = 100.0, default: float = 0.5) -> DataFrame:
+    """(entity, cell, period, rate, dev, conf) for each distinct (entity, cell, period) of `wanted`, from the periods before of another table.
+
+    sensor: (sensor_id, cell, period, label); link: (sensor_id, entity), a sensor id once. The rate in the cell is drawn towards the cell's mean,
+    dev is against the entity's own rate, drawn towards the mean of all linked rows; both means are those of the periods before,
+    `default` where there are none. Rows without a link are left out."""
+    own = period_sums(sensor.join(link.select(sensor_id, entity).dropna(), sensor_id), [entity, cell], period, label)
+    want = wanted.select(entity, cell, period).dropna().distinct()
+    zero = [F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s")]
+
+    def before(keys: list[str]) -> DataFrame:
+        """Sums over earlier periods for all periods that are wanted or known."""
+        both = own.select(*keys, period, "n", "s").unionByName(want.select(*keys, period, *zero)).groupBy(*keys, period).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        return prior_sums(both, keys or [F.lit(1)], period).select(*keys, period, "n_prior", "s_prior")
+
+    def mean(keys: list[str], name: str) -> DataFrame:
+        return before(keys).select(*keys, period, F.when(F.col("n_prior") > 0, F.col("s_prior") / F.col("n_prior")).alias(name))
+
+    mine = before([entity]).withColumnsRenamed({"n_prior": "_n", "s_prior": "_s"})
+    state = want.join(before([entity, cell]), [entity, cell, period]).join(mine, [entity, period]).join(mean([cell], "_cell"), [cell, period]).join(mean([], "_all"), period)
+    overall = F.coalesce("_all", F.lit(default))
+    state = state.withColumn("_base", shrunk(F.col("_s"), F.col("_n"), overall, alpha))
+    return encode_triple(state, "n_prior", "s_prior", F.coalesce("_cell", overall), F.col("_base"), alpha).select(entity, cell, period, "rate", "dev", "conf")

@@ -226,13 +226,14 @@ def boosted_trees(df: DataFrame, features: Sequence[str], label: str, trees: int
     return model, [exported(t, w) for t, w in zip(model.trees, model.treeWeights)]
 
 
-def exported(tree, weight: float = 1.0) -> dict[str, np.ndarray]:
-    """One fitted tree with numeric splits as arrays (feature, threshold, left, right, missing_left, value); bounded by its depth."""
+def exported(tree, weight: float = 1.0, leaf=None) -> dict[str, np.ndarray]:
+    """One fitted tree with numeric splits as arrays (feature, threshold, left, right, missing_left, value); bounded by its depth.
+    A node's value is its prediction times weight, or what `leaf` makes of it."""
     rows: list[list] = []
 
     def add(node) -> int:
         at = len(rows)
-        rows.append([-1, 0.0, at, at, True, node.prediction() * weight])
+        rows.append([-1, 0.0, at, at, True, leaf(node) if leaf else node.prediction() * weight])
         if node.subtreeDepth():
             rows[at][:2] = [node.split().featureIndex(), node.split().threshold()]
             rows[at][2], rows[at][3] = add(node.leftChild()), add(node.rightChild())
@@ -280,27 +281,143 @@ def softmax_neighbours(columns: Sequence[Column], centres: np.ndarray, values: n
     return score(*columns)
 
 
-def attention_scores(sequence: Column, candidate: Column, table: np.ndarray, layers: Sequence[tuple[np.ndarray, np.ndarray]]) -> Column:
+def attention_scores(sequence: Column, candidate: Column, table: np.ndarray, layers: Sequence[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 20) -> Column:
     """A sequence model's forward pass from its arrays: codes of a sequence and of a candidate row take vectors from `table`, the sequence
-    is pooled by softmax attention to the candidate (an empty one: zeros), and a dense network scores both."""
+    is pooled by softmax attention to the candidate (an empty one: zeros), and a dense network scores both. Rows of a block are padded to
+    its longest sequence and masked."""
 
     @F.pandas_udf("double")
     def score(seq: pd.Series, cand: pd.Series) -> pd.Series:
-        out = np.empty(len(seq))
-        for i, (s, c) in enumerate(zip(seq, cand)):
-            q = table[int(c)]
-            pooled = np.zeros_like(q)
-            if s is not None and len(s):
-                keys = table[np.asarray(s, int)]
-                a = keys @ q / np.sqrt(len(q))
-                a = np.exp(a - a.max())
-                pooled = (a / a.sum()) @ keys
-            h = np.concatenate([q, pooled])
-            for j, (w, b) in enumerate(layers):
-                h = h @ w + b
-                if j < len(layers) - 1:
-                    h = np.maximum(h, 0)
-            out[i] = 1 / (1 + np.exp(-h[0]))
+        lists = [[] if s is None else list(s) for s in seq]
+        size, q = np.array([len(s) for s in lists], int), table[cand.to_numpy(int)]
+        out, step = np.empty(len(lists)), max(1, cells // (max(1, size.max(initial=1)) * table.shape[1]))
+        for a in range(0, len(lists), step):
+            n, ask = size[a : a + step], q[a : a + step]
+            mask = np.arange(max(1, n.max())) < n[:, None]
+            codes = np.zeros(mask.shape, int)
+            codes[mask] = [c for s in lists[a : a + step] for c in s]
+            keys = table[codes]
+            s = np.where(mask, (keys * ask[:, None, :]).sum(axis=2) / np.sqrt(ask.shape[1]), -np.inf)
+            top = s.max(axis=1, keepdims=True)
+            w = np.exp(s - np.where(np.isfinite(top), top, 0.0))
+            pooled = (w[:, :, None] * keys).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-300)[:, None]
+            h = np.concatenate([ask, pooled], 1)
+            for j, (weight, b) in enumerate(layers):
+                h = h @ weight + b
+                h = np.maximum(h, 0) if j < len(layers) - 1 else h
+            out[a : a + step] = 1 / (1 + np.exp(-h[:, 0]))
         return pd.Series(out)
 
     return score(sequence, candidate)
+
+
+def shared_splits(trees: Sequence[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(features, borders, codes): the distinct (feature, border) pairs of all trees' inner nodes, by feature and border, and for each tree the
+    number of each node's pair (leaves: 0)."""
+    inner = [np.asarray(t["feature"]) >= 0 for t in trees]
+    every = [np.stack([np.asarray(t["feature"], float)[i], np.asarray(t["threshold"], float)[i]], 1) for t, i in zip(trees, inner)]
+    pairs, at = np.unique(np.concatenate([*every, np.zeros((0, 2))]), axis=0, return_inverse=True)
+    codes, begin = [], 0
+    for i in inner:
+        c = np.zeros(len(i), int)
+        c[i] = at.ravel()[begin : begin + i.sum()]
+        begin += int(i.sum())
+        codes.append(c)
+    return pairs[:, 0].astype(int), pairs[:, 1], codes
+
+
+def shared_tree_scores(columns: Sequence[Column], trees: Sequence[dict], bias: float = 0.0, cells: int = 1 << 22) -> Column:
+    """tree_scores by a shared split table: each distinct (feature, border) is compared once for a row, whatever trees and nodes use it, and nodes
+    refer to the outcome's bit. Rows go in blocks whose bits fill `cells` places at most."""
+    features, borders, codes = shared_splits(trees)
+    step = max(1, cells // max(1, len(features)))
+
+    @F.pandas_udf("double")
+    def score(*xs: pd.Series) -> pd.Series:
+        m = np.stack([x.to_numpy(float) for x in xs], 1)
+        out = np.full(len(m), float(bias))
+        for a in range(0, len(m), step):
+            x = m[a : a + step]
+            left, missing = x[:, features] <= borders, np.isnan(x)
+            for t, code in zip(trees, codes):
+                f, to_left, to_right, ml, v = (np.asarray(t[k]) for k in ("feature", "left", "right", "missing_left", "value"))
+                at = np.zeros(len(x), int)
+                while (live := f[at] >= 0).any():
+                    i, r = at[live], np.flatnonzero(live)
+                    go = np.where(missing[r, f[i]], ml[i], left[r, code[i]])
+                    at[live] = np.where(go, to_left[i], to_right[i])
+                out[a : a + step] += v[at]
+        return pd.Series(out)
+
+    return score(*columns)
+
+
+def random_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 5, seed: int = 7):
+    """A random forest fitted by pyspark.ml on feature columns without nulls: (model, trees as arrays). The sum of the arrays' scores is the
+    mean of the trees' label shares, the model's probability of label 1."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    model = RandomForestClassifier(featuresCol="_f", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=list(features), outputCol="_f").transform(df))
+    share = lambda node: (s := list(node.impurityStats().stats()))[1] / sum(s) / trees
+    return model, [exported(t, leaf=share) for t in model.trees]
+
+
+def attention_network(numbers: Sequence[Column], codes: Sequence[Column], sequences: Sequence[Column], query: Column, net: dict[str, np.ndarray], cells: int = 1 << 20) -> Column:
+    """The probability of a network that pools a sequence by attention to a query, from its arrays.
+
+    The sequences (arrays of codes, equal in length) give each place a state, their vectors side by side. An attention network scores a place
+    from its state, the query's vector and their product, the query's vector repeated up to the state's width; a softmax over the places of
+    the row weighs their states. Dense layers with ReLU between then give a logit from the numbers, the vectors of the codes and the pooled
+    state.
+
+    net: table{j} for each code and seq{j} for each sequence (rows are codes; 0 stands for unknown), query, att0_w (in by out), att0_b, att1_w
+    (in), att1_b, dense{i}_w (in by out), dense{i}_b. Ragged rows are padded to a tensor of a block's longest and masked. A row
+    without places (empty, null) attends to code 0 alone; a null place is masked; codes that a table lacks or null count as 0, null numbers as 0.
+    Blocks hold `cells` places by state width at most."""
+    n_dense = sum(1 for k in net if k.startswith("dense") and k.endswith("_w"))
+    known = lambda z, t: np.where((z >= 0) & (z < len(t)), z, 0)
+
+    def forward(x: np.ndarray, z: np.ndarray, q: np.ndarray, places: list[list]) -> np.ndarray:
+        size = np.array([len(p) for p in places[0]])
+        mask = np.arange(max(1, size.max(initial=0))) < size[:, None]
+        padded = []
+        for one in places:
+            full = np.full(mask.shape, np.nan)
+            full[mask] = [np.nan if v is None else v for p in one for v in p]
+            padded.append(full)
+        mask &= ~np.isnan(padded).any(axis=0)
+        none = ~mask.any(axis=1)
+        mask[none, 0] = True
+        state = np.concatenate([net[f"seq{j}"][known(np.where(mask & ~none[:, None], np.nan_to_num(p), 0).astype(int), net[f"seq{j}"])] for j, p in enumerate(padded)], 2)
+        ask = np.broadcast_to(net["query"][known(q, net["query"])][:, None, :], (*mask.shape, net["query"].shape[1]))
+        wide = np.tile(ask, (1, 1, -(-state.shape[2] // ask.shape[2])))[:, :, : state.shape[2]]
+        h = np.maximum(np.concatenate([state, ask, state * wide], 2) @ net["att0_w"] + net["att0_b"], 0)
+        s = np.where(mask, h @ net["att1_w"] + net["att1_b"], -np.inf)
+        w = np.exp(s - s.max(axis=1, keepdims=True))
+        pooled = ((w / w.sum(axis=1, keepdims=True))[:, :, None] * state).sum(axis=1)
+        h = np.concatenate([x, *[net[f"table{j}"][known(z[:, j], net[f"table{j}"])] for j in range(z.shape[1])], pooled], 1)
+        for i in range(n_dense):
+            h = h @ net[f"dense{i}_w"] + net[f"dense{i}_b"]
+            h = np.maximum(h, 0) if i < n_dense - 1 else h
+        return 1 / (1 + np.exp(-np.clip(h[:, 0], -60, 60)))
+
+    n, k = len(numbers), len(codes)
+    width = sum(net[f"seq{j}"].shape[1] for j in range(len(sequences))) * 3
+
+    @F.pandas_udf("double")
+    def score(*xs: pd.Series) -> pd.Series:
+        rows = len(xs[0])
+        x = np.nan_to_num(np.stack([c.to_numpy(float) for c in xs[:n]], 1)) if n else np.zeros((rows, 0))
+        z = [np.nan_to_num(c.to_numpy(float)).astype(int) for c in xs[n : n + k + 1]]
+        seq = [[[] if v is None else list(v) for v in c] for c in xs[n + k + 1 :]]
+        out, a = np.zeros(rows), 0
+        longest = np.array([len(v) for v in seq[0]])
+        while a < rows:  # a block ends where its padded tensor would be too large
+            most = np.maximum.accumulate(np.maximum(longest[a : a + 8192], 1))
+            b = a + max(1, int(np.searchsorted(most * np.arange(1, len(most) + 1) * width, cells, side="right")))
+            out[a:b] = forward(x[a:b], np.stack([c[a:b] for c in z[:k]], 1) if k else np.zeros((len(x[a:b]), 0), int), z[k][a:b], [s[a:b] for s in seq])
+            a = b
+        return pd.Series(out)
+
+    return score(*numbers, *codes, query, *sequences)

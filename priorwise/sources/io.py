@@ -35,10 +35,20 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     df.write.mode("overwrite").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
 
 
-def save_history(df: DataFrame, path: str, period: str | None = None) -> None:
-    """Frozen lookup tables as Parquet, by period where there is one."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(period) if period else w).parquet(path)
+def save_history(sums: DataFrame, path: str, period: str) -> None:
+    """Sums by (keys, period) as Parquet, a folder for each period. Periods that lie there already are replaced by those of `sums`,
+    others stay: a new period is added, or an old one made anew, without the rest being read."""
+    sums.repartition(period).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
+
+
+def load_history(spark: SparkSession, path: str, keys: Sequence[str], period: str, names: Sequence[str] = ("n", "s"), before=None, last: int | None = None) -> DataFrame:
+    """(keys, names): the sums over all saved periods, over those before `before`, or over the `last` of those. Folders of other periods
+    aren't read."""
+    h = spark.read.parquet(path)
+    if before is not None:
+        h = h.where(F.col(period) < before)
+        h = h if last is None else h.where(F.col(period) >= before - last)
+    return h.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def period_scan(df: DataFrame, stamp: str, first_year: int, last_year: int) -> DataFrame:
