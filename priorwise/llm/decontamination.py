@@ -3,7 +3,6 @@ until the tiles cover enough of a test item, in whatever order its parts stand."
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,41 +30,66 @@ def tokens(column: pa.Array):
         yield lo, hi, word_hashes(data, starts, ends), bounds
 
 
-def tile(hits: np.ndarray, m: int, k: int) -> list[tuple[int, int, int]]:
-    """hits: rows (place in the text, place in the item) where k words are equal. Tiles (text, item, length): the longest
-    match of unmarked words first, of equals the first in the item, then in the text; matches shorter than k don't count."""
-    if not len(hits):
-        return []
-    hits = hits[np.lexsort((hits[:, 0], hits[:, 0] - hits[:, 1]))]
-    p, q = hits[:, 0], hits[:, 1]
-    new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)])
-    size = np.diff(np.append(new, len(p))) + k - 1
-    heap = [(-int(n), int(q[i]), int(p[i])) for i, n in zip(new, size)]
-    heapq.heapify(heap)
-    in_text: set[int] = set()
-    in_item = np.zeros(m, bool)
-    out = []
-    while heap:
-        n, b, a = heapq.heappop(heap)
-        n = -n
-        free = [not in_item[b + i] and a + i not in in_text for i in range(n)]
-        if all(free):
-            out.append((a, b, n))
-            in_item[b : b + n] = True
-            in_text.update(range(a, a + n))
-            if in_item.all():
+def _windows(h: np.ndarray, used: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of n words without a used one."""
+    total = np.concatenate([[0], np.cumsum(used)])
+    at = np.flatnonzero(total[n:] == total[: len(total) - n])
+    return at, window_hashes(h, n)[at]
+
+
+def _met(text: np.ndarray, used: np.ndarray, item: np.ndarray, in_item: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unmarked windows of n words that both sides have: their starts and hashes in the text and in the item, both by start."""
+    at, h = _windows(text, used, n)
+    to, g = _windows(item, in_item, n)
+    keys = np.unique(g)
+    if not len(keys):
+        return at[:0], h[:0], to[:0], g[:0]
+    same = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+    at, h = at[same], h[same]
+    both = np.isin(g, h)
+    return at, h, to[both], g[both]
+
+
+def tile(text: np.ndarray, item: np.ndarray, k: int, used: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Tiles (place in the text, place in the item, length) of two sequences of word hashes: the longest match of unmarked words first, of
+    equals the first in the item, then in the text; matches shorter than k don't count. `used` marks words of the text from the start.
+
+    Pairs of places are never listed. The greatest length at which both sides share an unmarked window is found by bisection over window
+    hashes, all matches of that length are marked, and the next length is less; memory is that of a few arrays as long as the text."""
+    used = np.zeros(len(text), bool) if used is None else used.copy()
+    in_item = np.zeros(len(item), bool)
+    out: list[tuple[int, int, int]] = []
+    top = min(len(item), len(text))
+    while top >= k and not in_item.all():
+        if not len((found := _met(text, used, item, in_item, top))[0]):
+            low, high, found = k - 1, top, None  # both share a window of `low` words (or low < k) and none of `high`
+            while high - low > 1:
+                n = (low + high) // 2
+                if len((tried := _met(text, used, item, in_item, n))[0]):
+                    low, found = n, tried
+                else:
+                    high = n
+            if found is None:
                 break
-            continue
-        i = 0
-        while i < n:  # what is left of a match between marks comes again in its turn
-            if free[i]:
-                j = i
-                while j < n and free[j]:
-                    j += 1
-                if j - i >= k:
-                    heapq.heappush(heap, (i - j, b + i, a + i))
-                i = j
-            i += 1
+            top = low
+        at, h, to, g = found
+        order = np.argsort(h, kind="stable")
+        keys, places = h[order], at[order]
+        begin, end = np.searchsorted(keys, g).tolist(), np.searchsorted(keys, g, side="right").tolist()
+        next_: dict[int, int] = {}
+        for b, lo, hi in zip(to.tolist(), begin, end):
+            if in_item[b] or in_item[b + top - 1]:  # tiles made at this length are as long, so an end lies in any that overlaps
+                continue
+            i = next_.get(lo, lo)
+            while i < hi and (used[places[i]] or used[places[i] + top - 1]):
+                i += 1
+            next_[lo] = i
+            if i < hi:
+                a = int(places[i])
+                out.append((a, b, top))
+                used[a : a + top] = True
+                in_item[b : b + top] = True
+        top -= 1
     return out
 
 
@@ -85,27 +109,29 @@ def rarest(seeds: np.ndarray, count: np.ndarray, m: int, k: int, coverage: float
     return keep
 
 
-def hits_of(text: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Rows (place in the text, place in the item) of equal windows, in no order."""
-    order = np.argsort(item, kind="stable")
-    keys = item[order]
-    lo, hi = np.searchsorted(keys, text), np.searchsorted(keys, text, side="right")
-    at = np.flatnonzero(hi > lo)
-    return np.stack([np.repeat(at, (hi - lo)[at]), order[ranges(lo[at], (hi - lo)[at])]], 1)
-
-
 def covering(text: np.ndarray, words: np.ndarray, k: int, coverage: float) -> tuple[float, list] | None:
-    """(covered share, tiles) of an item in a text, both as word hashes, if enough is covered."""
+    """(covered share, tiles) of an item in a text, both as word hashes, if enough is covered. Only the text's runs of words that
+    stand in a window of the item are tiled, with a marked word between runs."""
     m, k = len(words), min(k, len(words))
-    hits = hits_of(window_hashes(text, k), window_hashes(words, k))
-    reach = np.zeros(m + 1, int)
-    np.add.at(reach, hits[:, 1], 1)
-    np.add.at(reach, hits[:, 1] + k, -1)
-    if (np.cumsum(reach)[:m] > 0).sum() < coverage * m:
+    seeds, mine = window_hashes(text, k), window_hashes(words, k)
+    keys = np.unique(mine)
+    if not len(seeds) or not len(keys):
+        return None
+    hits = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, seeds), len(keys) - 1)] == seeds)
+    here = np.flatnonzero(np.isin(mine, seeds[hits]))
+    edge = np.zeros(m + 1, int)
+    np.add.at(edge, here, 1)
+    np.add.at(edge, here + k, -1)
+    if (np.cumsum(edge)[:m] > 0).sum() < coverage * m:
         return None  # all hits together cover too little
-    tiles = tile(hits, m, k)
+    new = np.flatnonzero(np.r_[True, np.diff(hits) > k])  # runs that a word or more lies between
+    starts, ends = hits[new], hits[np.append(new[1:], len(hits)) - 1] + k
+    places = ranges(starts, np.minimum(ends + 1, len(text)) - starts)
+    used = np.zeros(len(places), bool)
+    used[np.cumsum(np.minimum(ends + 1, len(text)) - starts)[ends < len(text)] - 1] = True
+    tiles = tile(text[places], words, k, used)
     covered = sum(n for _, _, n in tiles) / m
-    return (covered, sorted(tiles)) if covered >= coverage else None
+    return (covered, sorted((int(places[a]), b, n) for a, b, n in tiles)) if covered >= coverage else None
 
 
 @dataclass

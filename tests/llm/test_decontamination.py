@@ -98,3 +98,42 @@ def test_the_rarest_windows_find_every_cover():
         for i in np.flatnonzero(left):
             reach[i : i + k] = True
         assert reach.sum() < 0.8 * m
+
+
+def test_tiles_on_few_words():
+    """Texts and items of two or three different words, where almost every place meets almost every other."""
+    import numpy as np
+
+    r = random.Random(11)
+    for trial in range(250):
+        letters = "ab" if trial % 2 else "abc"
+        text, item = ["".join(r.choice(letters) for _ in range(r.randrange(1, n))) for n in (60, 25)]
+        if trial % 5 == 0:
+            text = item[len(item) // 2 :] + "z" + text + item[: len(item) // 2]
+        h = {c: np.uint64(ord(c) * 0x9E3779B97F4A7C15 % 2**64) for c in "abcz"}
+        a, b = np.array([h[c] for c in text]), np.array([h[c] for c in item])
+        for k in (1, 2, 5):
+            tiles, covered = brute(" ".join(text), " ".join(item), k)
+            assert d.tile(a, b, min(k, len(b))) == tiles
+            for share in (0.0001, 0.8):
+                got = d.covering(a, b, k, share)
+                assert (got is not None) == (covered >= share), (text, item, k)
+                assert got is None or (abs(got[0] - covered) < 1e-12 and got[1] == sorted(tiles))
+
+
+def test_one_word_a_million_times():
+    """A text of a million equal words and an item of 200: the process grows by far less than 500 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, time, numpy as np
+from priorwise.llm import decontamination as d
+w = np.full(1_000_000, 12345, np.uint64)
+before, t = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+got = d.covering(w, w[:200], 5, 0.8)
+odd = d.covering(w, np.r_[w[:100], np.uint64(7), w[:99]], 5, 0.8)
+print(got[0], len(got[1]), round(odd[0], 3), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, time.time() - t)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=str(__import__("pathlib").Path(d.__file__).parents[2])).stdout.split()
+    assert out[:3] == ["1.0", "1", "0.995"] and int(out[3]) < 500, out
