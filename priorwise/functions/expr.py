@@ -49,6 +49,16 @@ def finite(c: str | Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def safe_cast(c: str | Column, kind: str) -> Column:
+    """c as another type, null where it can't be one."""
+    return col(c).try_cast(kind)
+
+
+def hypotenuse(*columns: str | Column) -> Column:
+    """The root of the sum of squares; null if any is."""
+    return F.sqrt(reduce(add, [col(c).cast("double") * col(c).cast("double") for c in columns]))
+
+
 def dictionary(c: str | Column, values: dict, default=None) -> Column:
     """A literal map with a default for values that it lacks."""
     out = F.lit(default)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import col, logit
+from ..functions.expr import col, logit, sigmoid
 
 #: Groups that may be fitted side by side; more raise, as their state lives on the driver.
 GROUPS = 10_000
@@ -131,3 +131,13 @@ def fit_temperature(df: DataFrame, p, y, by: str | None = None, passes: int = 10
         if len(ended) == len(sums):
             break
     return _table(df, by, [(g, *map(float, v[0]), *map(float, t[:3])) for g, (v, t) in best.items()])
+
+
+def residuals_after_shift(df: DataFrame, p: str, y: str, axes: Sequence[str], least: int = 1) -> DataFrame:
+    """(axis, cell, n, residual): mean label less mean prediction in each cell of the axes, after the one shift of all logits that gives the least
+    Brier score. Cells under `least` rows are left out; no rows give none."""
+    shift = fit_intercepts(df, p, y, [1.0]).first()
+    moved = F.lit(None).cast("double") if shift is None else sigmoid(logit(p) + shift["intercept"])
+    cells = F.inline(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("cell")) for a in axes]))
+    d = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select((col(y) - moved).alias("_r"), cells)
+    return d.groupBy("axis", "cell").agg(F.count(F.lit(1)).alias("n"), F.avg("_r").alias("residual")).where(F.col("n") >= least)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_right, col, logit, sigmoid
+from ..session import settled
 
 
 #: Ranges of scores that a window over all of them is split into.
@@ -172,18 +173,20 @@ def crossfit_weights(df: DataFrame, p: str, q: str, y: str, half: str, cell: str
 
 def backfit(df: DataFrame, p: str, y: str, first: str, second: str, passes: int = 4, k: float = 100.0) -> DataFrame:
     """(first, second, n, effect_first, effect_second): additive residual map; rows are aggregated to (first, second) once, then each pass
-    refits one factor to what the other leaves, shrunk by n / (n + k) and centred."""
-    g = df.groupBy(first, second).agg(F.count(F.lit(1)).alias("n"), F.sum(col(y) - col(p)).alias("_s"))
-    g = g.withColumns({"effect_first": F.lit(0.0), "effect_second": F.lit(0.0)})
+    refits one factor to what the other leaves, shrunk by n / (n + k) and centred. The aggregate is settled once, and an effect is a table
+    of one row for each value of its factor (null is one), settled after its step, so no plan grows with the passes."""
+    g = settled(df.groupBy(F.struct(F.col(first).alias("v")).alias("_first"), F.struct(F.col(second).alias("v")).alias("_second")).agg(F.count(F.lit(1)).alias("n"), F.sum(col(y) - col(p)).alias("_s")))
+    effects: dict[str, DataFrame] = {}
     for _ in range(passes):
-        for own, other, key in (("effect_first", "effect_second", first), ("effect_second", "effect_first", second)):
-            w = Window.partitionBy(key)
-            n = F.sum("n").over(w)
-            raw = F.sum(F.col("_s") - F.col("n") * F.col(other)).over(w) / (n + k)
-            g = g.withColumn("_e", raw)
-            mean = g.agg((F.sum(F.col("n") * F.col("_e")) / F.sum("n")).alias("_mean"))
-            g = g.crossJoin(F.broadcast(mean)).withColumn(own, F.col("_e") - F.col("_mean")).drop("_e", "_mean")
-    return g.drop("_s")
+        for own, other in (("_first", "_second"), ("_second", "_first")):
+            met = g.join(effects[other].withColumnRenamed("effect", "_o"), other) if other in effects else g.withColumn("_o", F.lit(0.0))
+            raw = met.groupBy(own).agg(F.sum("n").alias("_n"), (F.sum(F.col("_s") - F.col("n") * F.col("_o")) / (F.sum("n") + k)).alias("_e"))
+            mean = raw.agg((F.sum(F.col("_n") * F.col("_e")) / F.sum("_n")).alias("_mean"))  # one row
+            effects[own] = settled(raw.crossJoin(F.broadcast(mean)).select(own, (F.col("_e") - F.col("_mean")).alias("effect")))
+    out = g.drop("_s")
+    for own in ("_first", "_second"):
+        out = out.join(effects[own].withColumnRenamed("effect", f"effect{own}"), own) if own in effects else out.withColumn(f"effect{own}", F.lit(0.0))
+    return out.select(F.col("_first.v").alias(first), F.col("_second.v").alias(second), "n", "effect_first", "effect_second")
 
 
 def bootstrap(df: DataFrame, key: str, value: Column, rounds: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -247,12 +250,32 @@ def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return g.agg(F.sum(F.col("_pos") + F.col("_neg")).cast("long").alias("n"), F.when(pairs > 0, won / pairs).alias("auc"))
 
 
-def rolling_origin(df: DataFrame, period: str, width: int, first: int, last: int):
-    """(test period, rows of the `width` periods before it, rows of it) for each test period."""
+def rolling_origin(df: DataFrame, period: str, width: int, first: int | None = None, last: int | None = None):
+    """(test period, rows of the `width` periods before it, rows of it) for each test period, for models that must be fitted anew each time.
+    Without bounds the test periods are those of the table that have `width` periods before them. Rates need no such passes: rolling_rates."""
+    if first is None or last is None:
+        lo, hi = df.agg(F.min(period), F.max(period)).first()
+        first, last = (first if first is not None else (lo or 0) + width), (last if last is not None else (-1 if hi is None else hi))
     for t in range(first, last + 1):
         yield t, df.where((F.col(period) >= t - width) & (F.col(period) < t)), df.where(F.col(period) == t)
 
 
+def rolling_rates(df: DataFrame, keys: Sequence[str], period: str, y: str, width: int) -> DataFrame:
+    """(keys, period, n, s, rate): each key's rows and label sum in a period and its rate over the `width` periods before, for every period of the
+    table with as many before it. The rows are read and summed by (keys, period) once; all origins share the sums."""
+    g = df.groupBy(*keys, period).agg(F.count(F.lit(1)).alias("n"), F.sum(col(y).cast("double")).alias("s"))
+    w = Window.partitionBy(*keys).orderBy(period).rangeBetween(-width, -1)
+    first = F.broadcast(df.agg(F.min(period).alias("_first")))  # one row
+    out = g.withColumn("rate", F.sum("s").over(w) / F.sum("n").over(w)).crossJoin(first)
+    return out.where(F.col(period) >= F.col("_first") + width).drop("_first")
+
+
+def rolling_brier(rates: DataFrame, period: str) -> DataFrame:
+    """(period, n, brier) of the rates of rolling_rates on 0/1 labels, from their sums; keys without a rate are left out."""
+    known = rates.where("rate is not null")
+    return known.groupBy(period).agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.pow(1 - F.col("rate"), F.lit(2)) + (F.col("n") - F.col("s")) * F.pow("rate", F.lit(2))) / F.sum("n")).alias("brier"))
+
+
 def joint_blend(df: DataFrame, members: Sequence[str], y: str, fold: str, anchor: Sequence[float], penalty: float) -> list[float]:
     """Weights that minimise the mean over folds of each fold's Brier score plus penalty * |w - anchor|^2: the folds' Gram matrices (one
     aggregate for all) give the small linear system in closed form. Rows without fold are left out."""

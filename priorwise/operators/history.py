@@ -184,7 +184,7 @@ def cell_effects(df: DataFrame, cell: str, x: str, y: str, low: float | None = N
 
 def adjusted_skill(df: DataFrame, effects: DataFrame, cell: str, x: str, mean: Column | float) -> DataFrame:
     """Adds adjusted: mean + effect + slope * (x - mean) by the row's cell (unknown cells: effect 0, slope 1)."""
-    out = df.join(F.broadcast(effects.select(cell, "effect", "slope")), cell, "left")
+    out = df.join(effects.select(cell, "effect", "slope"), cell, "left")
     m = F.lit(mean) if not isinstance(mean, Column) else mean
     return out.withColumn("adjusted", m + F.coalesce("effect", F.lit(0.0)) + F.coalesce("slope", F.lit(1.0)) * (F.col(x) - m)).drop("effect", "slope")
 

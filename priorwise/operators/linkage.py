@@ -14,6 +14,12 @@ def keep_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
 
 
+def keep_single(df: DataFrame, keys: Sequence[str], context: str) -> DataFrame:
+    """Rows whose key stands with one value of the context only, however many rows it has; a null context is no value."""
+    one = df.groupBy(F.struct(*keys).alias("_k")).agg(F.min(context).alias("_lo"), F.max(context).alias("_hi")).where("_lo = _hi").select("_k")
+    return df.withColumn("_k", F.struct(*keys)).join(one, "_k", "left_semi").drop("_k")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in a total order."""
     return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_i = 1").drop("_i")
@@ -82,8 +88,9 @@ def leave_one_out(pairs: DataFrame, a: str, b: str, period: str, least: int = 3,
     and the other periods' votes are totals less the period's own."""
     c = pairs.dropna(subset=[a, b, period]).groupBy(a, b, F.col(period).alias("held_out")).agg(F.count(F.lit(1)).alias("n"))
     periods = c.select("held_out").distinct()
-    votes = c.groupBy(a, b).agg(F.sum("n").alias("_all")).join(c.groupBy(a, b).agg(F.map_from_entries(F.collect_list(F.struct("held_out", "n"))).alias("_own")), [a, b])  # a pair has a few periods
-    rest = votes.crossJoin(periods).withColumn("n", F.col("_all") - F.coalesce(F.col("_own")[F.col("held_out")], F.lit(0))).where("n > 0").select(a, b, "held_out", "n")
+    each = [r[0] for r in periods.orderBy("held_out").collect()]  # a few
+    totals = c.groupBy(a, b).agg(F.sum("n").alias("_all")).withColumn("held_out", F.explode(F.array(*map(F.lit, each)).cast(f"array<{dict(c.dtypes)['held_out']}>")))
+    rest = totals.join(c.withColumnRenamed("n", "_own"), [a, b, "held_out"], "left").withColumn("n", F.col("_all") - F.coalesce("_own", F.lit(0))).where("n > 0").select(a, b, "held_out", "n")
     mine = mutual_best(c, a, b, least, purity, ["held_out"]).select("held_out", a, b)
     other = mutual_best(rest, a, b, least, purity, ["held_out"]).select("held_out", a, b, F.lit(1).alias("_r"))
     found = mine.join(other, ["held_out", a, b], "left").groupBy("held_out").agg(F.count(F.lit(1)).alias("edges"), F.count("_r").alias("agree"))

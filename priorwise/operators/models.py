@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_array, bin_left
@@ -250,6 +250,16 @@ def out_of_fold(df: DataFrame, fold: str, folds: Sequence, fit) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def out_of_fold_rates(df: DataFrame, keys: Sequence[str], fold: str, y: str, name: str = "p") -> DataFrame:
+    """Adds each row's rate over its keys' rows in the other folds, null without any: sums by (keys, fold) once, totals less the fold's own.
+    Null keys are equal to each other."""
+    k = F.struct(*keys)
+    own = df.groupBy(k.alias("_k"), F.col(fold).alias("_f")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("double")).alias("_s"))
+    w = Window.partitionBy("_k")
+    rest = own.select(F.struct("_k", "_f").alias("_k"), ((F.sum("_s").over(w) - F.col("_s")) / F.nullif(F.sum("_n").over(w) - F.col("_n"), F.lit(0))).alias(name))
+    return df.withColumn("_k", F.struct(k.alias("_k"), F.col(fold).alias("_f"))).join(rest, "_k").drop("_k")
+
+
 def folds(df: DataFrame, key: str, k: int, seed: int = 0, name: str = "fold") -> DataFrame:
     """Adds a fold by hash: the same for a key in every run and partitioning."""
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
@@ -258,8 +268,6 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 0, name: str = "fold") ->
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int = 0) -> DataFrame:
     """At most n rows of each stratum in hash order. A hash threshold from the stratum's size (twice what n needs) goes before the exact
     cut, so the window sorts about 2 n rows of a stratum."""
-    from pyspark.sql import Window
-
     h = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
     size = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     d = df.withColumn("_h", h).join(size, stratum).where(F.col("_h") < F.lit(float(1 << 40)) * F.least(F.lit(1.0), (2.0 * n + 100) / F.col("_n")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import half_even
+from ..session import settled
 
 
 def change_features(df: DataFrame, entity: str, order: Sequence[str], value: str) -> DataFrame:
@@ -97,20 +98,34 @@ def balanced_outcomes(df: DataFrame, block: Sequence[str], order: Sequence[str],
     return df.withColumn("outcome", F.when(last, "lost").when(F.col(stock) + 1 == left + step(lost), held))
 
 
-def global_next(df: DataFrame, order: Sequence[str], parts: int = 64) -> DataFrame:
-    """(order, _following): for each row the order columns of the next row of all. Rows fall into ranges of the first order column
-    (cut points are approximate quantiles, fixed before the plan is built, so a task that runs again sees the same ranges); each range
-    looks ahead in itself, and its last row takes the first row of the next range that has any, from a table of one row per range."""
-    kind = dict(df.dtypes)[order[0]]
-    cuts = df.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))]) if cuts else F.array().cast(f"array<{kind}>")
-    ranged = df.select(*order, F.size(F.filter(edges, lambda e: e < F.col(order[0]))).alias("_part"))
+#: Rows of a range of global_next.
+RANGE_ROWS = 500_000
+
+
+def global_next(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """(order, _following): for each row the order columns of the next row of all. Rows are dealt out in ranges of the whole order, so equal
+    first columns don't share a range; there is one for each RANGE_ROWS rows (counted). The ranges are settled, so a task that runs again sees
+    the same; each looks ahead in itself, and its last row takes the first row of the next range that has any, from a table of a row a range."""
+    parts = parts or -(-df.count() // RANGE_ROWS) or 1
+    ranged = settled(df.select(*order).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     inner = ranged.withColumn("_following", F.lead(F.struct(*order)).over(Window.partitionBy("_part").orderBy(*order)))
     heads = ranged.groupBy("_part").agg(F.min(F.struct(*order)).alias("_head"))
     after = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_after"))  # at most `parts` rows
     return inner.join(F.broadcast(after), "_part").select(*order, F.coalesce("_following", "_after").alias("_following"))
 
 
+def split_state(df: DataFrame, entity: str, order: Sequence[str], state: str, n: str, rate: str, split, names: tuple, near: float = 0.25) -> DataFrame:
+    """Adds <state>_split: rows whose state is `split` become names[0] or names[1] by whether a second counter goes up at the entity's next row,
+    names[2] where that can't be told; other states stay. The counter is rate times n, both cumulative before the row; the next row must
+    count exactly one more, and the increment must be within `near` of 0 or 1. A null rate or n counts as 0."""
+    w = Window.partitionBy(entity).orderBy(*order)
+    count, total = F.coalesce(F.col(n), F.lit(0.0)), F.coalesce(F.col(rate), F.lit(0.0)) * F.coalesce(F.col(n), F.lit(0.0))
+    up = F.lead(total).over(w) - total
+    told = (F.abs(F.lead(count).over(w) - count - 1) < 1e-8) & (F.abs(up - F.round(up)) < near)
+    kind = F.when(told & (F.round(up) == 1), names[0]).when(told & (F.round(up) == 0), names[1]).otherwise(names[2])
+    return df.withColumn("_k", kind).withColumn(f"{state}_split", F.when(F.col(state) == split, F.col("_k")).otherwise(F.col(state))).drop("_k")
+
+
 def agreement(df: DataFrame, label: str, truth: str, least: float = 0.9999) -> DataFrame:
     """(known, agree, rate, ok): how often a reconstructed label equals the true one."""
     a = df.agg(F.count(label).alias("known"), F.count(F.when(F.col(label) == F.col(truth), 1)).alias("agree"))

@@ -364,13 +364,9 @@ s as (select test, l.l_linestatus, y, p from {LINES} l join h on h.test = l.peri
 select test::int as test, count(*) as n, round(avg((p - y) ** 2), 6) as brier from s group by test
 """)
 def rolling_origin(spark, sf_dir):
-    """Three years give the rates of the next one."""
-    out = None
-    for t, train, test in e.rolling_origin(lines(spark, sf_dir).select("l_linestatus", "period", "y"), "period", 3, 1998, 2001):
-        rate = train.groupBy("l_linestatus").agg(F.avg("y").alias("p"))
-        one = test.join(F.broadcast(rate), "l_linestatus").agg(F.lit(t).alias("test"), F.count("*").alias("n"), x.report(e.brier("p", "y")).alias("brier"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Three years give the rates of the next one, for every year with three before it."""
+    r = e.rolling_rates(lines(spark, sf_dir), ["l_linestatus"], "period", "y", 3)
+    return e.rolling_brier(r, "period").select(F.col("period").alias("test"), "n", x.report("brier").alias("brier"))
 
 
 @query(f"""

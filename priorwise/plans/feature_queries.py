@@ -111,13 +111,8 @@ select l_orderkey, l_linenumber, round((t.s - c.s) / nullif(t.n - c.n, 0), 6) as
 """)
 def out_of_fold_rates(spark, sf_dir):
     """Each row scored by its supplier's rate over the other folds."""
-
-    def fit(train):
-        rate = train.groupBy("l_suppkey").agg(F.avg("y").alias("p"))
-        return lambda rows: rows.join(rate, "l_suppkey", "left")
-
     d = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_suppkey", "y", (F.col("l_orderkey") % 5).alias("fold"))
-    return m.out_of_fold(d, "fold", range(5), fit).select("l_orderkey", "l_linenumber", x.report("p").alias("p"))
+    return m.out_of_fold_rates(d, ["l_suppkey"], "fold", "y").select("l_orderkey", "l_linenumber", x.report("p").alias("p"))
 
 
 def _relu(s: str) -> str:

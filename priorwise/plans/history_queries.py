@@ -91,7 +91,7 @@ def hier_shrunk_dev(spark, sf_dir):
 
 
 def _league(spark, sf_dir):
-    s = F.broadcast(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("league")))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("league"))
     return lines(spark, sf_dir).select("l_suppkey", "l_linestatus", "period", "y").join(s, "l_suppkey")
 
 

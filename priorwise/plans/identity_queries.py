@@ -135,3 +135,32 @@ def linked_triple(spark, sf_dir):
     sensor = df.select("l_partkey", F.col("l_linestatus").alias("cell"), "period", (F.col("l_discount") > 0.05).cast("int").alias("hit"))
     wanted = df.select(F.col("l_suppkey").alias("entity"), F.col("l_linestatus").alias("cell"), "period")
     return h.linked_triple(sensor, link, "l_partkey", wanted, "entity", "cell", "period", "hit", 50.0).withColumns({c: x.report(c) for c in ("rate", "dev", "conf")})
+
+
+@query("""
+with k as (select l_suppkey, l_partkey % 50 as lane from lineitem group by all having count(distinct l_linestatus) = 1)
+select l_orderkey, l_linenumber, l_suppkey, l_partkey % 50 as lane, l_linestatus from lineitem where exists (select 1 from k where k.l_suppkey = lineitem.l_suppkey and k.lane = l_partkey % 50)
+""")
+def keep_single(spark, sf_dir):
+    """Rows of (supplier, lane) that stand with one line status only, however many rows they have."""
+    from ..operators import linkage
+
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") % 50).alias("lane"), "l_linestatus")
+    return linkage.keep_single(df, ["l_suppkey", "lane"], "l_linestatus")
+
+
+@query("""
+with e as (select event_id, user_id, ts, event_type, case event_type when 'click' then 1 when 'purchase' then 2 else 3 end as state, case when value > 100 then 1 else 0 end as ball, event_id % 13 = 0 as lost from events),
+c as (select *, row_number() over w - 1 as n, coalesce(sum(ball) over (w rows between unbounded preceding and 1 preceding), 0) as s from e window w as (partition by user_id order by ts, event_id)),
+r as (select *, case when lost then null else s / nullif(n, 0)::double end as rate from c),
+u as (select *, coalesce(rate, 0) * n as t, lead(coalesce(rate, 0) * n) over w - coalesce(rate, 0) * n as up, lead(n) over w as m from r window w as (partition by user_id order by ts, event_id))
+select event_id, case when state <> 3 then state when m is not null and abs(up - round(up)) < 0.25 and round(up) = 1 then 3 when m is not null and abs(up - round(up)) < 0.25 and round(up) = 0 then 4 else -1 end as state_split from u
+""")
+def split_state(spark, sf_dir):
+    """A state split by whether a second counter rises at the next row; where a rate is lost it can't be told."""
+    from ..operators import sequence as q
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).otherwise(3).alias("state"), (F.col("value") > 100).cast("int").alias("ball"))
+    d = h.asof_sums(e, ["user_id"], ["ts", "event_id"], {"n": F.lit(1.0), "s": F.col("ball")})
+    d = d.withColumn("rate", F.when(F.col("event_id") % 13 != 0, F.col("s") / F.nullif(F.col("n"), F.lit(0.0))))
+    return q.split_state(d, "user_id", ["ts", "event_id"], "state", "n", "rate", 3, (3, 4, -1)).select("event_id", "state_split")

@@ -14,12 +14,13 @@ from .base import LINE_ORDER, LINES, lines, query
 def _orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     left = o.select("o_custkey", "day", "o_orderstatus", F.col("o_orderkey").alias("left_id"))
-    right = o.where(F.col("o_orderkey") % 7 != 0).select("o_custkey", "day", "o_orderstatus", (F.col("o_orderkey") + 1000000).alias("right_id"))
+    status = F.when(F.col("o_orderkey") % 7 == 0, "?").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")  # a seventh is known under another status
+    right = o.select("o_custkey", "day", status, (F.col("o_orderkey") + 1000000).alias("right_id"))
     return left, right
 
 
 ORDERS = """l as (select o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderstatus, o_orderkey as left_id from orders),
-r as (select o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderstatus, o_orderkey + 1000000 as right_id from orders where o_orderkey % 7 <> 0)"""
+r as (select o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day, case when o_orderkey % 7 = 0 then '?' else o_orderstatus end as o_orderstatus, o_orderkey + 1000000 as right_id from orders)"""
 
 
 @query(f"""with {ORDERS},
@@ -112,33 +113,35 @@ def order_consistency(spark, sf_dir):
 
 
 @query("""
-with a as (select c_custkey, c_nationkey from customer where c_custkey % 5 <> 0), b as (select c_custkey, (c_nationkey + case when c_custkey % 11 = 0 then 1 else 0 end)::int as c_nationkey from customer where c_custkey % 7 <> 0)
+with a as (select c_custkey, c_nationkey from customer), b as (select case when c_custkey % 7 = 0 then c_custkey + 1000000 else c_custkey end as c_custkey, (c_nationkey + case when c_custkey % 11 = 0 then 1 else 0 end)::int as c_nationkey from customer)
 select coalesce(a.c_custkey, b.c_custkey) as c_custkey, a.c_nationkey as left_value, b.c_nationkey as right_value, case when a.c_custkey is not null and b.c_custkey is not null then 'both' when a.c_custkey is not null then 'left' else 'right' end as side from a full join b on a.c_custkey = b.c_custkey
 """)
 def map_compare(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    b = c.where("c_custkey % 7 <> 0").withColumn("c_nationkey", (F.col("c_nationkey") + F.when(F.col("c_custkey") % 11 == 0, 1).otherwise(0)).cast("int"))
-    return k.compare_maps(c.where("c_custkey % 5 <> 0"), b, "c_custkey", "c_nationkey")
+    value = (F.col("c_nationkey") + F.when(F.col("c_custkey") % 11 == 0, 1).otherwise(0)).cast("int")
+    b = c.select(F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") + 1000000).otherwise(F.col("c_custkey")).alias("c_custkey"), value.alias("c_nationkey"))
+    return k.compare_maps(c, b, "c_custkey", "c_nationkey")
 
 
 @query("""
-with b as (select c_custkey, nullif(c_nationkey, 3) as c_nationkey, c_acctbal + case when c_custkey % 10 = 0 then 1 else 0 end as c_acctbal from customer where c_custkey % 3 <> 0)
+with b as (select case when c_custkey % 3 = 0 then c_custkey + 1000000 else c_custkey end as c_custkey, nullif(c_nationkey, 3) as c_nationkey, c_acctbal + case when c_custkey % 10 = 0 then 1 else 0 end as c_acctbal from customer)
 select 'c_nationkey' as "column", count(*) as rows, count(*) filter (a.c_nationkey is distinct from b.c_nationkey) as different from customer a join b using (c_custkey)
 union all select 'c_acctbal', count(*), count(*) filter (a.c_acctbal is distinct from b.c_acctbal) from customer a join b using (c_custkey)
 """)
 def version_mismatches(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    b = c.where("c_custkey % 3 <> 0").withColumns({"c_nationkey": F.nullif("c_nationkey", F.lit(3)), "c_acctbal": F.col("c_acctbal") + F.when(F.col("c_custkey") % 10 == 0, 1).otherwise(0)})
+    key = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") + 1000000).otherwise(F.col("c_custkey"))
+    b = c.withColumns({"c_custkey": key, "c_nationkey": F.nullif("c_nationkey", F.lit(3)), "c_acctbal": F.col("c_acctbal") + F.when(F.col("c_custkey") % 10 == 0, 1).otherwise(0)})
     return k.mismatches(c, b, "c_custkey", ["c_nationkey", "c_acctbal"])
 
 
 @query("""
-with s as (select l_suppkey, year(l_shipdate) as y, count(*) as n from lineitem where l_suppkey % 10 <> year(l_shipdate) % 10 group by all)
+with s as (select l_partkey * 50 + l_suppkey as l_suppkey, year(l_shipdate) as y, count(*) as n from lineitem group by all)
 select y::int as period, count(*) as suppliers, count(*) filter (exists (select 1 from s b where b.l_suppkey = s.l_suppkey and b.y = s.y - 1)) as warm, count(*) filter (not exists (select 1 from s b where b.l_suppkey = s.l_suppkey and b.y = s.y - 1)) as cold from s group by y
 """)
 def semi_anti(spark, sf_dir):
-    """Suppliers of a year that the year before had (warm) and hadn't (cold)."""
-    s = lines(spark, sf_dir).where(F.col("l_suppkey") % 10 != F.col("period") % 10).select("l_suppkey", "period").distinct()
+    """Parts from a supplier in a year that the year before had (warm) and hadn't (cold)."""
+    s = lines(spark, sf_dir).select((F.col("l_partkey") * 50 + F.col("l_suppkey")).alias("l_suppkey"), "period").distinct()
     before = s.select("l_suppkey", (F.col("period") + 1).alias("period"))
     warm, cold = s.join(before, ["l_suppkey", "period"], "left_semi"), s.join(before, ["l_suppkey", "period"], "left_anti")
     both = warm.withColumn("w", F.lit(1)).unionByName(cold.withColumn("w", F.lit(0)))
@@ -146,33 +149,33 @@ def semi_anti(spark, sf_dir):
 
 
 @query("""
-with m as (select l_suppkey, max(year(l_shipdate)) as last_seen from lineitem where l_suppkey % 4 <> 0 or year(l_shipdate) < 1998 group by all)
-select s_suppkey, last_seen::int as last_seen, coalesce(last_seen <= 1998, true) as stale from supplier left join m on l_suppkey = s_suppkey
+with m as (select l_partkey, max(year(l_shipdate)) as last_seen from lineitem group by all)
+select p_partkey, last_seen::int as last_seen, coalesce(last_seen <= 2000, true) as stale from part left join m on l_partkey = p_partkey
 """)
 def stale_entities(spark, sf_dir):
-    m = lines(spark, sf_dir).where("l_suppkey % 4 <> 0 or period < 1998").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("period").alias("last_seen"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey")
-    return s.join(m, "s_suppkey", "left").select("s_suppkey", "last_seen", F.coalesce(F.col("last_seen") <= 1998, F.lit(True)).alias("stale"))
+    m = lines(spark, sf_dir).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("period").alias("last_seen"))
+    s = table(spark, sf_dir, "part").select("p_partkey")
+    return s.join(m, "p_partkey", "left").select("p_partkey", "last_seen", F.coalesce(F.col("last_seen") <= 2000, F.lit(True)).alias("stale"))
 
 
 @query("""
-with p as (select o_orderkey, o_totalprice as p from orders where o_orderkey % 6 <> 0)
-select o.o_orderkey, p.o_orderkey is not null as matched, coalesce(p, 0.5) as prediction from orders o left join p on p.o_orderkey = o.o_orderkey
+with p as (select o_orderkey, case when o_orderkey % 6 <> 0 then o_totalprice end as p from orders)
+select o.o_orderkey, p is not null as matched, coalesce(p, 0.5) as prediction from orders o left join p on p.o_orderkey = o.o_orderkey
 """)
 def template_merge(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    p = o.where("o_orderkey % 6 <> 0").select("o_orderkey", F.col("o_totalprice").alias("prediction"))
+    p = o.select("o_orderkey", F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).alias("prediction"))
     return io.merge_template(o.select("o_orderkey"), p, "o_orderkey", "prediction")
 
 
 @query("""
-with c as (select distinct c_nationkey as k from customer where c_nationkey < 20), s as (select distinct s_nationkey as k from supplier where s_nationkey > 4)
+with c as (select distinct c_nationkey % 20 as k from customer), s as (select distinct s_nationkey + 5 as k from supplier)
 select 'union' as op, k from (select k from c union select k from s) union all select 'difference', k from (select k from c except select k from s)
 union all select 'intersection', k from (select k from c intersect select k from s)
 """)
 def set_ops(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("k"))
-    s = table(spark, sf_dir, "supplier").where("s_nationkey > 4").select(F.col("s_nationkey").alias("k"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 20).alias("k"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 5).alias("k"))
     parts = {"union": c.union(s).distinct(), "difference": c.subtract(s), "intersection": c.intersect(s)}
     out = None
     for op, df in parts.items():

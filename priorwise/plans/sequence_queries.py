@@ -139,7 +139,7 @@ r as (select *, round(ma - mb, 9) as gap, row_number() over (partition by s_nati
 select s_nationkey, month::bigint as month, round(gap, 6) + 0.0 as gap from r where i = 1
 """)
 def changepoint_scan(spark, sf_dir):
-    s = F.broadcast(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     m = lines(spark, sf_dir).join(s, "l_suppkey").groupBy("s_nationkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("month")).agg(F.avg("l_discount").alias("v"))
     return q.changepoints(m, "s_nationkey", "month", "v").withColumn("gap", report("gap"))
 

@@ -180,3 +180,55 @@ def history_state(spark, sf_dir):
     io.save_history(first.where("day <= 15").withColumn("s", F.when(F.col("day") == 12, -1.0).otherwise(F.col("s"))), path, "day")
     io.save_history(first.where("day = 12 or day > 15"), path, "day")
     return io.load_history(spark, path, ["lane", "event_type"], "day", before=20, last=11)
+
+
+@query(f"""
+with recursive z as materialized (select ln(p / (1 - p)) as z, y, part, dow from {SCORED}),
+s(i, a, b) as (select 0, 1.0::double, 0.0::double union all
+  select i + 1, a, b - least(greatest(g / h, -0.1), 0.1) from (
+    select i, a, avg(b) as b, 2 * avg((q - y) * q * (1 - q)) as g, 2 * avg(q * q * (1 - q) * (1 - q) + (q - y) * q * (1 - q) * (1 - 2 * q)) as h
+    from (select s.i, s.a, s.b, z.y, {_Q} as q from s, z where s.i < 10) group by i, a)),
+r as (select part, dow, y - {_Q} as r from z, s where i = 10)
+select 'part' as axis, part::varchar as cell, count(*) as n, round(avg(r), 6) + 0.0 as residual from r group by part union all select 'dow', dow::varchar, count(*), round(avg(r), 6) + 0.0 from r group by dow
+""")
+def residuals_after_shift(spark, sf_dir):
+    return c.residuals_after_shift(scored(spark, sf_dir), "p", "y", ["part", "dow"]).withColumn("residual", x.report("residual"))
+
+
+#: Values of orders with gaps: no number, not finite, unknown words.
+GAPS = "(select o_orderkey, case o_orderkey % 5 when 0 then null when 1 then 'nan'::double when 2 then 'infinity'::double else o_totalprice end as v, case when o_orderkey % 4 = 0 then null else o_orderpriority end as w, case when o_orderkey % 3 = 0 then 'x' || o_orderkey else o_orderkey::varchar end as t, 0.05 + 0.9 * (o_orderkey % 100) / 100.0 as p from orders)"
+
+
+@query(f"""
+select o_orderkey, case when isnan(v) then null else v end as number, coalesce(isfinite(v), false) as finite, try_cast(t as bigint) as cast_t, case w when '1-URGENT' then 10 when '5-LOW' then 1 else -1 end as coded,
+  case w when '1-URGENT' then 1 when '3-MEDIUM' then 2 when '5-LOW' then 3 else 0 end as learned, coalesce(w = '1-URGENT', false)::int as w_urgent, coalesce(w = '5-LOW', false)::int as w_low, (v is null)::int + (w is null)::int as gaps,
+  round(sqrt((o_orderkey % 7) ** 2 + (o_orderkey % 11) ** 2), 6) as hypot, round(1 / (1 + exp(-ln(p / (1 - p)) / (1 + 2.0 * (o_orderkey % 10) / 10))), 6) as drawn, round(1 / (1 + exp(-(ln(p / (1 - p)) + ln(0.3 / 0.7) - ln(0.5 / 0.5)))), 6) as levelled from {GAPS}
+""")
+def row_helpers(spark, sf_dir):
+    """Small expressions on values with gaps."""
+    from ..operators import ensemble as n
+    from ..sources.io import table
+
+    k = F.col("o_orderkey")
+    v = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, float("nan")).when(k % 5 == 2, float("inf")).otherwise(F.col("o_totalprice"))
+    d = table(spark, sf_dir, "orders").select(k, v.cast("double").alias("v"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("w"), F.when(k % 3 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")).alias("t"), (0.05 + 0.9 * (k % 100) / 100).alias("p"))
+    urgent, low = x.indicators("w", ["1-URGENT", "5-LOW"])
+    return d.select(
+        k, x.nan_to_null("v").alias("number"), x.finite("v").alias("finite"), x.safe_cast("t", "bigint").alias("cast_t"), x.dictionary("w", {"1-URGENT": 10, "5-LOW": 1}, -1).alias("coded"),
+        x.learned_codes("w", ["5-LOW", "1-URGENT", "3-MEDIUM"]).alias("learned"), urgent.alias("w_urgent"), low.alias("w_low"), x.null_count(["v", "w"]).alias("gaps"),
+        x.report(x.hypotenuse(k % 7, k % 11)).alias("hypot"), x.report(n.attenuated("p", (k % 10) / 10, 2.0)).alias("drawn"), x.report(n.level("p", 0.3, 0.5)).alias("levelled"),
+    )
+
+
+@query(f"""
+with a as (select event_id, event_type, q as x, y, case when event_type = 'view' then null else event_type end as cell from {SCORED}),
+f as (select cell, avg(y) - (select avg(y) from a) as effect, coalesce(case when var_pop(x) > 0 then regr_slope(y, x) end, 1.0) as slope from a where cell is not null group by cell)
+select event_id, round(0.2 + coalesce(effect, 0) + coalesce(slope, 1) * (x - 0.2), 6) as adjusted from a left join f on f.cell = a.event_type
+""")
+def adjusted_skill(spark, sf_dir):
+    """Cells that the effects lack keep slope 1 and no effect."""
+    from ..operators import history as h
+
+    d = scored(spark, sf_dir).select("event_id", "event_type", F.col("q").alias("x"), "y").withColumn("cell", F.when(F.col("event_type") != "view", F.col("event_type")))
+    effects = h.cell_effects(d, "cell", "x", "y").where("cell is not null").withColumnRenamed("cell", "event_type")
+    return h.adjusted_skill(d, effects, "event_type", "x", 0.2).select("event_id", x.report("adjusted").alias("adjusted"))

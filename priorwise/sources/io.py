@@ -100,6 +100,46 @@ def contract_digest(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(f"{c}:{t}" for c, t in df.dtypes).encode()).hexdigest()
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """SHA-256 of a row's values in the order of the columns; null differs from empty, and values can't run into each other."""
+    part = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.sha2(F.concat_ws("|", *[part(c) for c in columns]), 256)
+
+
+def config_digest(config: dict) -> str:
+    """SHA-256 of plain settings, whatever the order of their names."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def lookup_csv(spark: SparkSession, path: str, key: str, value: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """(key, value) of a CSV that maps one to the other: rows without either are left out, repeated rows count once, and a key with two values raises."""
+    out = read_csv(spark, path, schema, [key, value]).dropna().distinct()
+    if (twice := [r[0] for r in unique_key(out, [key]).limit(3).collect()]):
+        raise ValueError(f"keys with several values: {twice}")
+    return out
+
+
+def checked_template(template: DataFrame, predictions: DataFrame, key: str, value: str) -> DataFrame:
+    """The template's rows with their predictions, each exactly once: raises if a key repeats on either side, if a row has no prediction or a
+    null or NaN one, or if a prediction has no row."""
+    for name, side in (("template", template), ("predictions", predictions)):
+        if unique_key(side, [key]).limit(1).count():
+            raise ValueError(f"keys of the {name} repeat")
+    p = predictions.select(key, F.col(value).cast("double").alias("_p"), F.lit(True).alias("_known"))
+    t = template.drop(value).withColumn("_row", F.lit(True)) if value in template.columns else template.withColumn("_row", F.lit(True))
+    both = t.join(p, key, "full")
+    bad = both.agg(F.count_if(F.col("_known").isNull()).alias("missing"), F.count_if(F.col("_known") & (F.col("_p").isNull() | F.isnan("_p"))).alias("null"), F.count_if(F.col("_row").isNull()).alias("unknown")).first()
+    if any(bad):
+        raise ValueError(f"predictions: {bad.asDict()}")
+    return both.withColumnRenamed("_p", value).drop("_known", "_row")
+
+
+def hash_sample(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """About `share` of the keys' rows, chosen by a hash of (key, seed): the same in every run and partitioning, and a smaller share's rows are
+    among those of a larger one."""
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+
+
 def position_split(df: DataFrame, key: str, share: float = 0.7) -> DataFrame:
     """Adds is_first: whether the row is among the first `share` of the rows by a unique numeric key. The cut is an exact quantile found
     by brackets, so no window or task has all rows. Without rows or keys is_first is null."""

@@ -311,3 +311,79 @@ def test_history_is_state(spark, tmp_path):
     assert got() == [("a", 4, 0 + 1 + 20 + 30), ("b", 4, 51)] and got(before=2003) == [("a", 3, 21), ("b", 3, 21)] and got(before=2003, last=1) == [("a", 1, 20), ("b", 1, 20)]
     plan = io.load_history(spark, path, ["k"], "period", before=2002)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*period[^\]]*< 2002", plan)
+
+
+def test_sources_that_check(spark, tmp_path):
+    a = spark.createDataFrame([(1, "t"), (2, "u"), (3, "v")], "k int, x string")
+    p = spark.createDataFrame([(1, 0.5), (3, 0.25), (2, 0.75)], "k int, p double")
+    assert sorted(tuple(r) for r in io.checked_template(a, p, "k", "p").collect()) == [(1, "t", 0.5), (2, "u", 0.75), (3, "v", 0.25)]
+    more = spark.createDataFrame([(1, 0.1), (9, 0.1)], "k int, p double")
+    for bad in (p.where("k < 3"), p.unionByName(more.where("k = 9")), p.unionByName(more.where("k = 1")), p.withColumn("p", F.when(F.col("k") != 2, F.col("p"))), p.withColumn("p", F.lit(float("nan")))):
+        with pytest.raises(ValueError):
+            io.checked_template(a, bad, "k", "p")
+    (tmp_path / "m.csv").write_text("\ufeffid,name,z\n1,a,0\n1,a,1\n2,b,2\n3,,3\n", encoding="utf-8")
+    assert sorted(tuple(r) for r in io.lookup_csv(spark, str(tmp_path / "m.csv"), "id", "name", "id int, name string, z int").collect()) == [(1, "a"), (2, "b")]
+    (tmp_path / "n.csv").write_text("id,name\n1,a\n1,b\n")
+    with pytest.raises(ValueError, match="several"):
+        io.lookup_csv(spark, str(tmp_path / "n.csv"), "id", "name")
+    rows = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "c"), ("", "c"), ("a", "bc")], "x string, y string")
+    assert rows.select(io.row_digest(["x", "y"])).distinct().count() == 4
+    assert io.config_digest({"a": 1, "b": [2, "é"]}) == io.config_digest({"b": [2, "é"], "a": 1}) != io.config_digest({"a": 2})
+
+
+def test_hash_sample(spark):
+    d = spark.range(20_000)
+    small, large = ({r.id for r in io.hash_sample(d.repartition(n), "id", share, 3).collect()} for n, share in ((2, 0.1), (5, 0.3)))
+    assert small < large and abs(len(small) - 2000) < 200 and abs(len(large) - 6000) < 300 and not io.hash_sample(d, "id", 0.0).count()
+
+
+def test_out_of_fold(spark):
+    """The general form and the form for rates agree; a key's own fold never counts."""
+    r = random.Random(2)
+    d = spark.createDataFrame([(i, r.choice(["a", "b", None]), i % 3, r.randrange(2)) for i in range(120)] + [(500, "once", 0, 1)], "id int, k string, f int, y int")
+
+    def fit(train):
+        rate = train.groupBy(F.struct("k").alias("_s")).agg(F.avg("y").alias("p"))
+        return lambda rows: rows.withColumn("_s", F.struct("k")).join(rate, "_s", "left").drop("_s")
+
+    want = {x.id: x.p for x in models.out_of_fold(d, "f", range(3), fit).collect()}
+    got = {x.id: x.p for x in models.out_of_fold_rates(d, ["k"], "f", "y").collect()}
+    assert got.keys() == want.keys() and all((got[i] is None) == (want[i] is None) and (got[i] is None or abs(got[i] - want[i]) < 1e-12) for i in want) and got[500] is None
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_plans_read_once(spark):
+    """Rates by origin and by fold read the rows once (and once more for the first period), whatever the number of periods and folds."""
+    from priorwise.operators import evaluate
+
+    d = io.table(spark, "/root/testdata/sf0.001", "lineitem").withColumns({"period": F.year("l_shipdate"), "y": (F.col("l_returnflag") == "R").cast("int"), "fold": F.col("l_orderkey") % 50})
+    assert scans(evaluate.rolling_rates(d, ["l_linestatus"], "period", "y", 3)) == 2
+    assert scans(models.out_of_fold_rates(d, ["l_suppkey"], "fold", "y")) == 2
+    two, ten = (evaluate.backfit(d.withColumn("p", F.lit(0.25)), "p", "y", "l_linestatus", "fold", n) for n in (2, 10))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(two) == size(ten) and scans(ten) == 0
+
+
+def test_rolling_origins(spark):
+    from priorwise.operators import evaluate
+
+    d = spark.createDataFrame([(k, p, int((p * 7 + i) % 3 == 0)) for k in "ab" for p in (2000, 2001, 2003, 2004) for i in range(5)], "k string, period int, y int")
+    got = {(r.k, r.period): r.rate for r in evaluate.rolling_rates(d, ["k"], "period", "y", 2).collect()}
+    seen = {}
+    for t, train, test in evaluate.rolling_origin(d, "period", 2):
+        for r in test.select("k").distinct().join(train.groupBy("k").agg(F.avg("y").alias("p")), "k", "left").collect():
+            seen[r.k, t] = r.p
+    assert got.keys() == seen.keys() == {(k, p) for k in "ab" for p in (2003, 2004)} and all(abs(got[x] - seen[x]) < 1e-12 for x in got)
+
+
+def test_next_rows_with_equal_firsts(spark):
+    """Rows of one first value are dealt out over several ranges."""
+    from priorwise.operators import sequence
+
+    d = spark.createDataFrame([(7, i) for i in range(300)] + [(8, 0)], "a int, b int").repartition(4)
+    got = {(r.a, r.b): r["_following"] and tuple(r["_following"]) for r in sequence.global_next(d, ["a", "b"], 5).collect()}
+    assert got == {**{(7, i): (7, i + 1) for i in range(299)}, (7, 299): (8, 0), (8, 0): None}
+    assert sequence.global_next(d.limit(0), ["a", "b"]).count() == 0
