@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from priorwise.plans import base, evaluate_queries, feature_queries, history_queries, identity_queries, linkage_queries, sequence_queries, variant_queries  # noqa: F401
+from priorwise.plans import base, evaluate_queries, feature_queries, history_queries, identity_queries, linkage_queries, sequence_queries, source_queries, variant_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
