@@ -232,3 +232,18 @@ def adjusted_skill(spark, sf_dir):
     d = scored(spark, sf_dir).select("event_id", "event_type", F.col("q").alias("x"), "y").withColumn("cell", F.when(F.col("event_type") != "view", F.col("event_type")))
     effects = h.cell_effects(d, "cell", "x", "y").where("cell is not null").withColumnRenamed("cell", "event_type")
     return h.adjusted_skill(d, effects, "event_type", "x", 0.2).select("event_id", x.report("adjusted").alias("adjusted"))
+
+
+@query(f"""
+with recursive z as materialized (select ln(p / (1 - p)) as z, y from {SCORED}),
+s(i, a, b) as (select 0, 0.0::double, (select ln(avg(y) / (1 - avg(y))) from z) union all
+  select i + 1, a - (ga * hbb - gb * hab) / (haa * hbb - hab * hab), b - (gb * haa - ga * hab) / (haa * hbb - hab * hab) from (
+    select i, a, b, avg((q - y) * z) as ga, avg(q - y) as gb, avg(q * (1 - q) * z * z) as haa, avg(q * (1 - q) * z) as hab, avg(q * (1 - q)) as hbb
+    from (select s.i, s.a, s.b, z.z, z.y, {_Q} as q from s, z where s.i < 8) group by all))
+select round(a, 3) + 0.0 as slope, round(b, 3) + 0.0 as intercept from s where i = 8
+""")
+def platt_scaling(spark, sf_dir):
+    from ..operators import models as m
+
+    slope, intercept = m.platt(scored(spark, sf_dir), "p", "y")
+    return spark.range(1).select(x.report(F.lit(slope), 3).alias("slope"), x.report(F.lit(intercept), 3).alias("intercept"))
