@@ -58,7 +58,6 @@ KNOWN = [
 
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by\b)|\(c\)[ \t]+[0-9]{4}|©|all rights reserved)[^\n]*$"
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\xa0-\xbf\x{2000}-\x{206f}]+"
-NOTICE = r"(?i)licen[cs]e|public domain|permission"
 
 
 def canonical(text: Column) -> Column:
@@ -88,17 +87,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
     notices (sorted distinct licences of lines whose canonical digest is known) and n_notice_lines (different lines).
 
     An empty or null text has the digest of the empty string; repeated rows each get the result; columns of docs
-    that have the added names are replaced, and no rows give no rows. Lines are looked up only if they name a licence, permission or the public domain."""
+    that have the added names are replaced, and no rows give no rows. Every line with a canonical form is looked up, whatever its words;
+    lines of marks or copyright alone have none. A very long text is a row of its own and its lines are told apart there."""
     added = ["digest", "license", "notices", "n_notice_lines"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     row = free_name(docs, "_row")
     raw = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     whole = lookup_join(docs.withColumns({"digest": F.sha2(canonical(F.col(text)), 256), row: raw}), known.select("digest", "license"), ["digest"], "left", F.monotonically_increasing_id())
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(NOTICE))
-    each = docs.where(F.col(text).rlike(NOTICE)).select(raw.alias("_of"), F.explode(F.array_distinct(lines)).alias("_line"))
-    each = each.distinct().select("_of", F.sha2(canonical(F.col("_line")), 256).alias("digest"))
-    met = lookup_join(each, known.select("digest", F.col("license").alias("_license")), ["digest"], "inner", F.col("_of"))
-    notices = met.groupBy("_of").agg(F.sort_array(F.collect_set("_license")).alias("_notices"), F.count("*").alias("_n"))
+    lines = docs.select(raw.alias("_of"), F.explode(F.array_distinct(F.split(F.col(text), "\n"))).alias("_line"))
+    each = lines.withColumn("_plain", canonical(F.col("_line"))).where("_plain <> ''").select("_of", "_line", F.sha2("_plain", 256).alias("digest"))
+    met = lookup_join(each, known.select("digest", F.col("license").alias("_license")), ["digest"], "inner", F.xxhash64("_line"))
+    found = met.select("_of", "_line", "_license").distinct()
+    notices = found.groupBy("_of").agg(F.sort_array(F.collect_set("_license")).alias("_notices"), F.count("*").alias("_n"))
     return whole.join(notices, whole[row] == notices["_of"], "left").select(
         *docs.columns, "digest", "license", F.coalesce("_notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_notice_lines")
     )

@@ -103,7 +103,14 @@ from p left join best on p.page_id = best.page_id
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_digests(spark))
+    """All documents, and for each document whose id is divisible by 20 a licence file of its source (id -1 - doc_id): a known text with a
+    copyright line of that source, in capitals or as written, so that whole texts meet the list too."""
+    docs = table(spark, sf_dir, "documents")
+    texts = F.array(*[F.lit(t) for _, t in licenses.KNOWN])
+    body = F.element_at(texts, (F.pmod(F.floor(F.col("doc_id") / 20), F.lit(len(licenses.KNOWN))) + 1).cast("int"))
+    filed = F.concat(F.lit("Copyright (c) 2024 "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.when(F.pmod("doc_id", F.lit(40)) == 0, F.upper(body)).otherwise(body))
+    both = docs.select("doc_id", "text").unionByName(docs.where("doc_id % 20 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), filed.alias("text")))
+    out = licenses.scan_licenses(both, licenses.known_digests(spark))
     return out.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"), "n_notice_lines")
 
 
@@ -118,20 +125,32 @@ def _canonical_sql(text: str) -> str:
 SQL_OP8 = f"""
 with texts(license, text) as (values {_values(licenses.KNOWN)}),
 known as (select sha256({_canonical_sql("text")}) as digest, min(license) as license from texts group by 1),
-marked as (select doc_id, sha256({_canonical_sql("text")}) as digest from documents),
-lines as (select distinct doc_id, x.line from documents, unnest(string_split(text, chr(10))) as x(line) where regexp_matches(x.line, '{licenses.NOTICE}')),
-met as (select doc_id, string_agg(distinct license, ',' order by license) as notices, count(*) as n from (select doc_id, sha256({_canonical_sql("line")}) as digest from lines) join known using (digest) group by doc_id)
+body as (select doc_id, source, (select list(text order by nth) from (select row_number() over () as nth, text from texts))[(doc_id // 20) % {len(licenses.KNOWN)} + 1] as t from documents where doc_id % 20 = 0),
+files as (select doc_id, text from documents union all select -1 - doc_id, 'Copyright (c) 2024 ' || coalesce(source, '') || chr(10) || chr(10) || case when doc_id % 40 = 0 then upper(t) else t end from body),
+marked as (select doc_id, sha256({_canonical_sql("text")}) as digest from files),
+lines as (select distinct doc_id, x.line from files, unnest(string_split(text, chr(10))) as x(line)),
+met as (select doc_id, string_agg(distinct license, ',' order by license) as notices, count(*) as n from (select doc_id, {_canonical_sql("line")} as plain from lines) join known on plain <> '' and sha256(plain) = digest group by doc_id)
 select m.doc_id, m.digest, k.license, coalesce(met.notices, '') as notices, coalesce(met.n, 0) as n_notice_lines
 from marked m left join known k using (digest) left join met on m.doc_id = met.doc_id
 """
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    """All conversations with what a logger leaves: of every third (by id) a snapshot without its last turn number (id -1 - conv_id; none of
+    one turn), and of every sixth a second log of the whole (id a thousand million higher)."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    third = turns.where("conv_id % 3 = 0")
+    last = third.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    cut = third.join(last, "conv_id").where("turn < last").select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", "text")
+    again = turns.where("conv_id % 6 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000_000)
+    return chat.format_chats(turns.unionByName(cut).unionByName(again))
 
 
 SQL_OP9 = """
-with t as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos from conversations where conv_id is not null),
+with logged as (select conv_id, turn, role, text from conversations
+  union all select -1 - conv_id, turn, role, text from (select *, max(turn) over (partition by conv_id) as last from conversations where conv_id % 3 = 0) where turn < last
+  union all select conv_id + 1000000000, turn, role, text from conversations where conv_id % 6 = 0),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as pos from logged where conv_id is not null),
 one as (select conv_id, pos, coalesce('r' || length(role) || ':' || role, 'n') || coalesce('t' || length(text) || ':' || text, 'n') as s,
   '<|im_start|>' || coalesce(role, 'user') || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10) as r from t),
 p as (select conv_id, pos, count(*) over (partition by conv_id) as n, md5(string_agg(s, '' order by pos) over (partition by conv_id order by pos)) as h from one),

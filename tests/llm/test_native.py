@@ -106,3 +106,11 @@ def test_turns_tied_but_for_their_texts(spark, rows, monkeypatch):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
     got = sorted(tuple(x) for x in chat.format_chats(df).collect())
     assert got == brute_chats(turns) and [r[0] for r in got] == [1, 3, 4, 6, 7, 9, 10]
+
+
+def test_lines_of_a_list_of_any_words(spark):
+    known = licenses.known_digests(spark, [("own", "SPDX: MIT"), ("tiny", "do as you like"), ("blank", "--")])
+    texts = ["code\nspdx - mit\nmore", "Do as you like!\nDO AS YOU LIKE\nDo as you like!", "--\n\nplain", None, "", "Do as you like!\nDO AS YOU LIKE\nDo as you like!", "a line\n" * 200_000 + "SPDX: MIT"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), known).orderBy("doc_id").collect()
+    assert [(r.notices, r.n_notice_lines) for r in got] == [(["own"], 1), (["tiny"], 2), ([], 0), ([], 0), ([], 0), (["tiny"], 2), (["own"], 1)]
+    assert [r.license for r in got] == [None, None, None, "blank", "blank", None, None]
