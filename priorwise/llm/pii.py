@@ -1,8 +1,9 @@
-"""Personal data: detected entities get keyed surrogates of their type and format; collisions are found over the whole corpus."""
+"""Personal data: detected entities get keyed surrogates of their type and format; collisions and the gender of names are settled over the whole corpus."""
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import warnings
 from collections.abc import Iterator
@@ -22,12 +23,17 @@ TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Mons
 FEMALE = ["Alice", "Anna", "Carmen", "Catherine", "Charlotte", "Claire", "Elena", "Elizabeth", "Emily", "Emma", "Hannah", "Heidi", "Ingrid", "Isabel", "Jane", "Jennifer", "Julia", "Laura", "Lucia", "Margaret", "Maria", "Marie", "Mary", "Monika", "Olivia", "Patricia", "Sabine", "Sarah", "Sophie", "Susan", "Анна", "Елена", "Мария", "Ольга"]
 MALE = ["Andreas", "Antonio", "Carlos", "Charles", "Daniel", "David", "Francisco", "Georg", "Hans", "Henri", "Jacques", "James", "Jean", "John", "José", "Juan", "Jürgen", "Klaus", "Louis", "Luis", "Manuel", "Michael", "Miguel", "Peter", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "William", "Алексей", "Дмитрий", "Иван", "Сергей"]
 GENDER = {n: "f" for n in FEMALE} | {n: "m" for n in MALE}
+# Titles that are also written in capitals, and words that make a place of a following given name.
+TITLES |= {t.upper(): TITLES[t] for t in ("Mr", "Mrs", "Dr", "Prof", "Herr", "Herrn", "Frau", "Mme")} | {"MS.": "f"}
+PLACES = {"San", "Santa", "Santo", "São", "Saint", "St", "Sankt", "Port", "Fort", "Lake", "Mount", "Cape"}
+GIVEN_NAMES = GENDER | {n.upper(): g for n, g in GENDER.items()}
 
 # Syllables and endings of invented names by script and gender.
 SYLLABLES = {"latin": ["ba", "be", "bri", "ca", "co", "da", "del", "do", "fa", "fi", "ga", "hel", "ka", "ki", "la", "le", "lo", "ma", "mi", "na", "no", "pa", "ra", "ri", "ro", "sa", "si", "ta", "to", "va", "vi", "za"], "cyrillic": ["ба", "ве", "га", "да", "жи", "за", "ка", "ле", "ма", "ни", "па", "ра", "се", "та", "фи", "ша"], "greek": ["βα", "γε", "δα", "ζο", "θα", "κα", "λε", "μα", "νι", "πα", "ρο", "σα", "τα", "φι", "χα", "ψα"]}
 ENDINGS = {("latin", "f"): ["na", "line", "ra", "ssa"], ("latin", "m"): ["n", "ric", "rt", "s"], ("latin", "n"): ["n", "l", "r", "th"], ("latin", "last"): ["man", "ner", "ton", "well"], ("cyrillic", "f"): ["на", "ия"], ("cyrillic", "m"): ["н", "слав"], ("cyrillic", "n"): ["н", "р"], ("cyrillic", "last"): ["ко", "ук"], ("greek", "f"): ["να", "ια"], ("greek", "m"): ["ς", "νος"], ("greek", "n"): ["ς", "ν"], ("greek", "last"): ["ιδης", "ακης"]}
 
-EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])")
+EMAIL = re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,}(?![\w-])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 NUMBERS = re.compile(
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<secret>(?<!\w)(?:(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xoxb|AKIA|AIza)[-_]?[A-Za-z0-9_-]{16,})(?!\w))"
@@ -37,10 +43,15 @@ NUMBERS = re.compile(
     r"|(?P<account>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))"
 )
 WORD = re.compile(r"[^\W\d_]+")
-TITLED = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ((?:[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?: [A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)?)(?!\w)")
-GIVEN = re.compile(r"(?<!\w)(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r") ([A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+)(?!\w)")
-_MARKS = {*TITLES, *GENDER}
-_NAME = r"[A-ZÀ-ÞА-ЯΑ-Ω][^\W\d_]+"
+_UPPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω]"
+_MORE = r"(?:['’-](?!s(?!\w))[^\W\d_]+)*"  # further parts of a name: "-Lüdenscheid", "'Brien", not the 's of a genitive
+_NAME = rf"(?:{_UPPER}[^\W\d_]+|{_UPPER}(?=['’-](?!s(?!\w))[^\W\d_])){_MORE}"
+TOKEN = re.compile(rf"(?<![^\W\d_])[^\W\d_]+{_MORE}(?![^\W\d_])")
+PART = re.compile(r"['’-]")
+TITLED = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + rf")\.? ((?:{_NAME})(?: {_NAME})?)(?!\w)")
+GIVEN = re.compile(r"(?<![\w'’-])(" + "|".join(sorted(GIVEN_NAMES, key=len, reverse=True)) + rf")({_MORE}) ({_NAME})(?!\w)")
+_PLACE = re.compile(r"(?<!\w)(?:" + "|".join(sorted(PLACES)) + r")\.? $")
+_MARKS = {*(t.rstrip(".") for t in TITLES), *GIVEN_NAMES}
 # Phrases before a name, a date of birth or a passport number; words of streets; country calling codes of one and two digits.
 SAID = re.compile(r"(?i:(?<!\w)(?:my name is|name:|mein name ist|ich heiße|je m'appelle|me llamo|mi nombre es|меня зовут)) +(" + _NAME + ") (" + _NAME + r")(?!\w)")
 BORN = re.compile(r"(?i:(?<!\w)(?:born(?: on)?|date of birth:?|dob:?|geboren am|geburtsdatum:?|né le|née le|nacido el|nacida el|fecha de nacimiento:?|родился|родилась)) +(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2})(?!\d)")
@@ -85,18 +96,20 @@ def _private(ip: str) -> bool:
 
 
 def _names(text: str, lower: str) -> list[tuple[int, int, str, str]]:
-    """Names after titles, given names and introductions, and bare parts of these elsewhere in the text. A given name's gender is that of any
-    of its mentions that tells one."""
+    """Names after titles, given names and introductions, given names alone, and bare parts of these elsewhere in the text, in any case that
+    starts with a capital. Names joined by hyphens or apostrophes are one name. A given name's gender is that of any of its mentions that tells one."""
     found, genders, lasts = [], {}, set()
 
     def person(first, last, gender):
         if first:
             found.append((*first, "first", gender))
             name = text[slice(*first)].lower()
-            genders[name] = GENDER.get(text[slice(*first)], gender) if gender == "n" and genders.get(name, "n") == "n" else genders[name] if genders.get(name, "n") != "n" else gender
+            told = GENDER.get(PART.split(name)[0].capitalize(), "n") if gender == "n" else gender
+            if genders.get(name, "n") == "n":
+                genders[name] = told
         if last:
             found.append((*last, "last", ""))
-            lasts.add(text[slice(*last)])
+            lasts.add(text[slice(*last)].lower())
 
     marked = not _MARKS.isdisjoint(WORD.findall(text))  # a title or given name that matches is a whole run of letters
     for m in TITLED.finditer(text) if marked else ():
@@ -104,23 +117,52 @@ def _names(text: str, lower: str) -> list[tuple[int, int, str, str]]:
         at = m.start(2)
         person((at, at + len(first)) if last else None, (at + len(first) + 1, m.end()) if last else (at, m.end()), TITLES[m[1]])
     for m in GIVEN.finditer(text) if marked else ():
-        person(m.span(1), m.span(2), GENDER[m[1]])
+        if not _PLACE.search(text, max(0, m.start() - 8), m.start()):
+            person((m.start(1), m.end(2)), m.span(3), GIVEN_NAMES[m[1]])
     for m in _all(SAID, text, lower):
-        person(m.span(1), m.span(2), GENDER.get(m[1], "n"))
-    if not found:
+        person(m.span(1), m.span(2), "n")
+    if not found and not marked:
         return []
     known = {(a, b) for a, b, _, _ in found}
-    firsts = {text[a:b] for a, b, kind, _ in found if kind == "first"}
-    for m in WORD.finditer(text):
-        if m.span() not in known and (m[0] in lasts or m[0] in firsts):
-            found.append((*m.span(), "last" if m[0] in lasts else "first", ""))
+    tokens = [(m.span(), m[0]) for m in TOKEN.finditer(text) if m[0][0].isupper()]
+    for (a, b), word in tokens:
+        head, *others = PART.split(word)
+        if (a, b) not in known and head in GENDER and word.lower() not in lasts and not _PLACE.search(text, max(0, a - 8), a):
+            end = b if all(p[0].isupper() for p in others) else a + len(head)
+            person((a, end), None, GENDER[head])
+            known.add((a, b))
+    for (a, b), word in tokens:
+        if (a, b) in known:
+            continue
+        name = word.lower()
+        parts = PART.split(name)
+        if name in lasts or name in genders:
+            found.append((a, b, "last" if name in lasts else "first", ""))
+        elif len(parts) > 1 and any(p in lasts or p in genders for p in parts):
+            # "Schmidt-Weber" after "Schmidt" is a name; of "Schmidt-based" the part is
+            if all(p[0].isupper() for p in PART.split(word)):
+                person(None, (a, b), "")
+            else:
+                for m in WORD.finditer(text, a, b):
+                    if m[0][0].isupper() and (m[0].lower() in lasts or m[0].lower() in genders):
+                        found.append((*m.span(), "last" if m[0].lower() in lasts else "first", ""))
     return [(a, b, "last" if kind == "last" else f"first_{genders[text[a:b].lower()]}", text[a:b].lower()) for a, b, kind, _ in found]
 
 
+def _ipv6(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Valid addresses of at least three groups and a digit, which tells them from names with colons."""
+    for m in IPV6.finditer(text):
+        if sum(map(bool, m[0].split(":"))) > 2 and any(c.isdigit() for c in m[0]):
+            try:
+                yield (*m.span(), "ipv6", ipaddress.IPv6Address(m[0]).exploded)
+            except ValueError:
+                continue
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, in order, without overlaps.
 
-    kind: email, iban, secret, national, ip, private (addresses of private networks), phone, account, born, passport, address, first_f,
+    kind: email, iban, secret, national, ip, ipv6, private (addresses of private networks), phone, account, born, passport, address, first_f,
     first_m, first_n, last. Forms that differ only in case or punctuation, or by a phone's country code, have one canonical form."""
     if not text:
         return []
@@ -145,6 +187,8 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             else:
                 canon = digits
             found.append((m.start(), m.end(), kind, canon))
+        if "::" in text or text.count(":") > 6:
+            found += _ipv6(text)
         for kind, pattern in (("born", BORN), ("passport", PASSPORT)):
             found += [(m.start(1), m.end(1), kind, m[1]) for m in _all(pattern, text, lower)]
         found += [(m.start(), m.end(), "address", m[0].lower()) for m in _all(ADDRESS, text, text)]
@@ -219,6 +263,16 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     if kind == "ip":
         head = [x for x in range(11, 224) if x not in (127, 172, 192)][_pick(b, 210)]
         return ".".join(map(str, [head, *[1 + _pick(b, 254) for _ in range(3)]]))
+    if kind == "ipv6":
+        # groups that are zero, link-local and private heads stay, others keep their number of digits
+        def group(i: int, g: str) -> str:
+            n = len(g.lstrip("0"))
+            if not n or i == 0 and g[:2] in ("fe", "fc", "fd"):
+                return g
+            head = g[-n] if i == 0 else "123456789abcdef"[_pick(b, 15)]
+            return (head + "".join("0123456789abcdef"[_pick(b, 16)] for _ in range(n - 1))).zfill(4)
+
+        return ":".join(group(i, g) for i, g in enumerate(canon.split(":")))
     if kind == "private":
         o = [int(x) for x in canon.split(".")]
         bits = 24 if o[0] in (10, 127) else 20 if o[0] == 172 else 16
@@ -259,13 +313,22 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
             return _shape(canon, b, True)
         head = re.match(r"(?:sk|pk|ghp|gho|xoxb|AKIA|AIza)[-_]?", canon)[0]
         return head + _shape(canon[len(head) :], b)
-    script = _script(canon)
     gender = kind.partition("_")[2] or "last"
-    pool = [n.lower() for n, g in GENDER.items() if g == gender and _script(n) == script]
-    if attempt < 2 and pool:
-        return pool[_pick(b, len(pool))]
-    s = SYLLABLES[script]
-    return "".join(s[_pick(b, len(s))] for _ in range(2 + attempt // 3)) + ENDINGS[script, gender][_pick(b, len(ENDINGS[script, gender]))]
+
+    parts = re.split(r"(['’-])", canon)
+    short = all(len(p) < 2 for p in parts)
+
+    def name(part: str) -> str:
+        if len(part) < 2 and not (short and part.isalpha()):
+            return part  # a mark between parts, or the letter before an apostrophe
+        script = _script(part)
+        pool = [n.lower() for n, g in GENDER.items() if g == gender and _script(n) == script]
+        if attempt < 2 and pool:
+            return pool[_pick(b, len(pool))]
+        s = SYLLABLES[script]
+        return "".join(s[_pick(b, len(s))] for _ in range(2 + attempt // 3)) + ENDINGS[script, gender][_pick(b, len(ENDINGS[script, gender]))]
+
+    return "".join(map(name, parts))
 
 
 def written(kind: str, surface: str, new: str) -> str:
@@ -281,7 +344,13 @@ def written(kind: str, surface: str, new: str) -> str:
     if kind in ("email", "secret") and surface.isupper() and any(c.isalpha() for c in surface):
         return new.upper()
     if kind.startswith("first") or kind == "last":
-        return new.upper() if surface.isupper() and len(surface) > 1 else new.capitalize()
+        return new.upper() if surface.isupper() and len(surface) > 1 else WORD.sub(lambda m: m[0].capitalize(), new)
+    if kind == "ipv6":
+        # groups before and after the gap, each as wide as there
+        groups, (left, _, right) = new.split(":"), surface.partition("::")
+        fit = lambda part, own: ":".join((g.lstrip("0") or "0").zfill(len(o)) for o, g in zip(part.split(":"), own)) if part else ""
+        out = fit(left, groups) + ("::" + fit(right, groups[-right.count(":") - 1 :]) if "::" in surface else "")
+        return out.upper() if surface.isupper() else out
     return new
 
 
@@ -297,9 +366,22 @@ def session_key(spark: SparkSession) -> bytes:
     return EVALUATION_KEY
 
 
+def _family(kind) -> F.Column:
+    """Kinds whose values may be taken for one another: all parts of names are one family."""
+    return F.when(kind.startswith("first") | (kind == "last"), "name").otherwise(kind)
+
+
+def _told(entities: DataFrame) -> DataFrame:
+    """(kind, canon, as): a given name of unknown gender is the one of the gender that the corpus tells of it elsewhere, if it tells just one."""
+    names = entities.where("kind like 'first%'").groupBy("canon").agg(F.max(F.col("kind") == "first_f").alias("f"), F.max(F.col("kind") == "first_m").alias("m"))
+    one = names.where("f <> m").select("canon", F.lit("first_n").alias("kind"), F.when(F.col("f"), "first_f").otherwise("first_m").alias("_one"))
+    return entities.join(one, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("_one", "kind").alias("as"))
+
+
 def assign_surrogates(entities: DataFrame, key: bytes | None = None, rounds: int = 200) -> DataFrame:
-    """(kind, canon, surrogate) for distinct entities (kind, canon): no two of a kind share a surrogate, and none is an entity of
-    the corpus. Entities whose candidate collides try again, round by round; of several with one candidate the least keeps it.
+    """(kind, canon, surrogate) for distinct entities (kind, canon): no two of a family (a kind; of names all kinds) share a surrogate, and
+    none is an entity of the corpus in that family. A given name of unknown gender is one with the same name of the one known gender that the
+    corpus has of it. Entities whose candidate collides try again, round by round; of several with one candidate the least keeps it.
     Addresses of private networks, whose spaces are small, go round a keyed cycle through the space instead: distinct at once, though a
     surrogate may be another real address there. No entities give no rows. Raises where a kind still collides after all rounds."""
     key = key or session_key(entities.sparkSession)
@@ -307,18 +389,21 @@ def assign_surrogates(entities: DataFrame, key: bytes | None = None, rounds: int
     def make(attempt: int):
         return F.pandas_udf(lambda kind, canon: pd.Series([surrogate(k, c, attempt, key) for k, c in zip(kind, canon)]), "string")("kind", "canon")
 
-    every = saved(entities.select("kind", "canon").distinct())
+    told = saved(_told(entities.select("kind", "canon").distinct()))
+    every = told.where(F.col("kind") == F.col("as")).select("kind", "canon")
+    same = told.where(F.col("kind") != F.col("as")).select(F.col("kind").alias("_n"), F.col("as").alias("kind"), "canon")
     real, closed = every.where("kind <> 'private'"), saved(every.where("kind = 'private'").select("kind", "canon", make(0).alias("surrogate")))
     pending, done = real, None
     for attempt in range(rounds):
-        tried = saved(pending.select("kind", "canon", make(attempt).alias("surrogate")))
+        tried = saved(pending.select("kind", "canon", make(attempt).alias("surrogate"), _family(F.col("kind")).alias("family")))
         if not tried.limit(1).count():
-            return (done if done is not None else tried).unionByName(closed)
-        taken = real.select("kind", F.col("canon").alias("surrogate"))
+            done = done if done is not None else tried.select("kind", "canon", "surrogate")
+            return done.unionByName(closed).unionByName(same.join(done, ["kind", "canon"]).select(F.col("_n").alias("kind"), "canon", "surrogate"))
+        taken = real.select(_family(F.col("kind")).alias("family"), F.col("canon").alias("surrogate"))
         if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate"))
-        least = tried.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        good = least.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canon", "surrogate")
+            taken = taken.unionByName(done.select(_family(F.col("kind")).alias("family"), "surrogate"))
+        least = tried.groupBy("family", "surrogate").agg(F.min(F.struct("kind", "canon")).alias("e"))
+        good = least.join(taken, ["family", "surrogate"], "left_anti").select("e.kind", "e.canon", "surrogate")
         new = saved(good if done is None else done.unionByName(good))
         rest = saved(tried.join(new, ["kind", "canon"], "left_anti").select("kind", "canon"))
         discard(tried, *[d for d in (done, pending if attempt else None) if d is not None])
@@ -330,7 +415,8 @@ def replace_pii(docs: DataFrame, key: bytes | None = None, text: str = "text", c
     """docs with every detected entity in text replaced, and n_entities (long; or the name in count), the number of mentions replaced.
 
     key: secret of the surrogates (None: that of the session setting spark.priorwise.pii.key). An empty table gives no rows.
-    One entity has one surrogate in the whole corpus, different ones different surrogates. A null or empty text stays as it is.
+    One entity has one surrogate in the whole corpus, different ones different surrogates; a name that the corpus has of both genders is two entities,
+    and its mentions of unknown gender a third. A null or empty text stays as it is.
     Other columns, repeated rows included, are kept; a column named as count says is replaced, those of other names are safe. Entities travel by text, so ids may be null or repeated."""
     key = key or session_key(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == count.lower()])
