@@ -134,12 +134,8 @@ def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_ro
     if not tops:
         return docs.sparkSession.createDataFrame([], kind)
     dealt = docs.withColumn("_o", order).select("*", F.explode(F.concat(F.array(bucket("_o")), F.transform(also("_o"), lambda x: -x - 1))).alias("_to"))
-    # a number for each range that hash partitioning deals to a partition of its own
-    tried = docs.sparkSession.range(30 * parts + 200).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(parts)).alias("p"))
-    key = dict(tuple(r) for r in tried.groupBy("p").agg(F.min("k")).collect())
-    keys = F.array(*[F.lit(key.get(i, -i - 1)) for i in range(parts)])
     dealt = dealt.select(F.when(F.col("_to") < 0, -F.col("_to") - 1).otherwise(F.col("_to")).alias("b"), (F.col("_to") >= 0).alias("own"), "_o", "doc_id", "text")
-    dealt = dealt.withColumn("b", F.element_at(keys, F.col("b") + 1)).repartition(parts, "b").sortWithinPartitions("b", "own", "_o", "text")
+    dealt = dealt.repartitionById(parts, "b").sortWithinPartitions("b", "own", "_o", "text")
 
     def run(it):
         state = {"b": None, "text": "", "codes": None}
