@@ -7,10 +7,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, saved
+from .common import batches, deal_join, discard, lookup_join, mix, saved
 from .components import components
 
 SAMPLES = 64  # sampled steps of each octave of the walk
@@ -107,57 +108,91 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def digest_of(print_: str) -> bytes:
+    """What tells written fingerprints apart in joins: 128 bits."""
+    return hashlib.md5(print_.encode()).digest()
+
+
+def _compressed(it):
+    """(doc_id, order, tie, z): texts as zstd frames, which take less room in a shuffle than under its own codec."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches(it):
+        z = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], ["doc_id", "_o", "_tie", "z"])
+
+
+def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_rows: int = BUCKET_ROWS, classes: DataFrame | None = None) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, where the next document
     is the one of the next smaller id (rows with a null id are the smallest, of equal ids the texts decide), after the last the first.
+    With classes (as near_classes gives them) also component_id: that of the row's id and fingerprint, or its own id where they have none.
 
-    Documents are dealt out once by ranges of ids; the largest id of each range also goes to the range above it.
-    A null text is empty. Repeated rows follow one another. No rows give no rows."""
+    Documents are dealt out once by ranges of ids; the largest id of each range also goes to the range above it, and a row of
+    classes to the range of its id, before the texts of that id. A null text is empty. Repeated rows follow one another. No rows give no rows."""
+    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kind += ", component_id long" * (classes is not None)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = docs.select(order.alias("o"))
     rows = ids.count()
+    if not rows:
+        return docs.sparkSession.createDataFrame([], kind)
     parts = max(1, min(BUCKETS, -(-rows // bucket_rows)))
-    cuts = ids.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 and rows else []
+    cuts = ids.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     cuts = np.unique(np.array(cuts, np.int64))
     bucket = F.pandas_udf(lambda o: pd.Series(np.searchsorted(cuts, o.to_numpy(), side="left").astype(np.int32)), "int")
     tops = sorted((r[0], r[1]) for r in ids.groupBy(bucket("o").alias("b")).agg(F.max("o")).collect())
     carried = {tops[i - 1][1]: tops[i][0] for i in range(1, len(tops))}  # the largest id of a range -> the range above it
-    if tops:
-        wrap = tops[-1][1]  # the first of all follows the last
+    wrap = tops[-1][1]  # the first of all follows the last
 
     @F.pandas_udf("array<int>")
     def also(o: pd.Series) -> pd.Series:
         return o.map(lambda x: ([carried[x]] if x in carried else []) + ([tops[0][0]] if x == wrap else []))
 
-    kind = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if not tops:
-        return docs.sparkSession.createDataFrame([], kind)
-    dealt = docs.withColumn("_o", order).select("*", F.explode(F.concat(F.array(bucket("_o")), F.transform(also("_o"), lambda x: -x - 1))).alias("_to"))
-    dealt = dealt.select(F.when(F.col("_to") < 0, -F.col("_to") - 1).otherwise(F.col("_to")).alias("b"), (F.col("_to") >= 0).alias("own"), "_o", "doc_id", "text")
-    dealt = dealt.repartitionById(parts, "b").sortWithinPartitions("b", "own", "_o", "text")
+    # only the texts of repeated ids (and of the null id) are needed to put rows in order
+    several = saved(ids.groupBy("o").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("o").alias("_o"), F.lit(True).alias("_several")))
+    tied = lookup_join(docs.withColumn("_o", order), several, ["_o"], spread=F.xxhash64("text"))
+    packed = tied.select("doc_id", "_o", F.when(F.col("_several"), F.col("text")).alias("_tie"), "text").mapInArrow(_compressed, "doc_id long, _o long, _tie string, z binary")
+    dealt = packed.select("*", F.explode(F.concat(F.array(bucket("_o")), F.transform(also("_o"), lambda x: -x - 1))).alias("_to"))
+    none = lambda t: F.lit(None).cast(t)
+    dealt = dealt.select(F.when(F.col("_to") < 0, -F.col("_to") - 1).otherwise(F.col("_to")).alias("b"), (F.col("_to") >= 0).alias("own"), "_o", F.lit(True).alias("is_text"), "_tie", "doc_id", "z", none("long").alias("component_id"))
+    grouped = classes is not None
+    if grouped:
+        joined = classes.where("component_id <> doc_id").distinct()
+        dealt = dealt.unionByName(joined.select(bucket("doc_id").alias("b"), F.lit(True).alias("own"), F.col("doc_id").alias("_o"), F.lit(False).alias("is_text"), none("string").alias("_tie"), "doc_id", F.col("digest").alias("z"), "component_id"))
+    dealt = dealt.repartitionById(parts, "b").sortWithinPartitions("b", "own", "_o", "is_text", "_tie")
 
     def run(it):
-        state = {"b": None, "text": "", "codes": None}
+        unpack = zstandard.ZstdDecompressor().decompress
+        last = {"text": "", "codes": None}
+        named: tuple = (None, {})  # an id with its components by fingerprint
         block: list[tuple] = []
         size = 0
 
         def flush():
-            walks = walk([x for _, text, c, following, f in block for x in (c, np.concatenate([c[: len(c) - len(c) // 2], f[: len(c) // 2]]), f)])
+            walks = walk([x for _, text, c, following, f, _ in block for x in (c, np.concatenate([c[: len(c) - len(c) // 2], f[: len(c) // 2]]), f)])
             own, edit, nxt = walks[0::3], walks[1::3], walks[2::3]
-            return pa.RecordBatch.from_pydict({
+            out = {
                 "doc_id": pa.array([x[0] for x in block], pa.int64()), "n_chars": pa.array([len(x[1]) for x in block], pa.int64()),
                 "edited_sha256": [hashlib.sha256(edited_text(x[1], x[3]).encode("utf-8", "surrogatepass")).hexdigest() for x in block],
                 "fingerprint": written(own), "edited_fingerprint": written(edit), "near_edited": likeness(own, edit), "near_next": likeness(own, nxt),
-            })
+            }
+            if grouped:
+                out["component_id"] = pa.array([x[5].get(digest_of(p), x[0]) if x[5] else x[0] for x, p in zip(block, out["fingerprint"])], pa.int64())
+            return pa.RecordBatch.from_pydict(out)
 
         for batch in batches(it):
-            for b, own, _, doc, text in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            for own, is_text, doc, z, component in zip(*[batch.column(i).to_pylist() for i in (1, 3, 5, 6, 7)]):
+                if not is_text:
+                    if named[0] != doc:
+                        named = (doc, {})
+                    named[1][z] = component
+                    continue
+                text = unpack(z).decode("utf-8", "surrogatepass")
                 c = codes(text)
                 if own:
-                    block.append((doc, text, c, state["text"], state["codes"]))
+                    block.append((doc, text, c, last["text"], last["codes"], named[1] if named[0] == doc else None))
                     size += 3 * len(c) + 50
-                state = {"b": b, "text": text, "codes": c}
+                last = {"text": text, "codes": c}
                 if size > flush_chars:
                     yield flush()
                     block, size = [], 0
@@ -216,29 +251,45 @@ def _links_between(least: float):
     return run
 
 
-def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 64, bits: int = 8, block: int = BLOCK) -> DataFrame:
-    """For each row with an id and a text that is not empty: doc_id, component_id, the least id reached over fingerprints alike to `least`.
+def packed_print(fingerprint: Column) -> Column:
+    """Written fingerprints at two digits a byte; the first digit tells whether one or two stand before them."""
+    return F.unhex(F.concat(F.when(F.length(fingerprint) % 2 == 0, "00").otherwise("1"), fingerprint))
+
 
-    Bands of `bits` sampled symbols make buckets. Each bucket's members are verified against its least id; where that leaves several
+def unpacked_prints(packed: list[bytes]) -> list[str]:
+    return [h[1:] if h[0] == "1" else h[2:] for h in map(bytes.hex, packed)]
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, bands: int = 64, bits: int = 8, block: int = BLOCK) -> DataFrame:
+    """For each row with an id and a text that is not empty: doc_id, digest (of its fingerprint) and component_id, the least id reached over
+    fingerprints alike to `least`.
+
+    Bands of `bits` sampled symbols make buckets. Each bucket's members are verified against its least one; where that leaves several
     components in a bucket, members of different ones are compared in blocks of about `block`, so all alike members of a bucket are joined.
     Equal fingerprints are one class. Repeated rows get equal results; an id with several texts has a row for each. Rows without id or
     text are left out. No rows give no rows. Other columns are ignored."""
-    keys = F.pandas_udf(lambda p: pd.Series(list(band_keys(list(p), bands, bits).view(np.int64))), "array<long>")
+    keys = F.pandas_udf(lambda p: pd.Series(list(band_keys(unpacked_prints(list(p)), bands, bits).view(np.int64))), "array<long>")
 
     @F.pandas_udf("double")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        s = symbols_of([*a, *b])
+        s = symbols_of(unpacked_prints([*a, *b]))
         return pd.Series(likeness(s[: len(a)], s[len(a) :]))
 
-    made = saved(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().where("text <> ''")).select("doc_id", "fingerprint"))
+    made = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().where("text <> ''"))
+    made = saved(made.select("doc_id", F.unhex(F.md5(F.col("fingerprint").cast("binary"))).alias("digest"), packed_print(F.col("fingerprint")).alias("print")))
     # An id may have several texts, so classes have numbers of their own.
-    firsts = saved(made.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()))
-    keyed = firsts.select("rep", F.explode(F.array_distinct(keys("fingerprint"))).alias("key"))
-    low = keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("_z")).where("lo < _z").select("key", "lo")
+    firsts = made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("print").alias("print"), F.count(F.lit(1)).alias("n_rows"))
+    firsts = saved(firsts.withColumn("rep", F.monotonically_increasing_id()))
+    ids = saved(made.select("doc_id", "digest"))
+    discard(made)
+    keyed = firsts.select("rep", F.explode(F.array_distinct(keys("print"))).alias("key"))
+    low = saved(keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("_z")).where("lo < _z").select("key", "lo"))
     members = saved(keyed.join(low, "key"))
-    pairs = members.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    with_a = pairs.join(firsts.select(F.col("rep").alias("a"), F.col("fingerprint").alias("fa")), "a")
-    links = saved(with_a.join(firsts.select(F.col("rep").alias("b"), F.col("fingerprint").alias("fb")), "b").where(near("fa", "fb") >= least).select("a", "b"))
+    discard(low)
+    pairs = saved(members.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
+    with_a = pairs.join(firsts.select(F.col("rep").alias("a"), F.col("print").alias("pa")), "a")
+    links = saved(with_a.join(firsts.select(F.col("rep").alias("b"), F.col("print").alias("pb")), "b").where(near("pa", "pb") >= least).select("a", "b"))
+    discard(pairs)
     labels = components(links)
     split = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     # Members that share a bucket with its least one alone have been verified already.
@@ -247,9 +298,26 @@ def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 64, bits: int =
     rest = rest.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"pa": F.least("_part", "_with"), "pb": F.greatest("_part", "_with")})
     side = F.when(F.col("_part") == F.col("_with"), 2).when(F.col("_part") < F.col("_with"), 0).otherwise(1).alias("side")
     # _part = _with is the block within itself; in a block of two parts each row is on the side of its own part.
-    rest = rest.select("key", "pa", "pb", side, "rep", "label").join(firsts.select("rep", "fingerprint"), "rep")
-    more = saved(rest.groupBy("key", "pa", "pb").applyInPandas(_links_between(least), "a long, b long").distinct())
+    rest = rest.select("key", "pa", "pb", side, "rep", "label").join(firsts.select("rep", "print"), "rep")
+    found = _links_between(least)
+    compared = rest.groupBy("key", "pa", "pb").applyInPandas(lambda rows: found(rows.assign(fingerprint=unpacked_prints(list(rows["print"])))), "a long, b long")
+    more = saved(compared.distinct())
     final = components(links.unionByName(more))
-    named = firsts.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = firsts.drop("print").join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return made.join(named.select("fingerprint", "label"), "fingerprint").join(least_id, "label").select("doc_id", "component_id")
+    named = saved(named.join(least_id, "label").select("digest", "n_rows", "component_id"))
+    discard(members, links, more, firsts)
+    return deal_join(ids, named, "digest", "n_rows", ids.count()).select("doc_id", "digest", "component_id")
+
+
+def near_texts(docs: DataFrame, least: float = 0.8, bands: int = 64, bits: int = 8, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of near_classes, for the same rows and by the same rules."""
+    return near_classes(docs, least, bands, bits, block).select("doc_id", "component_id")
+
+
+def fingerprint_components(docs: DataFrame, least: float = 0.9, bands: int = 24, bits: int = 14) -> DataFrame:
+    """fingerprint_pairs with component_id, the least id reached over fingerprints alike to `least`; null ids have none, empty texts their own.
+
+    Two fingerprints of likeness 0.9 share none of 24 bands of 14 symbols with probability 0.002 where both texts have a level in
+    common; unlike texts agree in about an eighth of their symbols, so that chance fills no buckets of 14 at any size of the corpus."""
+    return fingerprint_pairs(docs, classes=near_classes(docs, least, bands, bits))

@@ -68,7 +68,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_components(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

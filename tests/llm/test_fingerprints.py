@@ -132,3 +132,37 @@ def test_near_texts_of_nothing_repeated_rows_and_other_columns(spark):
     rows = [(9, long, "x", 1), (9, long, "x", 1), (4, long + "!", None, 2), (4, "quite another text of some words", None, 2), (None, long, "x", 1), (5, None, "x", 1), (6, "", "x", 1)]
     got = sorted(tuple(x) for x in f.near_texts(spark.createDataFrame(rows, kind)).collect())
     assert got == [(4, 4), (4, 4), (9, 4), (9, 4)]
+
+
+def test_packed_prints():
+    prints = ["", "0", "8", "08", "1f0", "00ff", "abcde"]
+    packed = [bytes.fromhex(("1" if len(p) % 2 else "00") + p) for p in prints]
+    assert f.unpacked_prints(packed) == prints
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_components_of_the_query(spark, parts):
+    """component_id against all pairs, with copies, one id with several texts, null ids and empty texts; the other columns don't change."""
+    r = random.Random(parts + 10)
+    texts = list(dict.fromkeys(varied(r, 40, [60, 400, 1500])))
+    near = [t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :] for t in texts[::4]]
+    texts = list(dict.fromkeys(texts + near))
+    docs = [(i * 31 % 997, t) for i, t in enumerate(texts)] + [(2000 + i, t) for i, t in enumerate(texts[:9])]
+    docs += [(3000, texts[1]), (3000, texts[2]), (3000, "one id, another text " * 9), (None, texts[0]), (3001, None), (3002, ""), docs[5], docs[5]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    got = f.fingerprint_components(df).collect()
+    plain = f.fingerprint_pairs(df).collect()
+    assert sorted([tuple(x)[:-1] for x in got], key=str) == sorted([tuple(x) for x in plain], key=str)
+    rows = [(d, t) for d, t in docs if d is not None and t]
+    kinds = sorted({t for _, t in rows})
+    number = {t: i for i, t in enumerate(kinds)}
+    group = classes(links_of(kinds, 0.9), range(len(kinds)))
+    least = {}
+    for d, t in rows:
+        g = group[number[t]]
+        least[g] = min(least.get(g, d), d)
+    print_ = dict(zip(kinds, f.written(f.walk([f.codes(t) for t in kinds]))))
+    want = sorted([(d, print_[t], least[group[number[t]]]) for d, t in rows] + [(None, print_[texts[0]], None), (3001, "", 3001), (3002, "", 3002)], key=str)
+    have = sorted([(x.doc_id, x.fingerprint, x.component_id) for x in got], key=str)
+    assert len({w[2] for w in want}) < len(want) - 20
+    assert sum(a == b for a, b in zip(have, want)) >= 0.99 * len(want) and len(have) == len(want)
