@@ -11,13 +11,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, deal_join, discard, lookup_join, mix, saved
+from .common import batches, deal_join, discard, lookup_join, mix, saved, trim
 from .components import components
 
 SAMPLES = 64  # sampled steps of each octave of the walk
 OCTAVES = 40
 PERIOD = 4096
 FLUSH_CHARS = 24_000_000
+RUN_CHARS = 4_000_000
+RUN_ROWS = 1_000  # fingerprints that are compared, or get their keys, at a time
 BUCKET_ROWS = 5_000
 BUCKETS = 20_000
 LEVEL = SAMPLES // 2  # samples between the levels up to which bands read
@@ -113,12 +115,24 @@ def digest_of(print_: str) -> bytes:
     return hashlib.md5(print_.encode()).digest()
 
 
-def _compressed(it):
-    """(doc_id, order, tie, z): texts as zstd frames, which take less room in a shuffle than under its own codec."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches(it):
-        z = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], ["doc_id", "_o", "_tie", "z"])
+def _dealt(bucket, also):
+    """Rows (doc_id, _o, _tie, text) as those that the ranges get: texts as zstd frames, which take less room in a shuffle than under its
+    own codec, in their own range and, as own = false, in those above it of which they are the text before."""
+
+    def run(it):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches(it):
+            order = batch.column(1).to_numpy()
+            z = [pack(t.encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()]
+            rows = [(int(b), i) for i, b in enumerate(bucket(order))]
+            more = [(b, i) for i, o in enumerate(order.tolist()) for b in also(o)]
+            at, own = pa.array([i for _, i in rows + more], pa.int64()), [True] * len(rows) + [False] * len(more)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([b for b, _ in rows + more], pa.int32()), pa.array(own), batch.column(1).take(at), pa.array([True] * len(own)), batch.column(2).take(at),
+                batch.column(0).take(at), pa.array(z, pa.binary()).take(at), pa.nulls(len(own), pa.int64()),
+            ], ["b", "own", "_o", "is_text", "_tie", "doc_id", "z", "component_id"])
+
+    return run
 
 
 def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_rows: int = BUCKET_ROWS, classes: DataFrame | None = None) -> DataFrame:
@@ -139,26 +153,24 @@ def fingerprint_pairs(docs: DataFrame, flush_chars: int = FLUSH_CHARS, bucket_ro
     parts = max(1, min(BUCKETS, -(-rows // bucket_rows)))
     cuts = ids.agg(F.percentile_approx("o", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     cuts = np.unique(np.array(cuts, np.int64))
-    bucket = F.pandas_udf(lambda o: pd.Series(np.searchsorted(cuts, o.to_numpy(), side="left").astype(np.int32)), "int")
+    ranged = lambda o: np.searchsorted(cuts, o, side="left").astype(np.int32)
+    bucket = F.pandas_udf(lambda o: pd.Series(ranged(o.to_numpy())), "int")
     tops = sorted((r[0], r[1]) for r in ids.groupBy(bucket("o").alias("b")).agg(F.max("o")).collect())
     carried = {tops[i - 1][1]: tops[i][0] for i in range(1, len(tops))}  # the largest id of a range -> the range above it
     wrap = tops[-1][1]  # the first of all follows the last
 
-    @F.pandas_udf("array<int>")
-    def also(o: pd.Series) -> pd.Series:
-        return o.map(lambda x: ([carried[x]] if x in carried else []) + ([tops[0][0]] if x == wrap else []))
+    lowest = tops[0][0]
+    also = lambda x: ([carried[x]] if x in carried else []) + ([lowest] if x == wrap else [])
 
     # only the texts of repeated ids (and of the null id) are needed to put rows in order
     several = saved(ids.groupBy("o").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("o").alias("_o"), F.lit(True).alias("_several")))
     tied = lookup_join(docs.withColumn("_o", order), several, ["_o"], spread=F.xxhash64("text"))
-    packed = tied.select("doc_id", "_o", F.when(F.col("_several"), F.col("text")).alias("_tie"), "text").mapInArrow(_compressed, "doc_id long, _o long, _tie string, z binary")
-    dealt = packed.select("*", F.explode(F.concat(F.array(bucket("_o")), F.transform(also("_o"), lambda x: -x - 1))).alias("_to"))
-    none = lambda t: F.lit(None).cast(t)
-    dealt = dealt.select(F.when(F.col("_to") < 0, -F.col("_to") - 1).otherwise(F.col("_to")).alias("b"), (F.col("_to") >= 0).alias("own"), "_o", F.lit(True).alias("is_text"), "_tie", "doc_id", "z", none("long").alias("component_id"))
+    tied = tied.select("doc_id", "_o", F.when(F.col("_several"), F.col("text")).alias("_tie"), "text")
+    dealt = tied.mapInArrow(_dealt(ranged, also), "b int, own boolean, _o long, is_text boolean, _tie string, doc_id long, z binary, component_id long")
     grouped = classes is not None
     if grouped:
         joined = classes.where("component_id <> doc_id").distinct()
-        dealt = dealt.unionByName(joined.select(bucket("doc_id").alias("b"), F.lit(True).alias("own"), F.col("doc_id").alias("_o"), F.lit(False).alias("is_text"), none("string").alias("_tie"), "doc_id", F.col("digest").alias("z"), "component_id"))
+        dealt = dealt.unionByName(joined.select(bucket("doc_id").alias("b"), F.lit(True).alias("own"), F.col("doc_id").alias("_o"), F.lit(False).alias("is_text"), F.lit(None).cast("string").alias("_tie"), "doc_id", F.col("digest").alias("z"), "component_id"))
     dealt = dealt.repartitionById(parts, "b").sortWithinPartitions("b", "own", "_o", "is_text", "_tie")
 
     def run(it):
@@ -251,9 +263,23 @@ def _links_between(least: float):
     return run
 
 
-def packed_print(fingerprint: Column) -> Column:
-    """Written fingerprints at two digits a byte; the first digit tells whether one or two stand before them."""
-    return F.unhex(F.concat(F.when(F.length(fingerprint) % 2 == 0, "00").otherwise("1"), fingerprint))
+def packed_print(print_: str) -> bytes:
+    """A written fingerprint at two digits a byte; the first digit tells whether one or two stand before it."""
+    return bytes.fromhex(("1" if len(print_) % 2 else "00") + print_)
+
+
+def _packed_prints(it):
+    """(doc_id, digest, print) of rows (doc_id, text), walked by runs of up to RUN_CHARS characters or one longer text."""
+    for batch in batches(it):
+        ids, texts, lo = batch.column(0), batch.column(1).to_pylist(), 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size + len(texts[hi]) <= RUN_CHARS:
+                size += len(texts[hi])
+                hi += 1
+            prints = written(walk([codes(t) for t in texts[lo:hi]]))
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(map(digest_of, prints), pa.binary()), pa.array(map(packed_print, prints), pa.binary())], ["doc_id", "digest", "print"])
+            lo = hi
 
 
 def unpacked_prints(packed: list[bytes]) -> list[str]:
@@ -268,15 +294,24 @@ def near_classes(docs: DataFrame, least: float = 0.8, bands: int = 64, bits: int
     components in a bucket, members of different ones are compared in blocks of about `block`, so all alike members of a bucket are joined.
     Equal fingerprints are one class. Repeated rows get equal results; an id with several texts has a row for each. Rows without id or
     text are left out. No rows give no rows. Other columns are ignored."""
-    keys = F.pandas_udf(lambda p: pd.Series(list(band_keys(unpacked_prints(list(p)), bands, bits).view(np.int64))), "array<long>")
+    runs = lambda n: range(0, n, RUN_ROWS)
+
+    @F.pandas_udf("array<long>")
+    def keys(p: pd.Series) -> pd.Series:
+        return pd.Series([k for lo in runs(len(p)) for k in band_keys(unpacked_prints(list(p[lo : lo + RUN_ROWS])), bands, bits).view(np.int64)])
 
     @F.pandas_udf("double")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        s = symbols_of(unpacked_prints([*a, *b]))
-        return pd.Series(likeness(s[: len(a)], s[len(a) :]))
-
-    made = fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().where("text <> ''"))
-    made = saved(made.select("doc_id", F.unhex(F.md5(F.col("fingerprint").cast("binary"))).alias("digest"), packed_print(F.col("fingerprint")).alias("print")))
+        out = [np.zeros(0)]
+        for lo in runs(len(a)):
+            some = unpacked_prints([*a[lo : lo + RUN_ROWS], *b[lo : lo + RUN_ROWS]])
+            s = symbols_of(some)
+            out.append(likeness(s[: len(some) // 2], s[len(some) // 2 :]))
+        trim()
+        return pd.Series(np.concatenate(out))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna().where("text <> ''")
+    made = saved(texts.mapInArrow(_packed_prints, "doc_id long, digest binary, print binary"))
     # An id may have several texts, so classes have numbers of their own.
     firsts = made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("print").alias("print"), F.count(F.lit(1)).alias("n_rows"))
     firsts = saved(firsts.withColumn("rep", F.monotonically_increasing_id()))

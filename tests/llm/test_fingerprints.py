@@ -136,8 +136,7 @@ def test_near_texts_of_nothing_repeated_rows_and_other_columns(spark):
 
 def test_packed_prints():
     prints = ["", "0", "8", "08", "1f0", "00ff", "abcde"]
-    packed = [bytes.fromhex(("1" if len(p) % 2 else "00") + p) for p in prints]
-    assert f.unpacked_prints(packed) == prints
+    assert f.unpacked_prints([f.packed_print(p) for p in prints]) == prints
 
 
 @pytest.mark.parametrize("parts", [1, 5])
