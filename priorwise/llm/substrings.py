@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, packed, ranges, saved, span_hashes, text_chunks, trim, window_hashes, word_hashes, word_spans
+from .common import batches, discard, packed, ranges, saved, span_hashes, text_chunks, trim, window_hashes, word_hashes, word_spans
 from .components import components
 
 K = 13
@@ -23,6 +23,8 @@ CHUNK_WORDS = 400_000
 SLICE_ROWS = 1_000
 #: Places of a source document that share a key when spans meet paths.
 BLOCK = 256
+#: Bits of a seed that move between tasks; seeds only choose candidates, so two that agree by chance cost time and no result.
+SEED_BITS = 40
 EMPTY = hashlib.sha256(b"").hexdigest()
 I64 = np.int64
 
@@ -74,7 +76,7 @@ def _nth(batch: pa.RecordBatch, i: int) -> int:
     return several.index(_digest(batch.column(1)[i].as_py())) if several else 0
 
 
-def _chunks(it, k: int, families: int, extra: bool = False):
+def _chunks(it, k: int, families: int, size: int, extra: bool = False):
     chunk = Chunk()
     for batch in _expanded(it) if extra else batches(it):
         ids = batch.column(0).to_pylist()
@@ -87,7 +89,7 @@ def _chunks(it, k: int, families: int, extra: bool = False):
                 a, b = bounds[i - lo], bounds[i - lo + 1]
                 if ids[i] is not None and b - a >= k:
                     chunk.add(ids[i], int(keys[i - lo]), [x[a:b].copy() for x in h], (more[i].as_py(), _nth(batch, i)) if extra else None)
-                    if chunk.size >= CHUNK_WORDS:
+                    if chunk.size >= size:
                         yield chunk
                         chunk = Chunk()
     if chunk.docs:
@@ -102,12 +104,14 @@ def _minimizers(h: np.ndarray, at: np.ndarray, k: int, seed_words: int) -> np.nd
     while 2 * width <= need:  # minima over spans of 1, 2, 4 ... seeds
         best = np.minimum(best[:-width], best[width:])
         width *= 2
-    return np.minimum(best[at], best[at + need - width]).view(I64)
+    return np.minimum(best[at], best[at + need - width]).view(I64) & I64((1 << SEED_BITS) - 1)
 
 
 def _seeds(k: int, seed_words: int):
+    size = CHUNK_WORDS  # tasks get the driver's setting
+
     def run(it):
-        for chunk in _chunks(it, k, 1):
+        for chunk in _chunks(it, k, 1, size):
             (h,), at, doc, _ = chunk.flat(k)
             m = _minimizers(h, at, k, seed_words)
             change = np.r_[True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]
@@ -157,12 +161,15 @@ def _digest(text: str) -> str:
 
 #: A window (u, v: hashes of its first and last k - 1 words) at a place of a document. multi: other documents of the task have it too.
 #: n > 0: a run of n windows of which the task knows a source, in a document with a smaller id or earlier in this one.
-EDGE = "u long, v long, doc long, nth int, pos int, multi boolean, n int, src long, src_nth int, src_pos int"
+#: What differs from row to row stands together, which takes less room in a shuffle.
+EDGE = "u long, v long, pos int, doc long, nth int, multi boolean, n int, src long, src_nth int, src_pos int"
 
 
 def _edges(k: int, seed_words: int):
+    size = CHUNK_WORDS
+
     def run(it):
-        for chunk in _chunks(it, k, 1, True):
+        for chunk in _chunks(it, k, 1, size, True):
             (h,), at, doc, first = chunk.flat(k)
             m = _minimizers(h, at, k, seed_words)
             sets = [np.frombuffer(x, I64) for x, _ in chunk.extra]
@@ -194,8 +201,8 @@ def _edges(k: int, seed_words: int):
             a = a[np.lexsort((pos[a], ids[a]))]  # rows of one document side by side take less room in a shuffle
             none, r = np.zeros(len(a), np.int32), begin
             cols = [
-                np.concatenate([u[a], d[r] ^ (p[r].astype(I64) << 20)]), np.concatenate([v[a], p[r].astype(I64)]), np.concatenate([ids[a], d[r]]), np.concatenate([nth[a], y[r]]),
-                np.concatenate([pos[a], p[r]]), np.concatenate([several[a], np.zeros(len(r), bool)]), np.concatenate([none, runs]), np.concatenate([none.astype(I64), s[r]]),
+                np.concatenate([u[a], d[r] ^ (p[r].astype(I64) << 20)]), np.concatenate([v[a], p[r].astype(I64)]), np.concatenate([pos[a], p[r]]), np.concatenate([ids[a], d[r]]),
+                np.concatenate([nth[a], y[r]]), np.concatenate([several[a], np.zeros(len(r), bool)]), np.concatenate([none, runs]), np.concatenate([none.astype(I64), s[r]]),
                 np.concatenate([none, sy[r]]), np.concatenate([none, sp[r]]),
             ]
             for lo in range(0, len(cols[0]), 100_000):
@@ -206,7 +213,8 @@ def _edges(k: int, seed_words: int):
 
 def shared_edges(docs: DataFrame, inventory: DataFrame, k: int, seed_words: int) -> DataFrame:
     """Windows that several documents have. first: the row of a window's source (least id, then place), with its nodes u, v and branches
-    (do other such windows begin at u?). Else an occurrence: n windows from pos on that stand from src_pos on in src; within one document, in itself."""
+    (do other such windows begin at u?). Else an occurrence: n windows from pos on that stand from src_pos on in src; within one document, in itself.
+    known: src is the least document of the task only, so its own places may be occurrences of a source; otherwise src is a source."""
     # seeds: which least spans of windows do several documents share? A task sends a seed once, so a group has a row per task at most.
     seeds = docs.mapInArrow(_seeds(k, seed_words), "g long, x long, kind byte")
     w = Window.partitionBy("g", F.col("kind") == 1)
@@ -233,7 +241,7 @@ def shared_edges(docs: DataFrame, inventory: DataFrame, k: int, seed_words: int)
     other = lambda c, least: F.when(known, F.col(c)).when(~F.col("first"), F.col(f"_least.{least}"))
     rows = edges.where(known | F.col("first") | (F.col("doc") > F.col("_least.doc")))
     return rows.select(
-        "first", *[F.when(F.col("first"), F.col(c)).alias(c) for c in ("u", "v", "branches")], "doc", "nth", "pos", F.greatest("n", F.lit(1)).alias("n"),
+        "first", known.alias("known"), *[F.when(F.col("first"), F.col(c)).alias(c) for c in ("u", "v", "branches")], "doc", "nth", "pos", F.greatest("n", F.lit(1)).alias("n"),
         other("src", "doc").alias("src"), other("src_nth", "nth").alias("src_nth"), other("src_pos", "pos").alias("src_pos"),
     )
 
@@ -243,8 +251,12 @@ def compacted(edges: DataFrame) -> DataFrame:
 
     A node is passed if one window ends and one begins there. Windows that follow each other in their source join by their coordinates;
     parts whose ends meet at such a node join by node, and label contraction in joins closes chains of parts to paths."""
-    ends = edges.withColumn("joins", F.count(F.lit(1)).over(Window.partitionBy("v")) > 1)  # do other windows end at v?
+    # do other windows end at v? Marks of those places go along, before their windows
+    marks = edges.select("v", "src", "src_nth", "pos").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("_n > 1")
+    both = edges.unionByName(marks.select("src", "src_nth", "pos"), allowMissingColumns=True)
     w = Window.partitionBy("src", "src_nth").orderBy("pos")
+    marked = Window.partitionBy("src", "src_nth").orderBy("pos", F.col("v").isNotNull())
+    ends = both.withColumn("joins", F.coalesce((F.lag("pos").over(marked) == F.col("pos")), F.lit(False))).where("v is not null")
     goes_on = (F.lag("pos").over(w) + 1 == F.col("pos")) & ~F.lag("joins").over(w) & ~F.col("branches")
     parts = ends.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = parts.groupBy("src", "src_nth", "_part").agg(
@@ -257,6 +269,17 @@ def compacted(edges: DataFrame) -> DataFrame:
     return parts.join(labels, parts["part"] == labels["node"], "left").select(F.coalesce("label", "part").alias("path"), "src", "src_nth", "start", "n")
 
 
+def _through(runs: DataFrame, others: DataFrame) -> DataFrame:
+    """The parts of runs (doc, nth, start, n, src, src_nth, src_start) whose places in src lie in others (doc, nth, start, n and more columns), with
+    those columns; _at is where the other begins. They meet by blocks of places, and each pair counts in the block where its part begins."""
+    blocks = lambda start: F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor((F.col(start) + F.col("n") - 1) / BLOCK)))
+    more = [c for c in others.columns if c not in ("doc", "nth", "start", "n")]
+    others = others.withColumn("block", blocks("start")).select(F.col("doc").alias("src"), F.col("nth").alias("src_nth"), "block", F.col("start").alias("_at"), (F.col("start") + F.col("n")).alias("_to"), *more)
+    low, high = F.greatest("src_start", "_at"), F.least(F.col("src_start") + F.col("n"), F.col("_to"))
+    met = runs.withColumn("block", blocks("src_start")).join(others, ["src", "src_nth", "block"]).where((low < high) & (F.floor(low / BLOCK) == F.col("block")))
+    return met.select("doc", "nth", (F.col("start") + low - F.col("src_start")).alias("start"), (high - low).alias("n"), "src", "src_nth", low.alias("src_start"), "_at", *more)
+
+
 def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(inventory, spans, again). inventory: doc_id, n_words, digest for each row of docs. spans: path, doc, nth, start, n_windows, src, src_nth,
     src_start: windows of a document (of those with equal words: the least id) on one path, which stand, window by window, from src_start on in
@@ -266,20 +289,24 @@ def repeated_spans(docs: DataFrame, k: int = K, seed_words: int = SEED_WORDS) ->
     inventory = saved(docs.mapInArrow(_inventory, "doc_id long, n_words long, digest string"))
     edges = saved(shared_edges(docs, inventory, k, seed_words))
     paths = compacted(edges.where("first").select("u", "v", "branches", F.col("doc").alias("src"), F.col("nth").alias("src_nth"), "pos"))
-    again = edges.where("not first and src = doc").select("doc", "nth", F.col("pos").alias("start"), F.col("n").alias("n_windows"), F.col("src_pos").alias("own_start"))
     # an occurrence joins the one before it in its document if their sources are neighbours too
-    found = edges.where("not first and src < doc").select("doc", "nth", "pos", "n", "src", "src_nth", "src_pos")
-    w = Window.partitionBy("doc", "nth").orderBy("pos", "src", "src_nth", "src_pos")
+    found = edges.where("not first").select("known", "doc", "nth", "pos", "n", "src", "src_nth", "src_pos")
+    w = Window.partitionBy("doc", "nth").orderBy("pos", "src", "src_nth", "src_pos", "known")
     before = lambda c: F.lag(c).over(w)
-    goes_on = (before(F.col("pos") + F.col("n")) == F.col("pos")) & (before("src") == F.col("src")) & (before("src_nth") == F.col("src_nth")) & (before(F.col("src_pos") + F.col("n")) == F.col("src_pos"))
+    goes_on = (before(F.col("pos") + F.col("n")) == F.col("pos")) & (before(F.col("src_pos") + F.col("n")) == F.col("src_pos"))
+    for c in ("src", "src_nth", "known"):
+        goes_on &= before(c) == F.col(c)
     islands = found.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = islands.groupBy("doc", "nth", "_run").agg(F.min("pos").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("src_nth").alias("src_nth"), F.min("src_pos").alias("src_start"))
-    # runs meet the paths that pass through their sources, by blocks of places, and each pair counts in the block where it begins
-    blocks = lambda start: F.explode(F.sequence(F.floor(F.col(start) / BLOCK), F.floor((F.col(start) + F.col("n") - 1) / BLOCK)))
-    met = runs.withColumn("block", blocks("src_start")).join(paths.withColumn("block", blocks("start")).select("path", "src", "src_nth", "block", F.col("start").alias("_from"), (F.col("start") + F.col("n")).alias("_to")), ["src", "src_nth", "block"])
-    low, high = F.greatest("src_start", "_from"), F.least(F.col("src_start") + F.col("n"), F.col("_to"))
-    met = met.where((low < high) & (F.floor(low / BLOCK) == F.col("block")))
-    spans = met.select("path", "doc", "nth", (F.col("start") + low - F.col("src_start")).alias("start"), (high - low).alias("n_windows"), "src", "src_nth", low.alias("src_start"))
+    runs = islands.groupBy("doc", "nth", "_run").agg(F.min("pos").alias("start"), F.sum("n").cast("int").alias("n"), *[F.min(c).alias(c) for c in ("known", "src", "src_nth")], F.min("src_pos").alias("src_start"))
+    runs = saved(runs.drop("_run"))
+    discard(edges)
+    again = runs.where("src = doc").select("doc", "nth", "start", F.col("n").alias("n_windows"), F.col("src_start").alias("own_start"))
+    # what a task knew from its least document leads on, where that is an occurrence, to the source of that
+    runs, place = runs.where("src < doc"), ["doc", "nth", "start", "n"]
+    far = _through(runs.where("known"), runs.where("not known").select(*place, F.col("src").alias("_src"), F.col("src_nth").alias("_nth"), F.col("src_start").alias("_start")))
+    far = far.select(*place, F.col("_src").alias("src"), F.col("_nth").alias("src_nth"), (F.col("_start") + F.col("src_start") - F.col("_at")).alias("src_start"))
+    spans = _through(runs.select(*place, "src", "src_nth", "src_start").unionByName(far), paths.select("path", F.col("src").alias("doc"), F.col("src_nth").alias("nth"), "start", "n"))
+    spans = spans.select("path", "doc", "nth", "start", F.col("n").alias("n_windows"), "src", "src_nth", "src_start")
     return inventory, saved(spans), again
 
 

@@ -105,3 +105,14 @@ def test_collided_windows_are_not_cut(spark, monkeypatch):
     rows = [(1, shared + " a b c"), (2, "x y z " + shared), (3, "only this " + " ".join(f"o{i}" for i in range(20)))]
     got = {r.doc_id: r.kept for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got[1] == rows[0][1] and got[3] == rows[2][1]
+
+
+def test_sources_in_other_tasks(spark):
+    """Documents of one task quote each other, and the least of them quotes a document of another task: all lose the passage, as by brute force."""
+    docs = [(d, t) for d, t, _ in corpus(5, 80)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 13, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted([tuple(r) for r in got], key=str) == brute(docs, 13)
