@@ -211,7 +211,7 @@ def row_helpers(spark, sf_dir):
 
     k = F.col("o_orderkey")
     v = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, float("nan")).when(k % 5 == 2, float("inf")).otherwise(F.col("o_totalprice"))
-    d = table(spark, sf_dir, "orders").select(k, v.cast("double").alias("v"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("w"), F.when(k % 3 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")).alias("t"), (0.05 + 0.9 * (k % 100) / 100).alias("p"))
+    d = table(spark, sf_dir, "orders").select(k, v.cast("double").alias("v"), F.when(k % 4 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("w"), F.when(k % 3 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")).alias("t"), (0.05 + 0.9 * (k % 100) / 100).alias("p"))
     urgent, low = x.indicators("w", ["1-URGENT", "5-LOW"])
     return d.select(
         k, x.nan_to_null("v").alias("number"), x.finite("v").alias("finite"), x.safe_cast("t", "bigint").alias("cast_t"), x.dictionary("w", {"1-URGENT": 10, "5-LOW": 1}, -1).alias("coded"),

@@ -50,3 +50,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and set(base.QUERIES) <= set(e.queries())
+
+
+def test_row_helpers_without_a_key(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"copy (select * replace (case when o_orderkey % 50 = 7 then null else o_orderkey + 9000000000 end as o_orderkey) from '{SF}/orders.parquet') to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    df, want = base.QUERIES["row_helpers"](spark, str(tmp_path)), con.sql(base.SQL["row_helpers"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
