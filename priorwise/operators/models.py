@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -121,6 +121,11 @@ AS241 = {
 }
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def inverse_normal(c: Column) -> Column:
     """Standard normal quantiles of probabilities in (0, 1), null outside: rational approximations as expressions of the JVM."""
 
@@ -128,10 +133,13 @@ def inverse_normal(c: Column) -> Column:
         up, down = [reduce(lambda s, k: s * x + k, reversed(k[:-1]), F.lit(k[-1])) for k in AS241[name]]
         return up / down
 
-    q = c - 0.5
-    r = F.sqrt(-F.log(F.least(c, 1 - c)))
-    far = F.signum(q) * F.when(r <= 5, ratio("middle", r - 1.6)).otherwise(ratio("tail", r - 5))
-    return F.when((c > 0) & (c < 1), F.when(F.abs(q) <= 0.425, q * ratio("centre", 0.180625 - q * q)).otherwise(far))
+    def at(p: Column) -> Column:
+        q = p - 0.5
+        near = q * _once(0.180625 - q * q, lambda s: ratio("centre", s))
+        far = _once(F.sqrt(-F.log(F.least(p, 1 - p))), lambda r: F.when(r <= 5, ratio("middle", r - 1.6)).otherwise(ratio("tail", r - 5)))
+        return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, near).otherwise(F.signum(q) * far))
+
+    return _once(c, at)
 
 
 def fit_quantile_normal(df: DataFrame, column: str, n: int = 100) -> list[float]:
@@ -142,11 +150,14 @@ def fit_quantile_normal(df: DataFrame, column: str, n: int = 100) -> list[float]
 def quantile_normal(c: Column, quantiles: Sequence[float], clip: float = 1e-7) -> Column:
     """A value's place among fitted quantiles (linear between them; of equal ones the middle), as a standard normal quantile; null stays null."""
     q, k = F.array(*[F.lit(float(v)) for v in quantiles]), len(quantiles)
-    below, upto = F.size(F.filter(q, lambda v: v < c)), F.size(F.filter(q, lambda v: v <= c))
-    a, b = F.element_at(q, F.greatest(below, F.lit(1))), F.element_at(q, F.least(below + 1, F.lit(k)))
-    between = (below - 1) + (c - a) / (b - a)
-    place = F.when(c <= q[0], 0).when(c >= q[k - 1], k - 1).when(upto > below, (below + upto - 1) / 2).otherwise(between)
-    return F.when(c.isNotNull(), inverse_normal(F.greatest(F.lit(clip), F.least(F.lit(1 - clip), place / max(k - 1, 1)))))
+
+    def place(below: Column, upto: Column) -> Column:
+        a, b = F.element_at(q, F.greatest(below, F.lit(1))), F.element_at(q, F.least(below + 1, F.lit(k)))
+        between = (below - 1) + (c - a) / (b - a)
+        return F.when(c <= q[0], 0).when(c >= q[k - 1], k - 1).when(upto > below, (below + upto - 1) / 2).otherwise(between)
+
+    found = _once(F.size(F.filter(q, lambda v: v < c)), lambda below: _once(F.size(F.filter(q, lambda v: v <= c)), lambda upto: place(below, upto)))
+    return F.when(c.isNotNull(), inverse_normal(F.greatest(F.lit(clip), F.least(F.lit(1 - clip), found / max(k - 1, 1)))))
 
 
 def fit_codes(df: DataFrame, column: str, most: int = 10_000) -> list:

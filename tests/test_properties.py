@@ -267,3 +267,8 @@ def test_majority_map_of_texts(spark):
 
     votes = spark.createDataFrame([("x", "b", 2), ("x", "a", 2), ("y", "c", 1)], "a string, b string, n long")
     assert sorted(tuple(r)[:2] for r in linkage.majority_map(votes, "a", "b", 1, 0.0).collect()) == [("x", "a"), ("y", "c")]
+
+
+def test_quantile_normal_finds_a_place_once(spark):
+    d = spark.createDataFrame([(0.3,)], "v double")
+    assert d.select(models.quantile_normal(F.col("v"), [0.0, 0.5, 1.0])).columns[0].count("filter(") == 2
